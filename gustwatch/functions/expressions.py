@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from gustwatch.settings import (
@@ -109,3 +109,9 @@ def all_of(conditions: list[Column]) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+def one_row_per_column(wide: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """Turn a single row of struct columns into rows ``(name, fields of the struct)``."""
+    entries = [F.struct(F.lit(c).alias(name), F.col(c).alias("_s")) for c in columns]
+    return wide.select(F.explode(F.array(*entries)).alias("_r")).select(f"_r.{name}", "_r._s.*")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustwatch.functions.expressions import epoch_seconds
+from gustwatch.functions.expressions import epoch_seconds, one_row_per_column
 from gustwatch.operators.intervals import event_rows
 from gustwatch.settings import LIMITS, Limits
 
@@ -31,10 +31,9 @@ def separation(tagged: DataFrame, scores: Sequence[str]) -> DataFrame:
             for s in scores
         ]
     )
-    gap = F.col("s.anomaly_mean") - F.col("s.normal_mean")
-    return one.unpivot([], list(scores), "score", "s").select(
-        "score",
-        "s.*",
+    gap = F.col("anomaly_mean") - F.col("normal_mean")
+    return one_row_per_column(one, list(scores), "score").select(
+        "*",
         gap.alias("separation"),
         F.when(gap > 0, "OK").otherwise("WRONG").alias("direction"),
     )
@@ -66,7 +65,8 @@ def feature_separation(
                 ).alias(c)
                 for c in part
             ]
-        ).unpivot([], part, "feature", "w")
+        )
+        in_windows = one_row_per_column(in_windows, part, "feature")
         if hours is None:
             before = in_windows.select("feature", F.lit(None).cast("double").alias("pre"))
         else:
@@ -80,12 +80,12 @@ def feature_separation(
     def zero(name):
         return F.coalesce(F.col(name), F.lit(0.0))
 
-    gap = zero("w.anomaly") - zero("w.normal")
-    pre_gap = zero("pre") - zero("w.normal") if hours is not None else F.lit(None).cast("double")
+    gap = zero("anomaly") - zero("normal")
+    pre_gap = zero("pre") - zero("normal") if hours is not None else F.lit(None).cast("double")
     return merged.select(
         "feature",
-        F.col("w.anomaly").alias("anomaly_window_mean"),
-        F.col("w.normal").alias("normal_window_mean"),
+        F.col("anomaly").alias("anomaly_window_mean"),
+        F.col("normal").alias("normal_window_mean"),
         F.col("pre").alias("pre_transition_mean"),
         gap.alias("separation_anomaly_minus_normal"),
         pre_gap.alias("separation_pre_minus_normal"),
@@ -110,8 +110,8 @@ def top_separating(tagged: DataFrame, features: Sequence[str], n: int = 50, as_i
         ]
     )
     return (
-        one.unpivot([], list(features), "feature", "s")
-        .select("feature", "s.*", (F.col("s.anomaly_mean") - F.col("s.normal_mean")).alias("separation_score"))
+        one_row_per_column(one, list(features), "feature")
+        .withColumn("separation_score", F.col("anomaly_mean") - F.col("normal_mean"))
         .orderBy(F.desc("separation_score"), "feature")
         .limit(n)
     )

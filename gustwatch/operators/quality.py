@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gustwatch.functions.expressions import one_row_per_column
 from gustwatch.settings import FEATURE_SUFFIXES
 
 
@@ -75,7 +76,7 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation and range, one row per column."""
     stats = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     one = df.agg(*[F.struct(*[f(c).cast("double").alias(s) for s, f in stats.items()]).alias(c) for c in columns])
-    return one.unpivot([], list(columns), "column_name", "s").select("column_name", "s.*")
+    return one_row_per_column(one, list(columns), "column_name")
 
 
 def numeric_columns(df: DataFrame) -> list[str]:

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gustwatch.functions.expressions import one_row_per_column
+
 
 def asset_baseline(normal_train: DataFrame, sensors: Sequence[str]) -> DataFrame:
     """Mean of each sensor per asset."""
@@ -26,7 +28,7 @@ def scaler_stats(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     one = train.agg(
         *[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in columns]
     )
-    return one.unpivot([], list(columns), "feature", "s").select("feature", "s.mean", "s.std")
+    return one_row_per_column(one, list(columns), "feature")
 
 
 def standard_scale(df: DataFrame, stats: DataFrame) -> DataFrame:
