@@ -1 +1,214 @@
-"""Queries."""
+"""Queries: forests, boosted trees, sequence reconstruction, oversampling."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gustwatch.catalogue.base import (
+    CUTOFF,
+    KINDS,
+    SENSORS,
+    event_info,
+    query,
+    r6,
+    scores,
+    sql_with,
+    telemetry,
+)
+from gustwatch.catalogue.sequences import GAP_MINUTES, LENGTH
+from gustwatch.functions.expressions import rounded
+from gustwatch.operators import (
+    autoencoder,
+    evaluate,
+    forest,
+    intervals,
+    labels,
+    oversample,
+    scaling,
+    supervised,
+    thresholds,
+)
+from gustwatch.operators.rolling import add_rolling, fill_zero, rolling_names
+from gustwatch.operators.supervised import TreeSettings
+from gustwatch.settings import FarmSettings
+
+# Fewer trees than in full training: the queries show the whole way, on all rows.
+_ROUNDS = TreeSettings(rounds=5)
+_HORIZON_ROUNDS = TreeSettings(rounds=5, depth=4, subsample=1.0, feature_share=1.0, min_rows=1)
+_FAULT_ROUNDS = TreeSettings(rounds=10, depth=4, subsample=0.9, feature_share=0.9, min_rows=2)
+_FOREST_TREES = 50
+
+
+def _masked(spark, sf_dir):
+    return labels.add_fit_mask(telemetry(spark, sf_dir), event_info(spark, sf_dir), FarmSettings(fit_cutoff=CUTOFF))
+
+
+def _featured(spark, sf_dir):
+    """Telemetry with rolling columns of all sensors, nulls filled."""
+    rolled = add_rolling(telemetry(spark, sf_dir), SENSORS, KINDS)
+    return fill_zero(rolled, rolling_names(SENSORS))
+
+
+_FEATURES = [*SENSORS, *rolling_names(SENSORS)]
+# Every asset has train rows; eligible ones need not exist for each.
+_FIT = F.col("train_test") == "train"
+
+
+@query("iforest_scores")
+def iforest_scores(spark, sf_dir):
+    """Score, flag and normalized score of every row, from a forest per asset."""
+    masked = _masked(spark, sf_dir)
+    keep = ["train_test", "status_type_id", "if_fit_eligible", "in_anomaly_window"]
+    scored = forest.isolation_scores(masked, SENSORS, _FIT, keep, trees=_FOREST_TREES)
+    return scaling.minmax(scored, {"if_anomaly_score": "if_anomaly_score_norm"}, F.col("if_fit_eligible"))
+
+
+@query("iforest_v2_scores")
+def iforest_v2_scores(spark, sf_dir):
+    """Second forest on the features that separate best, its threshold chosen by the percentile sweep."""
+    events = event_info(spark, sf_dir)
+    rows = _featured(spark, sf_dir)
+    top = evaluate.top_separating(intervals.event_rows(rows, events), _FEATURES, n=6).collect()
+    scored = forest.isolation_scores(rows, [r.feature for r in top], _FIT, ["train_test"], trees=_FOREST_TREES)
+    flagged = scored.select("asset_id", "id", "if_anomaly_score")
+    for name, label in (("anomalous", "anomaly"), ("normal", "normal")):
+        flagged = intervals.add_window_flag(flagged, events.filter(F.col("event_label") == label), name)
+    swept = thresholds.sweep_percentiles(scored, flagged.filter("anomalous or normal"), "if_anomaly_score")
+    best = thresholds.choose_percentile(swept, 0.10).first()
+    above = (F.col("if_anomaly_score") > F.lit(best["threshold"])).cast("int")
+    return scored.select("asset_id", "time_stamp", "id", F.col("if_anomaly_score").alias("if_anomaly_score_v2"), above.alias("if_anomaly_flag_v2"))
+
+
+_FIT_SCORES = "fit AS (SELECT asset_id, if_anomaly_score AS s FROM scores WHERE train_test = 'train')"
+
+
+@query(
+    "iforest_offset",
+    sql_with(
+        "telemetry scores",
+        f"""SELECT asset_id, contamination, {r6('p')} AS "offset", {r6('m')} AS mean_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY m, contamination) AS nth FROM (
+    {' UNION ALL '.join(f"SELECT asset_id, {c}e0 AS contamination, quantile_cont(s, {1 - c}) AS p, avg(s) - quantile_cont(s, {1 - c}) AS m FROM fit GROUP BY 1" for c in (0.01, 0.03, 0.05))}))
+WHERE nth = 1""",
+        _FIT_SCORES,
+    ),
+)
+def iforest_offset(spark, sf_dir):
+    """Choice of contamination and offset on fixed scores."""
+    chosen = forest.choose_offsets(scores(spark, sf_dir), "if_anomaly_score", F.col("train_test") == "train")
+    return chosen.select("asset_id", "contamination", rounded("offset").alias("offset"), rounded("mean_score").alias("mean_score"))
+
+
+def _folded(spark, sf_dir):
+    labelled = intervals.window_labels(_featured(spark, sf_dir), event_info(spark, sf_dir))
+    return supervised.add_time_folds(labelled)
+
+
+@query("gbt_cross_validation")
+def gbt_cross_validation(spark, sf_dir):
+    """F1, precision and recall of the event classifier on forward-chained folds."""
+    return supervised.cross_validate(_folded(spark, sf_dir), _FEATURES, TreeSettings(rounds=2))
+
+
+@query("gbt_event_prob")
+def gbt_event_prob(spark, sf_dir):
+    """Anomaly probability and flag of every row, the threshold tuned on the latest labelled rows."""
+    folded = _folded(spark, sf_dir)
+    model = supervised.fit_event_model(folded.filter("not holdout"), _FEATURES, _ROUNDS)
+    threshold = supervised.tuned_threshold(supervised.add_probability(folded, model, _FEATURES))
+    scored = supervised.add_probability(_featured(spark, sf_dir), model, _FEATURES)
+    flag = (F.col("xgb_anomaly_prob") > F.lit(threshold)).cast("int")
+    return scored.select("asset_id", "time_stamp", "id", "xgb_anomaly_prob", flag.alias("xgb_anomaly_flag"))
+
+
+@query("fault_classifier")
+def fault_classifier(spark, sf_dir):
+    """Predicted fault type of every anomaly row of the fit split."""
+    anomalies = _folded(spark, sf_dir).filter("label = 1 and not holdout")
+    model = supervised.fit_fault_model(anomalies, _FEATURES, _FAULT_ROUNDS)
+    predicted = supervised.add_fault_type(anomalies, model, _FEATURES)
+    return predicted.select("asset_id", "id", "fault_type", "fault_prediction")
+
+
+def _horizon_rows(spark, sf_dir):
+    """Normal rows with a known horizon; every anomaly counts as usable here."""
+    labelled = labels.add_event_horizon(_featured(spark, sf_dir), event_info(spark, sf_dir))
+    return labelled, labelled.filter("hours_to_next_anomaly is not null and status_type_id = 0")
+
+
+@query("loeo_rmse")
+def loeo_rmse(spark, sf_dir):
+    """Error on events left out of training, hashed to four folds."""
+    _, learned = _horizon_rows(spark, sf_dir)
+    return supervised.leave_event_out(
+        learned, _FEATURES, "hours_to_next_anomaly", settings=_HORIZON_ROUNDS, max_folds=4
+    )
+
+
+@query("horizon_scores")
+def horizon_scores(spark, sf_dir):
+    """Predicted hours, tier and urgency of every row."""
+    rows, learned = _horizon_rows(spark, sf_dir)
+    model = supervised.fit_horizon_model(learned, _FEATURES, "hours_to_next_anomaly", _HORIZON_ROUNDS)
+    return supervised.horizon_scores(rows, model, _FEATURES, ["asset_id", "time_stamp", "id"])
+
+
+@query("feature_importance")
+def feature_importance(spark, sf_dir):
+    """Split gain and mean absolute effect per feature of the horizon model."""
+    _, learned = _horizon_rows(spark, sf_dir)
+    model = supervised.fit_horizon_model(learned, _FEATURES, "hours_to_next_anomaly", _HORIZON_ROUNDS)
+    gain = supervised.gain_importance(spark, model, _FEATURES)
+    return gain.join(supervised.effect_importance(learned, model, _FEATURES), "feature")
+
+
+# A class of a few rows at every scale: each asset has about 67 rows.
+_RARE = "asset_id = 7 AND k < 8"
+_POINT = ["sensor_0_avg", "sensor_2_avg"]
+
+
+@query(
+    "smote_neighbours",
+    sql_with(
+        "telemetry",
+        f"""SELECT id, neighbour, rank, {r6('distance')} AS distance FROM (
+  SELECT a.id, b.id AS neighbour, d AS distance, row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) AS rank
+  FROM rare a JOIN rare b ON a.id <> b.id,
+    LATERAL (SELECT (a.sensor_0_avg - b.sensor_0_avg) * (a.sensor_0_avg - b.sensor_0_avg) + (a.sensor_2_avg - b.sensor_2_avg) * (a.sensor_2_avg - b.sensor_2_avg) AS d))
+WHERE rank <= 3""",
+        f"rare AS (SELECT * FROM telemetry WHERE {_RARE})",
+    ),
+)
+def smote_neighbours(spark, sf_dir):
+    """Neighbours within the rare class found in the whole table."""
+    rare = telemetry(spark, sf_dir).filter(_RARE)
+    found = oversample.nearest_neighbours(rare, _POINT, k=oversample.NEIGHBOURS)
+    return found.select("id", "neighbour", "rank", rounded("distance").alias("distance"))
+
+
+@query("smote_rows")
+def smote_rows(spark, sf_dir):
+    """The whole table with synthetic rows of the rare class."""
+    labelled = telemetry(spark, sf_dir).withColumn("label", F.expr(f"cast({_RARE} as int)"))
+    return oversample.oversample(labelled, "label", _POINT)
+
+
+def _sequence_model(spark, sf_dir):
+    masked = _masked(spark, sf_dir)
+    return masked, autoencoder.fit_sequence_model(masked, SENSORS, LENGTH, GAP_MINUTES, components=3)
+
+
+@query("sequence_recon_error")
+def sequence_recon_error(spark, sf_dir):
+    """Reconstruction error of the window ending at each row, and the same between 0 and 1."""
+    masked, model = _sequence_model(spark, sf_dir)
+    keep = ["asset_id", "time_stamp", "id", "train_test", "if_fit_eligible", *SENSORS]
+    scored = autoencoder.reconstruction_errors(masked.select(*keep), model)
+    return autoencoder.normalized_errors(scored).drop("errors")
+
+
+@query("recon_by_feature")
+def recon_by_feature(spark, sf_dir):
+    masked, model = _sequence_model(spark, sf_dir)
+    keep = ["asset_id", "time_stamp", "id", "if_fit_eligible", *SENSORS]
+    return autoencoder.error_by_feature(autoencoder.reconstruction_errors(masked.select(*keep), model), SENSORS)

@@ -14,7 +14,7 @@ from gustwatch.settings import LIMITS, Limits
 ORDER = ["time_stamp", "id"]
 
 
-def _segments(df: DataFrame, max_gap_minutes: float | None, limits: Limits) -> Ordered:
+def segment_rows(df: DataFrame, max_gap_minutes: float | None, limits: Limits) -> Ordered:
     """Rows with ``segment`` (1, 2, ... per asset) and ``segment_row`` (1, 2, ... per segment)."""
     rows = Ordered.of(df, ["asset_id"], ORDER, limits)
 
@@ -33,7 +33,7 @@ def _segments(df: DataFrame, max_gap_minutes: float | None, limits: Limits) -> O
 
 def gap_segments(df: DataFrame, max_gap_minutes: float | None, limits: Limits = LIMITS) -> DataFrame:
     """Rows numbered by segment; a gap above the limit starts a new one, None never does."""
-    return _segments(df, max_gap_minutes, limits).result()
+    return segment_rows(df, max_gap_minutes, limits).result()
 
 
 def sequence_windows(
@@ -69,7 +69,7 @@ def sequence_payload(
 
 
 def _windows(df, length, max_gap_minutes, eligible, stride, features, limits) -> DataFrame:
-    segments = _segments(df, max_gap_minutes, limits)
+    segments = segment_rows(df, max_gap_minutes, limits)
 
     def close(rows, window):
         frame = window.rowsBetween(1 - length, 0)
@@ -89,7 +89,7 @@ def window_statistics(
     df: DataFrame, length: int, max_gap_minutes: float, eligible: str = "if_fit_eligible", limits: Limits = LIMITS
 ) -> DataFrame:
     """Per asset: scored, trainable and ineligible windows, and segments too short for one."""
-    segments = _segments(df, max_gap_minutes, limits)
+    segments = segment_rows(df, max_gap_minutes, limits)
 
     def close(rows, window):
         frame = window.rowsBetween(1 - length, 0)

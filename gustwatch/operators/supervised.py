@@ -2,10 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.feature import StringIndexer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gustwatch.functions.expressions import f_beta, risk_tier
+from gustwatch.operators.evaluate import fold_rmse
 from gustwatch.operators.ordered import Ordered
+from gustwatch.operators.scaling import minmax_inverted
+from gustwatch.operators.thresholds import (
+    choose_probability_threshold,
+    class_weights,
+    confusion,
+    probability_grid,
+    sweep_grid,
+)
 from gustwatch.settings import LIMITS, Limits
 
 FOLD_GAP = 20
@@ -40,3 +58,222 @@ def add_time_folds(df: DataFrame, limits: Limits = LIMITS) -> DataFrame:
 def fold_start(fit_rows: int, fold: int) -> int:
     splits = fold_count(fit_rows)
     return fit_rows - (splits - fold) * (fit_rows // (splits + 1))
+
+
+# -- boosted trees ----------------------------------------------------------
+
+
+def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Feature vector ``features``; null and NaN count 0."""
+    values = [F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features]
+    return df.withColumn("features", array_to_vector(F.array(*values)))
+
+
+@dataclass(frozen=True)
+class TreeSettings:
+    """Size of a boosted model; the defaults are those of full training."""
+
+    rounds: int = 400
+    depth: int = 5
+    learning_rate: float = 0.05
+    subsample: float = 0.85
+    feature_share: float = 0.85
+    min_rows: int = 4
+    seed: int = 42
+
+
+EVENT_TREES = TreeSettings()
+FAULT_TREES = TreeSettings(rounds=300, depth=4, subsample=0.9, feature_share=0.9, min_rows=2)
+HORIZON_TREES = TreeSettings(rounds=200, depth=6, subsample=1.0, feature_share=1.0, min_rows=1)
+
+
+def _boosted(estimator, settings: TreeSettings, **columns):
+    return estimator(
+        featuresCol="features",
+        maxIter=settings.rounds,
+        maxDepth=settings.depth,
+        stepSize=settings.learning_rate,
+        subsamplingRate=settings.subsample,
+        featureSubsetStrategy=str(settings.feature_share) if settings.feature_share < 1 else "all",
+        minInstancesPerNode=settings.min_rows,
+        seed=settings.seed,
+        **columns,
+    )
+
+
+def fit_event_model(labelled: DataFrame, features: Sequence[str], settings: TreeSettings = EVENT_TREES):
+    """Boosted classifier of ``label``, positives weighted by the capped class ratio."""
+    weight = class_weights(labelled, "label").first()["scale_pos_weight"]
+    weighted = assembled(labelled, features).select(
+        "features",
+        F.col("label").cast("double").alias("label"),
+        F.when(F.col("label") == 1, F.lit(float(weight))).otherwise(F.lit(1.0)).alias("weight"),
+    )
+    return _boosted(GBTClassifier, settings, labelCol="label", weightCol="weight").fit(weighted)
+
+
+def add_probability(df: DataFrame, model, features: Sequence[str], output: str = "xgb_anomaly_prob") -> DataFrame:
+    """Probability of an anomaly for every row, in one pass."""
+    scored = model.transform(assembled(df, features))
+    return scored.select(*df.columns, vector_to_array("probability")[1].alias(output))
+
+
+def cross_validate(
+    folded: DataFrame, features: Sequence[str], settings: TreeSettings = EVENT_TREES, fold_count_limit: int = 5
+) -> DataFrame:
+    """F1, precision and recall per fold of ``add_time_folds`` output; one-class training data gives 0."""
+    fit_rows = folded.filter("not holdout").count()
+    results = None
+    for fold in range(min(fold_count(fit_rows), fold_count_limit)):
+        train = folded.filter(F.col("nth") < fold_start(fit_rows, fold) - FOLD_GAP)
+        valid = folded.filter(F.col("fold") == fold)
+        if train.select("label").distinct().count() < 2:
+            scored = valid.withColumn("p", F.lit(0.0))
+        else:
+            scored = add_probability(valid, fit_event_model(train, features, settings), features, "p")
+        counts = confusion(scored, "p", "label", 0.5)
+        precision, recall = F.col("precision"), F.col("detection_rate")
+        row = counts.select(
+            F.lit(fold).alias("fold"),
+            f_beta(precision, recall).alias("f1"),
+            precision,
+            recall.alias("recall"),
+            (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("val_size"),
+            (F.col("tp") + F.col("fn")).alias("val_pos"),
+        )
+        results = row if results is None else results.unionByName(row)
+    return results
+
+
+def tuned_threshold(scored: DataFrame, score: str = "xgb_anomaly_prob") -> float:
+    """Threshold from the hold-out, or from all labelled rows where that is small or one-sided."""
+    holdout = scored.filter("holdout")
+    size, classes = holdout.agg(F.count(F.lit(1)), F.countDistinct("label")).first()
+    used = scored if size < 40 or classes < 2 else holdout
+    return float(choose_probability_threshold(sweep_grid(used, score, "label", probability_grid())).first()["threshold"])
+
+
+def fit_fault_model(anomalies: DataFrame, features: Sequence[str], settings: TreeSettings = FAULT_TREES):
+    """Forest over fault types of anomaly rows, or None with fewer than five rows or a single type."""
+    size, types = anomalies.agg(F.count(F.lit(1)), F.countDistinct("fault_type")).first()
+    if size < 5 or types < 2:
+        return None
+    indexer = StringIndexer(inputCol="fault_type", outputCol="fault_index", stringOrderType="alphabetAsc")
+    trees = RandomForestClassifier(
+        featuresCol="features",
+        labelCol="fault_index",
+        numTrees=settings.rounds,
+        maxDepth=settings.depth,
+        subsamplingRate=settings.subsample,
+        featureSubsetStrategy=str(settings.feature_share),
+        minInstancesPerNode=settings.min_rows,
+        seed=settings.seed,
+    )
+    return Pipeline(stages=[indexer, trees]).fit(assembled(anomalies, features))
+
+
+def add_fault_type(
+    df: DataFrame, model, features: Sequence[str], only: str | None = None, output: str = "fault_prediction"
+) -> DataFrame:
+    """Predicted fault type of every row; without a model the only known type, or ``unknown``."""
+    if model is None:
+        return df.withColumn(output, F.lit(only or "unknown"))
+    indexer, trees = model.stages
+    names = F.array(*[F.lit(n) for n in indexer.labels])
+    scored = trees.transform(assembled(df, features))
+    return scored.select(*df.columns, names[F.col("prediction").cast("int")].alias(output))
+
+
+# -- horizon regression -----------------------------------------------------
+
+
+def fit_horizon_model(rows: DataFrame, features: Sequence[str], target: str, settings: TreeSettings = HORIZON_TREES):
+    learned = assembled(rows, features).select("features", F.col(target).alias("target"))
+    return _boosted(GBTRegressor, settings, labelCol="target").fit(learned)
+
+
+def add_prediction(df: DataFrame, model, features: Sequence[str], output: str) -> DataFrame:
+    scored = model.transform(assembled(df, features))
+    return scored.select(*df.columns, F.col("prediction").alias(output))
+
+
+def add_event_folds(rows: DataFrame, event: str, max_folds: int = 12) -> DataFrame:
+    """Fold per event: every event its own fold, or hashed to ``max_folds`` folds if there are more events."""
+    events = rows.select(event).distinct().limit(max_folds + 1).collect()
+    if len(events) <= max_folds:
+        places = {r[0]: i for i, r in enumerate(sorted(events))}
+        fold = F.create_map(*[F.lit(x) for item in places.items() for x in item])[F.col(event)]
+    else:
+        fold = F.pmod(F.xxhash64(event), F.lit(max_folds)).cast("int")
+    return rows.withColumn("fold", fold)
+
+
+def leave_event_out(
+    rows: DataFrame,
+    features: Sequence[str],
+    target: str,
+    event: str = "next_anomaly_event_id",
+    settings: TreeSettings = HORIZON_TREES,
+    max_folds: int = 12,
+) -> DataFrame:
+    """Error per fold of a model that has not seen the fold's events; folds without rows on a side are left out."""
+    folded = add_event_folds(rows, event, max_folds)
+    folds = sorted(r[0] for r in folded.select("fold").distinct().collect())
+    predicted = None
+    for fold in folds:
+        train, held = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
+        if train.isEmpty():
+            continue
+        scored = add_prediction(held, fit_horizon_model(train, features, target, settings), features, "prediction")
+        scored = scored.select("fold", target, "prediction")
+        predicted = scored if predicted is None else predicted.unionByName(scored)
+    if predicted is None:
+        raise ValueError("fewer than two events to leave one out of")
+    return fold_rmse(predicted, "fold", target, "prediction")
+
+
+def horizon_scores(rows: DataFrame, model, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Predicted hours, their tier, and their urgency between 0 and 1, for every row."""
+    hours = "predicted_hours_to_anomaly"
+    predicted = add_prediction(rows, model, features, hours).select(*keep, hours)
+    tiered = predicted.withColumn("xgb_risk_score", risk_tier(hours))
+    return minmax_inverted(tiered, hours, "xgb_risk_norm")
+
+
+# -- importance -------------------------------------------------------------
+
+
+def gain_importance(spark: SparkSession, model, features: Sequence[str]) -> DataFrame:
+    """Split gain per feature as the model reports it, largest first."""
+    values = model.featureImportances.toArray()
+    rows = [(f, float(v)) for f, v in zip(features, values)]
+    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def effect_importance(rows: DataFrame, model, features: Sequence[str]) -> DataFrame:
+    """Mean absolute change of the prediction when a feature is set to its mean, largest first.
+
+    Every row is scored once as it is and once per feature, in one pass.
+    """
+    means = rows.agg(*[F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in features]).first()
+    current = [F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features]
+    variants = F.array(
+        F.struct(F.lit("").alias("feature"), F.array(*current).alias("x")),
+        *[
+            F.struct(
+                F.lit(name).alias("feature"),
+                F.array(*[F.lit(means[name]) if j == i else v for j, v in enumerate(current)]).alias("x"),
+            )
+            for i, name in enumerate(features)
+        ],
+    )
+    exploded = rows.select("id", F.explode(variants).alias("v")).select(
+        "id", "v.feature", array_to_vector("v.x").alias("features")
+    )
+    scored = model.transform(exploded).select("id", "feature", "prediction")
+    per_row = scored.groupBy("id").agg(
+        F.max(F.when(F.col("feature") == "", F.col("prediction"))).alias("_as_is"),
+        *[F.max(F.when(F.col("feature") == f, F.col("prediction"))).alias(f"_{i}") for i, f in enumerate(features)],
+    )
+    effects = per_row.agg(*[F.avg(F.abs(F.col(f"_{i}") - F.col("_as_is"))).alias(f) for i, f in enumerate(features)])
+    return effects.unpivot([], list(features), "feature", "mean_abs_effect").orderBy(F.desc("mean_abs_effect"), "feature")
