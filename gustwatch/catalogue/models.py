@@ -30,6 +30,7 @@ from gustwatch.operators import (
 )
 from gustwatch.operators.rolling import add_rolling, fill_zero, rolling_names
 from gustwatch.operators.supervised import TreeSettings
+from gustwatch.session import materialize
 from gustwatch.settings import FarmSettings
 
 # Fewer trees than in full training: the queries show the whole way, on all rows.
@@ -100,8 +101,8 @@ def iforest_offset(spark, sf_dir):
 
 
 def _folded(spark, sf_dir):
-    labelled = intervals.window_labels(_featured(spark, sf_dir), event_info(spark, sf_dir))
-    return supervised.add_time_folds(labelled)
+    labelled = materialize(intervals.window_labels(_featured(spark, sf_dir), event_info(spark, sf_dir)))
+    return materialize(supervised.add_time_folds(labelled))
 
 
 @query("gbt_cross_validation")
@@ -131,8 +132,8 @@ def fault_classifier(spark, sf_dir):
 
 
 def _horizon_rows(spark, sf_dir):
-    """Normal rows with a known horizon; every anomaly counts as usable here."""
-    labelled = labels.add_event_horizon(_featured(spark, sf_dir), event_info(spark, sf_dir))
+    """Rows with horizon, and the normal ones whose horizon is known; every anomaly counts as usable here."""
+    labelled = materialize(labels.add_event_horizon(_featured(spark, sf_dir), event_info(spark, sf_dir)))
     return labelled, labelled.filter("hours_to_next_anomaly is not null and status_type_id = 0")
 
 

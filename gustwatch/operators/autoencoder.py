@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from gustwatch.operators.percentiles import exact_percentiles, percentile_column
 from gustwatch.operators.scaling import minmax, scaler_stats, standard_scale
 from gustwatch.operators.sequences import ORDER, segment_rows, sequence_payload
+from gustwatch.session import spread
 from gustwatch.settings import LIMITS, Limits
 
 #: Components are computed from a square matrix of this width at most, held by the driver.
@@ -100,7 +101,7 @@ def reconstruction_errors(df: DataFrame, model: SequenceModel, limits: Limits =
 
     def step(rows: DataFrame, window) -> DataFrame:
         # Rows of one group lie together and in order; a full window never reaches beyond its segment.
-        arranged = rows.repartition(*segments.groups).sortWithinPartitions(*segments.groups, *ORDER)
+        arranged = spread(rows, *segments.groups).sortWithinPartitions(*segments.groups, *ORDER)
         schema = T.StructType(
             [
                 *rows.schema.fields,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gustwatch.operators.percentiles import exact_percentiles, percentile_column
-from gustwatch.session import materialize
+from gustwatch.session import materialize, spread
 from gustwatch.settings import CONTAMINATIONS, FLAG_PERCENTILE, KEY, LIMITS, Limits
 
 TREES = 100
@@ -33,33 +33,47 @@ def mean_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * harmonic - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-class _Grower:
-    """Nodes of several trees in flat arrays; a leaf is its own child."""
-
-    def __init__(self, rng: np.random.Generator, depth: int):
-        self.rng, self.depth = rng, depth
-        self.feature, self.threshold, self.left, self.right, self.path = [], [], [], [], []
-
-    def grow(self, rows: np.ndarray, level: int = 0) -> int:
-        node = len(self.feature)
-        low, high = rows.min(axis=0), rows.max(axis=0)
-        splittable = np.flatnonzero(high > low)
-        for column, value in (
-            (self.feature, 0),
-            (self.threshold, np.inf),
-            (self.left, node),
-            (self.right, node),
-            (self.path, level + float(mean_path(len(rows)))),
-        ):
-            column.append(value)
-        if level < self.depth and len(rows) > 1 and len(splittable):
-            chosen = int(self.rng.choice(splittable))
-            cut = self.rng.uniform(low[chosen], high[chosen])
-            below = rows[:, chosen] <= cut
-            self.feature[node], self.threshold[node] = chosen, cut
-            self.left[node] = self.grow(rows[below], level + 1)
-            self.right[node] = self.grow(rows[~below], level + 1)
-        return node
+def grow_trees(values: np.ndarray, trees: int, size: int, depth: int, rng: np.random.Generator):
+    """Grow ``trees`` trees, each on ``size`` rows of ``values``, level by level and all at once.
+
+    Returns flat arrays (feature, threshold, left, right, path); node ``t`` is
+    the root of tree ``t``, and a leaf is its own child.
+    """
+    drawn = np.concatenate([rng.choice(len(values), size, replace=False) for _ in range(trees)])
+    rows = values[drawn]
+    nodes, counts = np.arange(trees), np.full(trees, size)
+    feature, threshold, child, path = [], [], [], []
+    total = trees
+    for level in range(depth + 1):
+        starts = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(int)
+        low, high = np.minimum.reduceat(rows, starts), np.maximum.reduceat(rows, starts)
+        varies = high > low
+        inner = varies.any(axis=1) & (level < depth)
+        # A feature drawn evenly among those that vary in the node, and a cut drawn evenly in its range.
+        chosen = np.where(varies, rng.random(varies.shape), -1.0).argmax(axis=1)
+        at = np.arange(len(nodes))
+        lo, hi = low[at, chosen], high[at, chosen]
+        cut = lo + rng.random(len(nodes)) * (hi - lo)
+        cut = np.where(cut < hi, cut, lo)
+        first_child = np.where(inner, total + 2 * (np.cumsum(inner) - 1), -1)
+        feature.append(np.where(inner, chosen, 0))
+        threshold.append(np.where(inner, cut, np.inf))
+        child.append(first_child)
+        path.append(level + mean_path(counts))
+        if not inner.any():
+            break
+        owner = np.repeat(at, counts)
+        kept = inner[owner]
+        rows, owner = rows[kept], owner[kept]
+        above = rows[np.arange(len(rows)), chosen[owner]] > cut[owner]
+        next_node = first_child[owner] + above
+        order = np.argsort(next_node, kind="stable")
+        rows, next_node = rows[order], next_node[order]
+        nodes, counts = np.unique(next_node, return_counts=True)
+        total += 2 * int(inner.sum())
+    feature, threshold, child, path = (np.concatenate(part) for part in (feature, threshold, child, path))
+    own = np.arange(len(child))
+    return feature, threshold, np.where(child < 0, own, child), np.where(child < 0, own, child + 1), path
 
 
 def _features(df: DataFrame, features: Sequence[str]) -> Column:
@@ -90,12 +104,12 @@ def fit_forest(
         asset, total = int(pool_rows.asset_id.iloc[0]), int(pool_rows.fit_rows.iloc[0])
         values = np.stack(pool_rows.sort_values("id").x.to_numpy())
         size = min(sample, len(values))
-        grower = _Grower(np.random.default_rng([seed, asset & 0xFFFFFFFF]), max(1, ceil(log2(max(2, size)))))
-        roots = [grower.grow(values[grower.rng.choice(len(values), size, replace=False)]) for _ in range(trees)]
-        model = (asset, total, roots, grower.feature, grower.threshold, grower.left, grower.right, grower.path)
+        depth = max(1, ceil(log2(max(2, size))))
+        rng = np.random.default_rng([seed, asset & 0xFFFFFFFF])
+        model = (asset, total, list(range(trees)), *grow_trees(values, trees, size, depth, rng))
         return pd.DataFrame([model], columns=[part.split()[0] for part in MODEL_SCHEMA.split(", ")])
 
-    return pool.groupBy("asset_id").applyInPandas(grow, MODEL_SCHEMA)
+    return spread(pool, "asset_id").groupBy("asset_id").applyInPandas(grow, MODEL_SCHEMA)
 
 
 class FlatForest:

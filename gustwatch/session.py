@@ -58,3 +58,12 @@ def fits(df: DataFrame, rows: int) -> bool:
 def broadcast_if_small(df: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """Broadcast hint behind a row count; a larger side is left to a shuffle join."""
     return F.broadcast(df) if fits(df, limits.broadcast_rows) else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into as many partitions as shuffles have, without coalescing.
+
+    For Python work per group: it is heavy for few bytes, so partitions must
+    not be merged by size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
