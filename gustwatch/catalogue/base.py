@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustwatch.session import use_utc
+from gustwatch.session import ship_package, use_utc
 from gustwatch.settings import Limits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,7 +37,7 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return use_utc(ship_package(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def hot_limits(rows: DataFrame) -> Limits:

@@ -101,7 +101,8 @@ def iforest_offset(spark, sf_dir):
 
 
 def _folded(spark, sf_dir):
-    labelled = materialize(intervals.window_labels(_featured(spark, sf_dir), event_info(spark, sf_dir)))
+    """Labelled rows with their folds, written once since several models read them."""
+    labelled = intervals.window_labels(_featured(spark, sf_dir), event_info(spark, sf_dir))
     return materialize(supervised.add_time_folds(labelled))
 
 
@@ -195,7 +196,7 @@ def smote_rows(spark, sf_dir):
 
 
 def _sequence_model(spark, sf_dir):
-    masked = _masked(spark, sf_dir)
+    masked = materialize(_masked(spark, sf_dir))
     return masked, autoencoder.fit_sequence_model(masked, SENSORS, LENGTH, GAP_MINUTES, components=3)
 
 

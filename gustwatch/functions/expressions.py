@@ -20,6 +20,18 @@ def as_column(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def text_to_bigint(text: str | Column) -> Column:
+    """Whole number in a text, else null; the pattern spares the failed cast, which is slow."""
+    value = as_column(text).cast("string")
+    return F.when(value.rlike(r"^\s*[+-]?[0-9]+\s*$"), value.try_cast("bigint"))
+
+
+def text_to_double(text: str | Column) -> Column:
+    """Number in a text, else null; text that cannot begin a number is not tried."""
+    value = as_column(text).cast("string")
+    return F.when(value.rlike(r"^\s*[-+.0-9nNiI]"), value.try_cast("double"))
+
+
 def epoch_seconds(time: str | Column) -> Column:
     return F.unix_timestamp(as_column(time))
 

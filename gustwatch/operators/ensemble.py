@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gustwatch.functions.expressions import status_threshold, urgency
 from gustwatch.operators.ordered import Ordered
 from gustwatch.operators.quality import require_columns, require_unique
-from gustwatch.operators.thresholds import best_f1, f1_grid, sweep_grid
+from gustwatch.operators.thresholds import best_f1, f1_grid, sweep_grid, sweep_grids
 from gustwatch.settings import KEY, LIMITS, WEIGHT_FLOOR, Limits
 
 CONSECUTIVE = 3
@@ -43,7 +43,8 @@ def joined_once(joined: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
 
 def model_weights(validation: DataFrame, scores: Sequence[str], label: str = "y_window") -> dict[str, tuple[float, float]]:
     """Best F1 and normalized weight per score; weights are proportional to the F1."""
-    best = {s: best_f1(sweep_grid(validation, s, label, f1_grid())).first()["f1"] for s in scores}
+    swept = sweep_grids(validation, scores, label, f1_grid())
+    best = {r["score"]: r["f1"] for r in swept.groupBy("score").agg(F.max("f1").alias("f1")).collect()}
     raw = {s: max(f, WEIGHT_FLOOR) for s, f in best.items()}
     return {s: (best[s], raw[s] / sum(raw.values())) for s in scores}
 

@@ -18,7 +18,7 @@ from gustwatch.settings import CONTAMINATIONS, FLAG_PERCENTILE, KEY, LIMITS, Lim
 TREES = 100
 SAMPLE = 256
 #: Nodes of all assets together that one executor may hold; above it rows and models meet in groups.
-BROADCAST_NODES = 5_000_000
+BROADCAST_NODES = 500_000
 
 MODEL_SCHEMA = (
     "asset_id bigint, fit_rows bigint, roots array<int>, feature array<int>, threshold array<double>, "
@@ -173,8 +173,10 @@ def score_forest(
     chunks = rows.groupBy("asset_id").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(limits.python_rows)).cast("int").alias("_chunks")
     )
-    placed = rows.join(chunks, "asset_id").withColumn("_chunk", F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("int"))
-    spread = models.join(chunks, "asset_id").withColumn("_chunk", F.explode(F.expr("sequence(0, _chunks - 1)")))
+    chunk = F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("int")
+    placed = rows.join(chunks, "asset_id").select(*names, "_x", chunk.alias("_chunk"))
+    copies = F.explode(F.expr("sequence(0, _chunks - 1)")).alias("_chunk")
+    copied = models.join(chunks, "asset_id").select(*models.columns, copies)
 
     def score_group(key, group: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if group.empty:
@@ -184,7 +186,7 @@ def score_forest(
         return scored(FlatForest(model, sample), group)
 
     by = ["asset_id", "_chunk"]
-    return placed.groupBy(*by).cogroup(spread.groupBy(*by)).applyInPandas(score_group, schema)
+    return spread(placed, *by).groupBy(*by).cogroup(spread(copied, *by).groupBy(*by)).applyInPandas(score_group, schema)
 
 
 def choose_offsets(
@@ -241,13 +243,13 @@ def isolation_scores(
 ) -> DataFrame:
     """Shifted score ``if_anomaly_score`` and flag ``if_anomaly_flag`` for every row.
 
-    Raw scores are written once, since offsets, flags and the caller's
-    normalization all read them.
+    Inputs and raw scores are written once: fitting and scoring read the
+    former, offsets, flags and the caller's normalization the latter.
     """
-    models = materialize(fit_forest(df, features, mask, trees, seed=seed))
     kept = list(dict.fromkeys([*KEY, *keep]))
-    masked = df.withColumn("_fit", F.coalesce(mask, F.lit(False)))
-    narrowed = masked.select(*kept, "_fit", *[c for c in features if c not in kept])
+    inputs = [c for c in features if c not in kept]
+    narrowed = materialize(df.withColumn("_fit", F.coalesce(mask, F.lit(False))).select(*kept, "_fit", *inputs))
+    models = materialize(fit_forest(narrowed, features, F.col("_fit"), trees, seed=seed))
     raw = materialize(score_forest(narrowed, models, features, limits=limits).select(*kept, "_fit", "if_raw_score"))
     offsets = choose_offsets(raw, "if_raw_score", F.col("_fit"), limits=limits).select("asset_id", "offset")
     shifted = raw.join(offsets, "asset_id", "left").withColumn(

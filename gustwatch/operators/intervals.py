@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gustwatch.functions.expressions import text_to_bigint
 from gustwatch.operators.ordered import Ordered
 from gustwatch.session import fits
 from gustwatch.settings import LIMITS, Limits
@@ -17,7 +18,7 @@ def normalize_events(events: DataFrame) -> DataFrame:
     if "asset_id" not in events.columns and "asset" in events.columns:
         events = events.withColumnRenamed("asset", "asset_id")
     numbers = ["asset_id", "event_id", *_RANGE]
-    changed = {c: F.col(c).cast("string").try_cast("bigint") for c in numbers if c in events.columns}
+    changed = {c: text_to_bigint(c) for c in numbers if c in events.columns}
     changed["event_label"] = F.lower(F.trim("event_label"))
     return events.select(*[changed.get(c, F.col(c)).alias(c) for c in events.columns])
 

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gustwatch.functions.expressions import text_to_double
 from gustwatch.settings import META_COLUMNS, MIN_VARIANCE
 
 # Statistics columns of a sensor that are not features, and label columns.
@@ -43,7 +44,7 @@ def cast_sensors(df: DataFrame, sensors: Sequence[str]) -> DataFrame:
     def cast(name: str) -> Column:
         column = F.col(name)
         if types[name] == "string":
-            return column.try_cast("double").alias(name)
+            return text_to_double(column).alias(name)
         return column if types[name] == "double" else column.cast("double").alias(name)
 
     return df.select(*[cast(c) if c in sensors else F.col(c) for c in df.columns])

@@ -24,6 +24,7 @@ from gustwatch.operators.thresholds import (
     probability_grid,
     sweep_grid,
 )
+from gustwatch.session import materialize
 from gustwatch.settings import LIMITS, Limits
 
 FOLD_GAP = 20
@@ -122,6 +123,7 @@ def cross_validate(
     folded: DataFrame, features: Sequence[str], settings: TreeSettings = EVENT_TREES, fold_count_limit: int = 5
 ) -> DataFrame:
     """F1, precision and recall per fold of ``add_time_folds`` output; one-class training data gives 0."""
+    folded = materialize(folded.select("nth", "holdout", "fold", "label", *features))
     fit_rows = folded.filter("not holdout").count()
     results = None
     for fold in range(min(fold_count(fit_rows), fold_count_limit)):
@@ -217,7 +219,7 @@ def leave_event_out(
     max_folds: int = 12,
 ) -> DataFrame:
     """Error per fold of a model that has not seen the fold's events; folds without rows on a side are left out."""
-    folded = add_event_folds(rows, event, max_folds)
+    folded = materialize(add_event_folds(rows.select(event, target, *features), event, max_folds))
     folds = sorted(r[0] for r in folded.select("fold").distinct().collect())
     predicted = None
     for fold in folds:

@@ -53,29 +53,38 @@ def confusion(df: DataFrame, score: str, label: str, threshold: float) -> DataFr
 
 
 def sweep_grid(df: DataFrame, score: str, label: str, grid: Sequence[float]) -> DataFrame:
-    """Counts and rates at every threshold of a fixed grid, in one pass over the rows.
+    """Counts and rates at every threshold of a fixed grid, in one pass over the rows."""
+    return sweep_grids(df, [score], label, grid).drop("score")
 
-    A row is counted once, in the bucket of the greatest threshold below its
-    score; suffix sums over the buckets (one row per threshold) give the
-    counts of each threshold.
+
+def sweep_grids(df: DataFrame, scores: Sequence[str], label: str, grid: Sequence[float]) -> DataFrame:
+    """``sweep_grid`` of several scores at once, one row per ``score`` and threshold.
+
+    A row is counted once per score, in the bucket of the greatest threshold
+    below its score; suffix sums over the buckets (one row per threshold) give
+    the counts of each threshold.
     """
     # The bucketizer's ranges include their lower end; on negated values that leaves scores strictly above.
     splits = [-float("inf"), *[-t for t in reversed(grid)], float("inf")]
     bucketizer = Bucketizer(splits=splits, inputCol="_negated", outputCol="_bucket")
-    positive = F.col(label) == 1
-    known = df.filter(F.col(score).isNotNull() & ~F.isnan(score)).withColumn("_negated", -F.col(score).cast("double"))
+    values = [F.struct(F.lit(s).alias("score"), (-F.col(s).cast("double")).alias("negated")) for s in scores]
+    long = df.select((F.col(label) == 1).alias("_positive"), F.explode(F.array(*values)).alias("_v"))
+    known = long.select("_positive", "_v.score", F.col("_v.negated").alias("_negated")).filter(
+        F.col("_negated").isNotNull() & ~F.isnan("_negated")
+    )
     counted = (
         bucketizer.transform(known)
-        .groupBy((F.lit(len(grid)) - F.col("_bucket").cast("int")).alias("_above"))
-        .agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
+        .groupBy("score", (F.lit(len(grid)) - F.col("_bucket").cast("int")).alias("_above"))
+        .agg(F.count_if(F.col("_positive")).alias("pos"), F.count_if(~F.col("_positive")).alias("neg"))
     )
     steps = df.sparkSession.createDataFrame(
-        [(i, float(t)) for i, t in enumerate([float("-inf"), *grid])], "_above int, threshold double"
+        [(s, i, float(t)) for s in scores for i, t in enumerate([float("-inf"), *grid])],
+        "score string, _above int, threshold double",
     )
-    higher = Window.orderBy(F.desc("_above"))
-    every = Window.partitionBy()
-    filled = steps.join(counted, "_above", "left").fillna(0, ["pos", "neg"])
+    higher, every = Window.partitionBy("score").orderBy(F.desc("_above")), Window.partitionBy("score")
+    filled = steps.join(counted, ["score", "_above"], "left").fillna(0, ["pos", "neg"])
     sums = filled.select(
+        "score",
         "_above",
         "threshold",
         F.sum("pos").over(higher).alias("tp"),
@@ -83,9 +92,8 @@ def sweep_grid(df: DataFrame, score: str, label: str, grid: Sequence[float]) ->
         F.sum("pos").over(every).alias("_pos"),
         F.sum("neg").over(every).alias("_neg"),
     ).filter("_above > 0")
-    counts = sums.select(
-        "threshold", "tp", "fp", (F.col("_pos") - F.col("tp")).alias("fn"), (F.col("_neg") - F.col("fp")).alias("tn")
-    )
+    fn, tn = F.col("_pos") - F.col("tp"), F.col("_neg") - F.col("fp")
+    counts = sums.select("score", "threshold", "tp", "fp", fn.alias("fn"), tn.alias("tn"))
     rates = rate_columns(*[F.col(c) for c in ("tp", "fp", "fn", "tn")])
     rates["f1"] = f_beta(rates["precision"], rates["detection_rate"])
     rates["f05"] = f_beta(rates["precision"], rates["detection_rate"], 0.5)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,26 @@ from pyspark.sql import functions as F
 from gustwatch.settings import LIMITS, Limits
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, for the functions that run in Python there.
+
+    Not needed where the package is installed on all nodes.
+    """
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="gustwatch-")) / "gustwatch.zip"
+        with zipfile.ZipFile(archive, "w") as packed:
+            for file in sorted(root.rglob("*.py")):
+                packed.write(file, file.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _shipped.add(application)
+    return spark
+
+
 def use_utc(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
