@@ -208,10 +208,10 @@ def choose_offsets(
     tries = F.array(
         *[
             F.struct(
-                (F.col("_mean") - F.col(f"`{percentile_column(p)}`")).alias("mean_score"),
+                (F.col("_mean") - F.col(percentile_column(p))).alias("mean_score"),
                 F.lit(i).alias("nth"),
                 F.lit(float(c)).alias("contamination"),
-                F.col(f"`{percentile_column(p)}`").alias("offset"),
+                F.col(percentile_column(p)).alias("offset"),
             )
             for i, (c, p) in enumerate(zip(contaminations, percents))
         ]

@@ -14,12 +14,16 @@ _RANGE = ("event_start_id", "event_end_id")
 
 
 def normalize_events(events: DataFrame) -> DataFrame:
-    """Common event schema: ``asset_id``, lower-case label, numeric ids; bad bounds become null."""
+    """Common event schema: ``asset_id``, lower-case label, numeric ids, times; bad values become null."""
     if "asset_id" not in events.columns and "asset" in events.columns:
         events = events.withColumnRenamed("asset", "asset_id")
     numbers = ["asset_id", "event_id", *_RANGE]
     changed = {c: text_to_bigint(c) for c in numbers if c in events.columns}
     changed["event_label"] = F.lower(F.trim("event_label"))
+    types = dict(events.dtypes)
+    for time in ("event_start", "event_end"):
+        if types.get(time) == "string":
+            changed[time] = F.try_to_timestamp(time)
     return events.select(*[changed.get(c, F.col(c)).alias(c) for c in events.columns])
 
 

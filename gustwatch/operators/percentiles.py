@@ -12,7 +12,7 @@ from gustwatch.settings import LIMITS, Limits
 
 
 def percentile_column(percent: float) -> str:
-    return f"p{percent:g}"
+    return f"p{percent:g}".replace(".", "_")
 
 
 def exact_percentiles(

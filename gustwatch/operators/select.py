@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gustwatch.functions.expressions import text_to_double
+from gustwatch.functions.expressions import text_to_bigint, text_to_double
 from gustwatch.settings import META_COLUMNS, MIN_VARIANCE
 
 # Statistics columns of a sensor that are not features, and label columns.
@@ -50,6 +50,18 @@ def cast_sensors(df: DataFrame, sensors: Sequence[str]) -> DataFrame:
     return df.select(*[cast(c) if c in sensors else F.col(c) for c in df.columns])
 
 
+def cast_meta(df: DataFrame) -> DataFrame:
+    """Key and status columns that were read as text in their proper types."""
+    proper = {
+        "asset_id": text_to_bigint("asset_id"),
+        "id": text_to_bigint("id"),
+        "status_type_id": text_to_bigint("status_type_id").cast("int"),
+        "time_stamp": F.try_to_timestamp("time_stamp"),
+    }
+    types = dict(df.dtypes)
+    return df.withColumns({c: v for c, v in proper.items() if types.get(c) == "string"})
+
+
 def variances(df: DataFrame, sensors: Sequence[str]) -> DataFrame:
     """Rows ``(feature, variance)`` from one aggregate; a missing variance counts 0."""
     one = df.agg(*[F.coalesce(F.var_samp(c), F.lit(0.0)).alias(c) for c in sensors])

@@ -35,7 +35,7 @@ def build_feature_table(
     normal_train = (F.col("train_test") == "train") & F.col("status_type_id").isin(*settings.normal_status)
 
     candidates = select.sensor_columns(telemetry.columns)
-    telemetry = select.cast_sensors(telemetry.select(*META_COLUMNS, *candidates), candidates)
+    telemetry = select.cast_sensors(select.cast_meta(telemetry.select(*META_COLUMNS, *candidates)), candidates)
     quality.require_rows(telemetry.filter(normal_train), "normal rows of the train split")
     sensors = sorted(select.pick_sensors(telemetry.filter(normal_train), candidates, settings.top_sensors))
     telemetry = telemetry.select(*META_COLUMNS, *sensors)
