@@ -26,7 +26,7 @@ def next_event(
     """
     starts = events.select("asset_id", F.col(event_time).alias("time"), "event_id").dropna()
     starts = starts.groupBy("asset_id", "time").agg(F.min("event_id").alias("event_id"))
-    if fits(starts, limits.broadcast_rows):
+    if fits(starts, limits):
         return _by_validity(rows, starts, time)
     return _by_running_minimum(rows, starts, time, limits)
 

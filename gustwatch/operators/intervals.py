@@ -44,7 +44,7 @@ def event_rows(rows: DataFrame, events: DataFrame, limits: Limits = LIMITS) -> D
     shared = [c for c in events.columns if c in rows.columns and c != "asset_id"]
     if shared:
         raise ValueError(f"columns on both sides: {shared}")
-    if fits(events, limits.broadcast_rows):
+    if fits(events, limits):
         ranged = events.withColumnRenamed("asset_id", "_asset")
         inside = (F.col("asset_id") == F.col("_asset")) & _inside(F.col("id"))
         return rows.join(F.broadcast(ranged), inside).drop("_asset")
@@ -101,7 +101,7 @@ def add_window_flag(rows: DataFrame, events: DataFrame, name: str, limits: Limit
     duplicates have to be removed afterwards.
     """
     windows = merged_windows(events, limits)
-    if fits(windows, limits.broadcast_rows):
+    if fits(windows, limits):
         ranged = windows.withColumnRenamed("asset_id", "_asset")
         inside = (F.col("asset_id") == F.col("_asset")) & _inside(F.col("id"))
         return (

@@ -52,8 +52,14 @@ class Ordered:
         keys: Sequence[str],
         order: Sequence[str],
         limits: Limits = LIMITS,
+        measured: DataFrame | None = None,
     ) -> Ordered:
-        per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        """Order ``df``, cutting hot keys.
+
+        ``measured`` is a table with at least the rows of ``df`` per key that is
+        cheaper to count, such as the input ``df`` was derived from.
+        """
+        per_key = (df if measured is None else measured).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
         heaviest, total = per_key.agg(F.max("n"), F.sum("n")).first()
         plain = cls(df, keys, order, split=False)
         if (heaviest or 0) <= limits.task_rows:

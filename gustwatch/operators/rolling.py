@@ -97,7 +97,8 @@ def add_rolling(
     if by_split:
         # Counter increments run over the whole asset, frames stay within the split.
         prepared = by_asset.lookback(1, prepare).result()
-        rolled = Ordered.of(prepared, ["asset_id", "train_test"], ORDER, limits).lookback(farthest, roll)
+        by_part = Ordered.of(prepared, ["asset_id", "train_test"], ORDER, limits, measured=df)
+        rolled = by_part.lookback(farthest, roll)
     else:
         rolled = by_asset.lookback(farthest, lambda rows, window: roll(prepare(rows, window), window))
     helpers = [c for c in rolled.df.columns if c.endswith(("__sin", "__cos", "__rate"))]

@@ -21,10 +21,12 @@ def add_status_history(
     downtime: Sequence[int] = (4,),
     derated: Sequence[int] = (1,),
     limits: Limits = LIMITS,
+    measured: DataFrame | None = None,
 ) -> DataFrame:
     """Share of rows in downtime and derated status, status changes, hours since downtime.
 
     The shares are shares of rows within the last 24 hours, 7 and 30 days.
+    ``measured`` is as for ``Ordered.of``.
     """
     flagged = df.select(
         "*",
@@ -32,7 +34,7 @@ def add_status_history(
         F.col("status_type_id").isin(*downtime).cast("int").alias(_DOWN),
         (F.col("status_type_id").isin(*derated).cast("int") if derated else F.lit(0)).alias(_DERATED),
     )
-    rows = Ordered.of(flagged, ["asset_id"], ORDER, limits).lookback(
+    rows = Ordered.of(flagged, ["asset_id"], ORDER, limits, measured).lookback(
         1,
         lambda part, window: part.withColumn(
             _CHANGED,

@@ -45,7 +45,7 @@ def build_feature_table(
     rolled = rolling_names(sensors)
     windowed = add_rolling(telemetry, sensors, kinds, settings.roll_by_split, limits)
     windowed = fill_zero(drop_all_null(windowed, rolled), rolled)
-    windowed = add_status_history(windowed, settings.downtime_status, settings.derated_status, limits)
+    windowed = add_status_history(windowed, settings.downtime_status, settings.derated_status, limits, telemetry)
     # Read three times from here on: for the baselines, for the statistics, and for the result.
     windowed = materialize(select.add_products(windowed, pairs))
 

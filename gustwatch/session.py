@@ -72,14 +72,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; never counts further than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def broadcast_if_small(df: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """Broadcast hint behind a row count; a larger side is left to a shuffle join."""
-    return F.broadcast(df) if fits(df, limits.broadcast_rows) else df
+def fits(df: DataFrame, limits: Limits = LIMITS, key: str = "asset_id") -> bool:
+    """Whether ``df`` may be broadcast for a range test per ``key``; counts no further than needed."""
+    counted = df.limit(limits.broadcast_rows + 1).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    most, total = counted.agg(F.max("n"), F.sum("n")).first()
+    return (total or 0) <= limits.broadcast_rows and (most or 0) <= limits.candidates_per_key
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

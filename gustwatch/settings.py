@@ -18,6 +18,8 @@ class Limits:
     task_rows: int = 5_000_000
     #: Rows a broadcast side may have; above it the join is done another way.
     broadcast_rows: int = 100_000
+    #: Rows of one key a broadcast side may have, since each row is tested against all of its key.
+    candidates_per_key: int = 500
     #: Rows per group handed to one Python call when scoring.
     python_rows: int = 200_000
 
