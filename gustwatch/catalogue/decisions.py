@@ -22,6 +22,7 @@ from gustwatch.functions.expressions import (
 )
 from gustwatch.operators import ensemble, intervals, scaling, thresholds
 from gustwatch.operators.percentiles import exact_percentiles, percentile_column
+from gustwatch.session import materialize, sized
 from gustwatch.settings import SWEEP_PERCENTILES
 
 _SCORES = ["if_anomaly_score", "lstm_anomaly_score", "xgb_anomaly_prob"]
@@ -95,8 +96,8 @@ FROM scores s JOIN (SELECT asset_id, {_PCT} AS p FROM scores GROUP BY 1) p ON s.
 def percentile_flag(spark, sf_dir):
     """Rows strictly above the 95th percentile of their asset."""
     rows = scores(spark, sf_dir)
-    limits = exact_percentiles(rows, "if_anomaly_score", [95], by=["asset_id"])
-    flagged = rows.join(limits, "asset_id")
+    bounds = sized(exact_percentiles(rows, "if_anomaly_score", [95], by=["asset_id"]))
+    flagged = rows.join(bounds, "asset_id")
     flag = (F.col("if_anomaly_score") > F.col(percentile_column(95))).cast("int")
     return flagged.select("id", flag.alias("if_anomaly_flag"), rounded(percentile_column(95)).alias("threshold"))
 
@@ -393,8 +394,9 @@ def _normalized(spark, sf_dir):
 def _validation(spark, sf_dir, rows=None):
     """Train rows inside windows with label ``y_window``."""
     rows = _normalized(spark, sf_dir) if rows is None else rows
+    # Only rows of the train split inside windows, read several times.
     inside = intervals.window_labels(rows.filter("train_test = 'train'").drop("xgb_fault_type"), event_info(spark, sf_dir))
-    return inside.withColumnRenamed("label", "y_window")
+    return materialize(inside.select("id", *[c for c in rows.columns if c.endswith("_norm")], F.col("label").alias("y_window")))
 
 
 _NORMALIZED = "normalized AS (SELECT s.*, {} FROM scores s, (SELECT {} FROM scores WHERE train_test = 'train'))".format(
@@ -422,18 +424,22 @@ _ALERTS = """alerts AS (SELECT *, CAST(coalesce(sum(CASE WHEN ensemble_score > t
 ALERT_CTES = [*_THRESHOLD_CTES, _ALERTS]
 
 
-def ensemble_rows(spark, sf_dir):
-    """Normalized scores with equal and weighted mean."""
+def _weighted(spark, sf_dir):
+    """Normalized scores and validation rows, both with equal and weighted mean."""
     rows = _normalized(spark, sf_dir)
-    weights = ensemble.model_weights(_validation(spark, sf_dir, rows), _NORMS)
-    return ensemble.add_ensemble(rows, {s: w for s, (_, w) in weights.items()})
+    validation = _validation(spark, sf_dir, rows)
+    weights = {s: w for s, (_, w) in ensemble.model_weights(validation, _NORMS).items()}
+    return ensemble.add_ensemble(rows, weights), ensemble.add_ensemble(validation, weights)
+
+
+def ensemble_rows(spark, sf_dir):
+    return _weighted(spark, sf_dir)[0]
 
 
 def alert_rows(spark, sf_dir):
     """Ensemble rows with debounced alerts at the tuned threshold."""
-    rows = ensemble_rows(spark, sf_dir)
-    threshold = ensemble.ensemble_threshold(_validation(spark, sf_dir, rows))
-    return ensemble.add_alerts(rows, "ensemble_score", threshold)
+    rows, validation = _weighted(spark, sf_dir)
+    return ensemble.add_alerts(rows, "ensemble_score", ensemble.ensemble_threshold(validation))
 
 
 @query(
@@ -462,8 +468,8 @@ def score_corr(spark, sf_dir):
 
 @query("ensemble_threshold", sql_with(_LS, f"SELECT {r6('threshold')} AS threshold FROM best", *_THRESHOLD_CTES))
 def ensemble_threshold(spark, sf_dir):
-    rows = ensemble_rows(spark, sf_dir)
-    swept = thresholds.sweep_grid(_validation(spark, sf_dir, rows), "ensemble_simple", "y_window", thresholds.f1_grid())
+    _, validation = _weighted(spark, sf_dir)
+    swept = thresholds.sweep_grid(validation, "ensemble_simple", "y_window", thresholds.f1_grid())
     return thresholds.best_f1(swept).select(rounded("threshold").alias("threshold"))
 
 

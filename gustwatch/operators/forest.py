@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gustwatch.operators.percentiles import exact_percentiles, percentile_column
-from gustwatch.session import materialize, spread
+from gustwatch.session import materialize, sized, spread
 from gustwatch.settings import CONTAMINATIONS, FLAG_PERCENTILE, KEY, LIMITS, Limits
 
 TREES = 100
@@ -95,7 +95,7 @@ def fit_forest(
     the groups handed to Python are bounded and the same on any partitioning.
     """
     fit = df.filter(mask).select("asset_id", "id", _features(df, features).alias("x"))
-    sizes = fit.groupBy("asset_id").agg(F.count(F.lit(1)).alias("fit_rows"))
+    sizes = sized(fit.groupBy("asset_id").agg(F.count(F.lit(1)).alias("fit_rows")))
     share = F.lit(float(trees * sample)) / F.col("fit_rows")
     uniform = F.pmod(F.xxhash64(F.lit(seed), "asset_id", "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     pool = fit.join(sizes, "asset_id").filter(uniform < share)
@@ -170,9 +170,8 @@ def score_forest(
 
         return rows.mapInPandas(score_batches, schema)
 
-    chunks = rows.groupBy("asset_id").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(limits.python_rows)).cast("int").alias("_chunks")
-    )
+    needed = F.ceil(F.count(F.lit(1)) / F.lit(limits.python_rows)).cast("int")
+    chunks = sized(df.groupBy("asset_id").agg(needed.alias("_chunks")))
     chunk = F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("int")
     placed = rows.join(chunks, "asset_id").select(*names, "_x", chunk.alias("_chunk"))
     copies = F.explode(F.expr("sequence(0, _chunks - 1)")).alias("_chunk")
@@ -224,7 +223,7 @@ def add_asset_flag(
     scores: DataFrame, score: str, flag: str, percent: float = FLAG_PERCENTILE, limits: Limits = LIMITS
 ) -> DataFrame:
     """``flag`` is 1 strictly above the asset's own percentile of ``score``."""
-    found = exact_percentiles(scores, score, [percent], by=["asset_id"], limits=limits)
+    found = sized(exact_percentiles(scores, score, [percent], by=["asset_id"], limits=limits))
     bound = F.col(percentile_column(percent))
     joined = scores.join(found, "asset_id", "left")
     return joined.withColumn(flag, F.coalesce((F.col(score) > bound).cast("int"), F.lit(0))).drop(
@@ -251,7 +250,7 @@ def isolation_scores(
     narrowed = materialize(df.withColumn("_fit", F.coalesce(mask, F.lit(False))).select(*kept, "_fit", *inputs))
     models = materialize(fit_forest(narrowed, features, F.col("_fit"), trees, seed=seed))
     raw = materialize(score_forest(narrowed, models, features, limits=limits).select(*kept, "_fit", "if_raw_score"))
-    offsets = choose_offsets(raw, "if_raw_score", F.col("_fit"), limits=limits).select("asset_id", "offset")
+    offsets = sized(choose_offsets(raw, "if_raw_score", F.col("_fit"), limits=limits).select("asset_id", "offset"))
     shifted = raw.join(offsets, "asset_id", "left").withColumn(
         "if_anomaly_score", F.col("if_raw_score") - F.col("offset")
     )

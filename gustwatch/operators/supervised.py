@@ -252,30 +252,29 @@ def gain_importance(spark: SparkSession, model, features: Sequence[str]) -> Data
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-def effect_importance(rows: DataFrame, model, features: Sequence[str]) -> DataFrame:
+def effect_importance(rows: DataFrame, model, features: Sequence[str], batch: int = 50) -> DataFrame:
     """Mean absolute change of the prediction when a feature is set to its mean, largest first.
 
-    Every row is scored once as it is and once per feature, in one pass.
+    A row is scored as it is and once per feature side by side, ``batch``
+    features in one pass, so nothing is shuffled but the sums.
     """
     means = rows.agg(*[F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in features]).first()
     current = [F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features]
-    variants = F.array(
-        F.struct(F.lit("").alias("feature"), F.array(*current).alias("x")),
-        *[
-            F.struct(
-                F.lit(name).alias("feature"),
-                F.array(*[F.lit(means[name]) if j == i else v for j, v in enumerate(current)]).alias("x"),
-            )
-            for i, name in enumerate(features)
-        ],
-    )
-    exploded = rows.select("id", F.explode(variants).alias("v")).select(
-        "id", "v.feature", array_to_vector("v.x").alias("features")
-    )
-    scored = model.transform(exploded).select("id", "feature", "prediction")
-    per_row = scored.groupBy("id").agg(
-        F.max(F.when(F.col("feature") == "", F.col("prediction"))).alias("_as_is"),
-        *[F.max(F.when(F.col("feature") == f, F.col("prediction"))).alias(f"_{i}") for i, f in enumerate(features)],
-    )
-    effects = per_row.agg(*[F.avg(F.abs(F.col(f"_{i}") - F.col("_as_is"))).alias(f) for i, f in enumerate(features)])
-    return effects.unpivot([], list(features), "feature", "mean_abs_effect").orderBy(F.desc("mean_abs_effect"), "feature")
+
+    def predicted(df: DataFrame, values: list, name: str) -> DataFrame:
+        with_input = df.withColumn("_x", array_to_vector(F.array(*values)))
+        scorer = model.copy().setFeaturesCol("_x").setPredictionCol(name)
+        return scorer.transform(with_input).drop("_x")
+
+    effects = None
+    for start in range(0, len(features), batch):
+        part = list(features[start : start + batch])
+        scored = predicted(rows.select(*features), current, "_as_is")
+        for i, name in enumerate(part, start):
+            scored = predicted(scored, [*current[:i], F.lit(means[name]), *current[i + 1 :]], f"_with_{i}")
+        sums = scored.agg(
+            *[F.avg(F.abs(F.col(f"_with_{i}") - F.col("_as_is"))).alias(name) for i, name in enumerate(part, start)]
+        )
+        table = sums.unpivot([], part, "feature", "mean_abs_effect")
+        effects = table if effects is None else effects.unionByName(table)
+    return effects.orderBy(F.desc("mean_abs_effect"), "feature")

@@ -11,7 +11,7 @@ from gustwatch.operators import labels, quality, scaling, select
 from gustwatch.operators.intervals import normalize_events, require_valid_events
 from gustwatch.operators.rolling import add_rolling, drop_all_null, fill_zero, rolling_names
 from gustwatch.operators.status import add_status_history
-from gustwatch.session import materialize
+from gustwatch.session import materialize, sized
 from gustwatch.settings import LIMITS, META_COLUMNS, FarmSettings, Limits
 
 
@@ -49,7 +49,7 @@ def build_feature_table(
     # Read three times from here on: for the baselines, for the statistics, and for the result.
     windowed = materialize(select.add_products(windowed, pairs))
 
-    baseline = scaling.asset_baseline(windowed.filter(normal_train), sensors)
+    baseline = sized(scaling.asset_baseline(windowed.filter(normal_train), sensors))
     features = [*sensors, *rolled, *[f"{s}_deviation" for s in sensors], *pairs]
     derived = fill_zero(scaling.add_deviation(windowed, baseline, sensors), features)
     stats = scaling.scaler_stats(derived.filter(normal_train), features)

@@ -72,6 +72,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, one row per asset or so, written first so that the planner knows its size.
+
+    Joins then broadcast it when it is small and shuffle when it is not.
+    """
+    return materialize(df)
+
+
 def fits(df: DataFrame, limits: Limits = LIMITS, key: str = "asset_id") -> bool:
     """Whether ``df`` may be broadcast for a range test per ``key``; counts no further than needed."""
     counted = df.limit(limits.broadcast_rows + 1).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
