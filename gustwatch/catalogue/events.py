@@ -199,28 +199,28 @@ def risk_tier_query(spark, sf_dir):
     )
 
 
-# The first anomalies of assets 1, 2 and 3 stand for a farm's list of usable events.
-_USABLE = "SELECT min(event_id) FROM event_info WHERE event_label = 'anomaly' AND asset_id IN (1, 2, 3) GROUP BY asset_id"
+# Events that start with a high value stand for a farm's list of usable ones.
+_USABLE = "SELECT e.event_id FROM event_info e JOIN telemetry t ON e.event_id = t.id WHERE t.sensor_0_avg >= 5000"
 
 
-def usable_events(spark, sf_dir) -> list[int]:
-    listed = event_info(spark, sf_dir).filter("event_label = 'anomaly' and asset_id in (1, 2, 3)")
-    return sorted(r[0] for r in listed.groupBy("asset_id").agg(F.min("event_id")).select("min(event_id)").collect())
+def _with_usable(spark, sf_dir):
+    rows = telemetry(spark, sf_dir)
+    listed = rows.filter("sensor_0_avg >= 5000").select(F.col("id").alias("event_id"))
+    usable = event_info(spark, sf_dir).join(listed, "event_id").select("event_id")
+    return labels.add_usable_flag(labels.add_event_horizon(rows, event_info(spark, sf_dir)), usable)
 
 
 @query(
     "usable_flag",
     sql_with(
         "telemetry event_info",
-        f"SELECT id, next_id IN ({_USABLE}) AS usable FROM next_anomaly WHERE next_id IS NOT NULL UNION ALL SELECT id, NULL FROM next_anomaly WHERE next_id IS NULL",
+        f"SELECT id, CASE WHEN next_id IS NOT NULL THEN next_id IN ({_USABLE}) END AS usable FROM next_anomaly",
         _ANOMALY_STARTS,
         _NEXT_ANOMALY,
     ),
 )
-def usable_flag_query(spark, sf_dir):
-    labelled = labels.add_event_horizon(telemetry(spark, sf_dir), event_info(spark, sf_dir))
-    usable = usable_events(spark, sf_dir)
-    return labelled.select("id", labels.usable_flag("next_anomaly_event_id", usable).alias("usable"))
+def usable_flag(spark, sf_dir):
+    return _with_usable(spark, sf_dir).select("id", F.col(labels.USABLE).alias("usable"))
 
 
 @query(
@@ -233,8 +233,7 @@ def usable_flag_query(spark, sf_dir):
     ),
 )
 def supervised_rows(spark, sf_dir):
-    labelled = labels.add_event_horizon(telemetry(spark, sf_dir), event_info(spark, sf_dir))
-    kept = labels.supervised_rows(labelled, "hours_to_next_anomaly", usable_events(spark, sf_dir), [0])
+    kept = labels.supervised_rows(_with_usable(spark, sf_dir), "hours_to_next_anomaly", [0])
     return kept.select("id", "next_anomaly_event_id", rounded("hours_to_next_anomaly").alias("hours_to_next_anomaly"))
 
 

@@ -164,11 +164,17 @@ def feature_importance(spark, sf_dir):
     return gain.join(supervised.effect_importance(learned, model, _FEATURES), "feature")
 
 
-# A class of a few rows at every scale: each asset has about 67 rows.
-_RARE = "asset_id = 7 AND k < 8"
+# The highest readings are a class of a few rows.
+_SHARE = 0.75
 _POINT = ["sensor_0_avg", "sensor_2_avg"]
 
 
+def _with_rare(spark, sf_dir):
+    rows = telemetry(spark, sf_dir)
+    top = rows.agg(F.max("sensor_0_avg")).first()[0] or 0.0
+    return rows.withColumn("label", (F.col("sensor_0_avg") > F.lit(_SHARE) * F.lit(top)).cast("int"))
+
+
 @query(
     "smote_neighbours",
     sql_with(
@@ -177,22 +183,22 @@ _POINT = ["sensor_0_avg", "sensor_2_avg"]
   SELECT a.id, b.id AS neighbour, d AS distance, row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) AS rank
   FROM rare a JOIN rare b ON a.id <> b.id,
     LATERAL (SELECT (a.sensor_0_avg - b.sensor_0_avg) * (a.sensor_0_avg - b.sensor_0_avg) + (a.sensor_2_avg - b.sensor_2_avg) * (a.sensor_2_avg - b.sensor_2_avg) AS d))
-WHERE rank <= 3""",
-        f"rare AS (SELECT * FROM telemetry WHERE {_RARE})",
+WHERE rank <= 3 AND (SELECT count(*) FROM rare) < 10""",
+        f"rare AS (SELECT * FROM telemetry WHERE sensor_0_avg > {_SHARE}e0 * (SELECT max(sensor_0_avg) FROM telemetry))",
     ),
 )
 def smote_neighbours(spark, sf_dir):
-    """Neighbours within the rare class found in the whole table."""
-    rare = telemetry(spark, sf_dir).filter(_RARE)
-    found = oversample.nearest_neighbours(rare, _POINT, k=oversample.NEIGHBOURS)
+    """Neighbours within the rare class found in the whole table; none if it is not small."""
+    rare = _with_rare(spark, sf_dir).filter("label = 1")
+    small = oversample.is_small(rare)
+    found = oversample.nearest_neighbours(rare if small else rare.limit(0), _POINT, k=oversample.NEIGHBOURS)
     return found.select("id", "neighbour", "rank", rounded("distance").alias("distance"))
 
 
 @query("smote_rows")
 def smote_rows(spark, sf_dir):
     """The whole table with synthetic rows of the rare class."""
-    labelled = telemetry(spark, sf_dir).withColumn("label", F.expr(f"cast({_RARE} as int)"))
-    return oversample.oversample(labelled, "label", _POINT)
+    return oversample.oversample(_with_rare(spark, sf_dir), "label", _POINT)
 
 
 def _sequence_model(spark, sf_dir):

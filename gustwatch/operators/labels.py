@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gustwatch.functions.expressions import hours_between, risk_tier, sooner
@@ -13,9 +13,19 @@ from gustwatch.operators.intervals import add_window_flag, first_downtime
 from gustwatch.settings import LIMITS, FarmSettings, Limits
 
 
-def usable_flag(event_id: str, usable: Sequence[int]) -> Column:
-    """Whether the next event may be learned from; no next event stays null, an empty list means none."""
-    return F.col(event_id).isin(*usable) if usable else F.lit(False)
+USABLE = "is_usable_supervised_next"
+
+
+def add_usable_flag(rows: DataFrame, usable: Sequence[int] | DataFrame, event: str = "next_anomaly_event_id") -> DataFrame:
+    """Whether the next event may be learned from; no next event stays null, an empty list means none.
+
+    ``usable`` is a list of ids, or a table ``(event_id)`` where there are many.
+    """
+    if isinstance(usable, DataFrame):
+        listed = usable.select(F.col("event_id").alias(event)).distinct().withColumn("_listed", F.lit(True))
+        flag = F.when(F.col(event).isNotNull(), F.col("_listed").isNotNull())
+        return rows.join(listed, event, "left").select(*rows.columns, flag.alias(USABLE))
+    return rows.withColumn(USABLE, F.col(event).isin(*usable) if usable else F.lit(False))
 
 
 def add_event_horizon(rows: DataFrame, events: DataFrame, limits: Limits = LIMITS) -> DataFrame:
@@ -68,10 +78,6 @@ def add_fit_mask(
     return flagged.withColumn("if_fit_eligible", early & ~F.col("in_anomaly_window") & normal)
 
 
-def supervised_rows(rows: DataFrame, target: str, usable: Sequence[int], normal_status: Sequence[int]) -> DataFrame:
+def supervised_rows(rows: DataFrame, target: str, normal_status: Sequence[int]) -> DataFrame:
     """Rows to learn the horizon from: known target, usable next event, normal status."""
-    return rows.filter(
-        F.col(target).isNotNull()
-        & F.col("next_anomaly_event_id").isin(*usable)
-        & F.col("status_type_id").isin(*normal_status)
-    )
+    return rows.filter(F.col(target).isNotNull() & F.col(USABLE) & F.col("status_type_id").isin(*normal_status))

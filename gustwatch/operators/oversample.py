@@ -16,13 +16,17 @@ def neighbour_count(rows: int) -> int:
     return max(1, min(NEIGHBOURS, rows - 1))
 
 
+def is_small(rows: DataFrame) -> bool:
+    return rows.limit(SMALL_CLASS).count() < SMALL_CLASS
+
+
 def nearest_neighbours(minority: DataFrame, features: Sequence[str], k: int) -> DataFrame:
     """The ``k`` nearest other rows of each row, by squared distance, ties by id.
 
     Compares all pairs, which is why it takes a class of fewer than
     ``SMALL_CLASS`` rows and refuses a larger one.
     """
-    if minority.limit(SMALL_CLASS).count() >= SMALL_CLASS:
+    if not is_small(minority):
         raise ValueError(f"not a small class: {SMALL_CLASS} rows or more")
     values = F.array(*[F.col(c).cast("double") for c in features])
     one = minority.select(F.lit(1).alias("_class"), F.col("id"), values.alias("x"))

@@ -56,8 +56,7 @@ def build_feature_table(
     scaled = scaling.standard_scale(derived, stats)
 
     labelled = labels.add_event_horizon(scaled, events, limits)
-    usable = labels.usable_flag("next_anomaly_event_id", settings.usable_events)
-    labelled = labelled.withColumn("is_usable_supervised_next", usable)
+    labelled = labels.add_usable_flag(labelled, settings.usable_events)
     labelled = labels.add_downtime_horizon(labelled, events, telemetry, settings.downtime_status, limits)
     labelled = labels.add_fit_mask(labelled, events, settings, limits=limits)
     quality.require_feature_contract(labelled, [*META_COLUMNS, *select.LABEL_COLUMNS, *sensors], sensors)

@@ -146,9 +146,13 @@ def test_horizons_and_fit_mask(spark):
     assert column(warned, "hours_to_next_operator_warning") == [2.0, 1.0, 1.0, None, None, None]
     settings = FarmSettings(fit_cutoff="2024-01-01 05:00:00")
     assert column(labels.add_fit_mask(rows, windows, settings), "if_fit_eligible") == [True, True, False, False, False, False]
-    flags = labelled.withColumn("u", labels.usable_flag("next_anomaly_event_id", [9]))
-    assert column(flags, "u") == [True, True, None, None, None, None]
-    assert set(column(labelled.withColumn("u", labels.usable_flag("next_anomaly_event_id", [])), "u")) == {False}
+    expected = [True, True, None, None, None, None]
+    assert column(labels.add_usable_flag(labelled, [9]), labels.USABLE) == expected
+    many = spark.createDataFrame([(9,), (8,), (9,)], "event_id bigint")
+    flagged = labels.add_usable_flag(labelled, many)
+    assert column(flagged, labels.USABLE) == expected
+    assert column(labels.supervised_rows(flagged, "hours_to_next_anomaly", [0]), "id") == [0, 1]
+    assert set(column(labels.add_usable_flag(labelled, []), labels.USABLE)) == {False}
 
 
 def test_no_events_at_all(spark):
