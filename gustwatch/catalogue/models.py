@@ -52,7 +52,9 @@ def _featured(spark, sf_dir):
 
 _FEATURES = [*SENSORS, *rolling_names(SENSORS)]
 # Every asset has train rows; eligible ones need not exist for each.
-_FIT = F.col("train_test") == "train"
+def _fit_rows():
+    return F.col("train_test") == "train"
+
 
 
 @query("iforest_scores")
@@ -60,7 +62,7 @@ def iforest_scores(spark, sf_dir):
     """Score, flag and normalized score of every row, from a forest per asset."""
     masked = _masked(spark, sf_dir)
     keep = ["train_test", "status_type_id", "if_fit_eligible", "in_anomaly_window"]
-    scored = forest.isolation_scores(masked, SENSORS, _FIT, keep, trees=_FOREST_TREES)
+    scored = forest.isolation_scores(masked, SENSORS, _fit_rows(), keep, trees=_FOREST_TREES)
     return scaling.minmax(scored, {"if_anomaly_score": "if_anomaly_score_norm"}, F.col("if_fit_eligible"))
 
 
@@ -70,7 +72,7 @@ def iforest_v2_scores(spark, sf_dir):
     events = event_info(spark, sf_dir)
     rows = _featured(spark, sf_dir)
     top = evaluate.top_separating(intervals.event_rows(rows, events), _FEATURES, n=6).collect()
-    scored = forest.isolation_scores(rows, [r.feature for r in top], _FIT, ["train_test"], trees=_FOREST_TREES)
+    scored = forest.isolation_scores(rows, [r.feature for r in top], _fit_rows(), ["train_test"], trees=_FOREST_TREES)
     flagged = scored.select("asset_id", "id", "if_anomaly_score")
     for name, label in (("anomalous", "anomaly"), ("normal", "normal")):
         flagged = intervals.add_window_flag(flagged, events.filter(F.col("event_label") == label), name)
