@@ -12,6 +12,7 @@ from gustwatch.catalogue.base import (
     r6,
     scores,
     sql_with,
+    table,
     telemetry,
 )
 from gustwatch.functions.expressions import (
@@ -22,6 +23,7 @@ from gustwatch.functions.expressions import (
 )
 from gustwatch.operators import ensemble, intervals, scaling, thresholds
 from gustwatch.operators.percentiles import exact_percentiles, percentile_column
+from gustwatch.operators.supervised import add_time_folds
 from gustwatch.session import materialize, sized
 from gustwatch.settings import SWEEP_PERCENTILES
 
@@ -377,8 +379,6 @@ def fault_assignment(spark, sf_dir):
 )
 def time_folds(spark, sf_dir):
     """Hold-out of the last fifth and forward-chained folds, with the rank over all rows taken in runs."""
-    from gustwatch.operators.supervised import add_time_folds
-
     rows = telemetry(spark, sf_dir)
     return add_time_folds(rows, limits=hot_limits(rows)).select("id", "nth", "holdout", "fold")
 
@@ -448,8 +448,8 @@ def alert_rows(spark, sf_dir):
 )
 def ensemble_weights(spark, sf_dir):
     weights = ensemble.model_weights(_validation(spark, sf_dir), _NORMS)
-    table = spark.createDataFrame([(s, f, w) for s, (f, w) in weights.items()], "score string, best_f1 double, weight double")
-    return table.select("score", rounded("best_f1").alias("best_f1"), rounded("weight").alias("weight"))
+    listed = spark.createDataFrame([(s, f, w) for s, (f, w) in weights.items()], "score string, best_f1 double, weight double")
+    return listed.select("score", rounded("best_f1").alias("best_f1"), rounded("weight").alias("weight"))
 
 
 @query(
@@ -515,8 +515,6 @@ def alert_contextual(spark, sf_dir):
 )
 def status_thresholds(spark, sf_dir):
     """Known and unknown status codes."""
-    from gustwatch.catalogue.base import table
-
     codes = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("status")).distinct()
     return codes.select("status", status_threshold("status").alias("threshold"))
 

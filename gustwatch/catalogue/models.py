@@ -62,7 +62,7 @@ def iforest_scores(spark, sf_dir):
     """Score, flag and normalized score of every row, from a forest per asset."""
     masked = _masked(spark, sf_dir)
     keep = ["train_test", "status_type_id", "if_fit_eligible", "in_anomaly_window"]
-    scored = forest.isolation_scores(masked, SENSORS, _fit_rows(), keep, trees=_FOREST_TREES)
+    scored = forest.isolation_scores(masked, SENSORS, _fit_rows(), keep, trees=_FOREST_TREES, strict=False)
     return scaling.minmax(scored, {"if_anomaly_score": "if_anomaly_score_norm"}, F.col("if_fit_eligible"))
 
 
@@ -72,7 +72,7 @@ def iforest_v2_scores(spark, sf_dir):
     events = event_info(spark, sf_dir)
     rows = _featured(spark, sf_dir)
     top = evaluate.top_separating(intervals.event_rows(rows, events), _FEATURES, n=6).collect()
-    scored = forest.isolation_scores(rows, [r.feature for r in top], _fit_rows(), ["train_test"], trees=_FOREST_TREES)
+    scored = forest.isolation_scores(rows, [r.feature for r in top], _fit_rows(), ["train_test"], trees=_FOREST_TREES, strict=False)
     flagged = scored.select("asset_id", "id", "if_anomaly_score")
     for name, label in (("anomalous", "anomaly"), ("normal", "normal")):
         flagged = intervals.add_window_flag(flagged, events.filter(F.col("event_label") == label), name)
@@ -181,7 +181,7 @@ def _with_rare(spark, sf_dir):
     "smote_neighbours",
     sql_with(
         "telemetry",
-        f"""SELECT id, neighbour, rank, {r6('distance')} AS distance FROM (
+        f"""SELECT id, neighbour, CAST(rank AS INTEGER) AS rank, {r6('distance')} AS distance FROM (
   SELECT a.id, b.id AS neighbour, d AS distance, row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) AS rank
   FROM rare a JOIN rare b ON a.id <> b.id,
     LATERAL (SELECT (a.sensor_0_avg - b.sensor_0_avg) * (a.sensor_0_avg - b.sensor_0_avg) + (a.sensor_2_avg - b.sensor_2_avg) * (a.sensor_2_avg - b.sensor_2_avg) AS d))

@@ -238,16 +238,22 @@ def isolation_scores(
     keep: Sequence[str] = (),
     trees: int = TREES,
     seed: int = 42,
+    strict: bool = True,
     limits: Limits = LIMITS,
 ) -> DataFrame:
     """Shifted score ``if_anomaly_score`` and flag ``if_anomaly_flag`` for every row.
 
     Inputs and raw scores are written once: fitting and scoring read the
-    former, offsets, flags and the caller's normalization the latter.
+    former, offsets, flags and the caller's normalization the latter. An asset
+    without rows to fit on is an error, or has null scores if not ``strict``.
     """
     kept = list(dict.fromkeys([*KEY, *keep]))
     inputs = [c for c in features if c not in kept]
     narrowed = materialize(df.withColumn("_fit", F.coalesce(mask, F.lit(False))).select(*kept, "_fit", *inputs))
+    if strict:
+        unfitted = narrowed.groupBy("asset_id").agg(F.max("_fit").alias("fitted")).filter("not fitted").limit(5).collect()
+        if unfitted:
+            raise ValueError(f"no rows to fit on for assets {[r.asset_id for r in unfitted]}")
     models = materialize(fit_forest(narrowed, features, F.col("_fit"), trees, seed=seed))
     raw = materialize(score_forest(narrowed, models, features, limits=limits).select(*kept, "_fit", "if_raw_score"))
     offsets = sized(choose_offsets(raw, "if_raw_score", F.col("_fit"), limits=limits).select("asset_id", "offset"))

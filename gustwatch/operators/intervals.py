@@ -102,13 +102,10 @@ def add_window_flag(rows: DataFrame, events: DataFrame, name: str, limits: Limit
     """
     windows = merged_windows(events, limits)
     if fits(windows, limits):
-        ranged = windows.withColumnRenamed("asset_id", "_asset")
-        inside = (F.col("asset_id") == F.col("_asset")) & _inside(F.col("id"))
-        return (
-            rows.join(F.broadcast(ranged), inside, "left")
-            .withColumn(name, F.col("_asset").isNotNull())
-            .drop("_asset", *_RANGE)
-        )
+        ranged = windows.toDF("_asset", "_first", "_last")
+        inside = (F.col("asset_id") == F.col("_asset")) & F.col("id").between(F.col("_first"), F.col("_last"))
+        flagged = rows.join(F.broadcast(ranged), inside, "left").withColumn(name, F.col("_asset").isNotNull())
+        return flagged.drop("_asset", "_first", "_last")
     return _flag_by_scan(rows, windows, name, limits)
 
 

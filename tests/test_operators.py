@@ -344,6 +344,17 @@ def test_forest_is_the_same_on_any_partitioning_and_by_groups(spark):
     assert len(a) == 300 and 0 < sum(r[1] for r in a) <= 18
 
 
+def test_asset_without_rows_to_fit_on(spark):
+    rows = telemetry(spark, [(i % 2, i, i, 0, float(i)) for i in range(40)])
+    mask = F.col("asset_id") == 0
+    with pytest.raises(ValueError, match=r"\[1\]"):
+        forest.isolation_scores(rows, ["s"], mask, trees=5)
+    for limits in (Limits(), Limits(broadcast_rows=0)):
+        scored = forest.isolation_scores(rows, ["s"], mask, trees=5, strict=False, limits=limits)
+        assert scored.filter("asset_id = 1 and if_anomaly_score is null and if_anomaly_flag = 0").count() == 20
+        assert scored.filter("asset_id = 0 and if_anomaly_score is not null").count() == 20
+
+
 def test_neighbours_against_all_pairs(spark):
     rng = np.random.default_rng(2)
     points = rng.random((8, 2))
