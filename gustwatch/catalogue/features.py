@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from gustwatch.catalogue.base import KINDS, SENSORS, hot_limits, query, r6, sql_with, telemetry
 from gustwatch.functions.expressions import rounded
 from gustwatch.operators.rolling import add_rolling

@@ -119,14 +119,12 @@ def add_probability(df: DataFrame, model, features: Sequence[str], output: str =
     return scored.select(*df.columns, vector_to_array("probability")[1].alias(output))
 
 
-def cross_validate(
-    folded: DataFrame, features: Sequence[str], settings: TreeSettings = EVENT_TREES, fold_count_limit: int = 5
-) -> DataFrame:
+def cross_validate(folded: DataFrame, features: Sequence[str], settings: TreeSettings = EVENT_TREES) -> DataFrame:
     """F1, precision and recall per fold of ``add_time_folds`` output; one-class training data gives 0."""
     folded = materialize(folded.select("nth", "holdout", "fold", "label", *features))
     fit_rows = folded.filter("not holdout").count()
     results = None
-    for fold in range(min(fold_count(fit_rows), fold_count_limit)):
+    for fold in range(fold_count(fit_rows)):
         train = folded.filter(F.col("nth") < fold_start(fit_rows, fold) - FOLD_GAP)
         valid = folded.filter(F.col("fold") == fold)
         if train.select("label").distinct().count() < 2:
