@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustwatch.session import ship_package
+from gustwatch.session import checkpoint_root, ship_package
 
 #: Letters a-z, digits and everything outside ASCII, after lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,3 +54,23 @@ def words(text: str) -> list[bytes]:
 def tokens(text: str) -> list[bytes]:
     """The words of ``NO_SPACE`` with A-Z lower-cased, as UTF-8 bytes; bytes.split() splits at exactly those six characters."""
     return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+class Scratch:
+    """Work tables of one job below the shared checkpoint folder, dropped together when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame) -> DataFrame:
+        """``df``, written once as Parquet and read back: cuts the lineage and survives lost executors."""
+        path = f"{checkpoint_root(self.spark)}/scratch-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        hadoop = self.spark._jsparkSession.sessionState().newHadoopConf()
+        while self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(hadoop).delete(path, True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gustwatch.llm.common import Scratch
 from gustwatch.session import materialize
 
 
@@ -25,7 +26,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     big, small = F.greatest(a, b).alias("v"), F.least(a, b).alias("m")
     edges = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    stars = materialize(edges.select(big, small).distinct())
+    spark = edges.sparkSession
+    now = Scratch(spark)
+    stars = now.write(edges.select(big, small).distinct())
     mark = _mark(stars)
     while mark[0]:
         both = stars.unionByName(stars.select(F.col("m").alias("v"), F.col("v").alias("m")))
@@ -37,15 +40,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .select(F.col("m").alias("v"), F.col("least").alias("m"))
             .distinct()
         )
-        large = materialize(large)
+        step = Scratch(spark)
+        large = step.write(large)
         down = large.groupBy(F.col("v").alias("u")).agg(F.min("m").alias("least"))
         moved = large.join(down, F.col("v") == F.col("u")).where(F.col("m") != F.col("least"))
         next_stars = down.select(F.col("u").alias("v"), F.col("least").alias("m")).unionByName(
             moved.select(F.col("m").alias("v"), F.col("least").alias("m"))
         )
-        stars = materialize(next_stars.distinct())
+        then = Scratch(spark)
+        stars = then.write(next_stars.distinct())
+        step.drop()
+        now.drop()
+        now = then
         mark, before = _mark(stars), mark
         if mark == before:
             break
     found = stars.select(F.col("v").alias("node"), F.col("m").alias("component"))
-    return found.unionByName(stars.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())
+    named = materialize(
+        found.unionByName(stars.select(F.col("m").alias("node"), F.col("m").alias("component")).distinct())
+    )
+    now.drop()
+    return named

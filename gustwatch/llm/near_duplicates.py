@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gustwatch.llm.common import for_python, tokens, whole
+from gustwatch.llm.common import Scratch, for_python, tokens, whole
 from gustwatch.llm.components import components
 from gustwatch.session import materialize
 
@@ -33,8 +33,12 @@ class Near:
     slots: int = 1 << 21
     seed: int = 11
     cache_words: int = 300_000
-    #: Rounds of linear pairing before the pairs that remain are all compared.
-    rounds: int = 4
+    #: Rounds of comparing a bucket's members with one centre, at most, before what remains apart is compared in blocks.
+    rounds: int = 3
+    #: Another round follows while one links at least this share of the pairs it compared.
+    worth: float = 0.05
+    #: Shingles of a block of the last comparison (about half a MB).
+    block_shingles: int = 60_000
 
 
 NEAR = Near()
@@ -147,27 +151,118 @@ def _may_link(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def near_links(docs: DataFrame, how: Near = NEAR) -> tuple[DataFrame, DataFrame]:
-    """(signed, links): a row per row of ``docs`` (doc_id, n, node), and the verified links between nodes (a, b).
+def _joined_pairs(frame: pd.DataFrame, percent: int) -> list[tuple[bytes, bytes]]:
+    """Links between rows of ``frame`` (node, component, shingles) that join components; no more than it takes to join them."""
+    sizes = np.array([len(s) for s in frame["shingles"]], np.int64)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    _, codes, counts = np.unique(np.concatenate(frame["shingles"].to_numpy()), return_inverse=True, return_counts=True)
+    shared = counts[codes] > 1
+    rows, codes = rows[shared], codes[shared]
+    order = np.argsort(codes, kind="stable")
+    rows, codes = rows[order], codes[order]
+    both = np.zeros((len(sizes), len(sizes)), np.float32)
+    width = 4096
+    _, codes = np.unique(codes, return_inverse=True)
+    for first in range(0, int(codes[-1]) + 1 if len(codes) else 0, width):
+        part = slice(*np.searchsorted(codes, [first, first + width]))
+        held = np.zeros((len(sizes), width), np.float32)
+        held[rows[part], codes[part] - first] = 1
+        both += held @ held.T
+    union = sizes[:, None] + sizes[None, :] - both
+    near = np.argwhere(np.triu(100 * both.astype(np.float64) >= percent * union, 1))
+    parent = {c: c for c in frame["component"]}
+
+    def root(c: bytes) -> bytes:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out = []
+    components_of, nodes = frame["component"].to_list(), frame["node"].to_list()
+    for i, j in near:
+        x, y = root(components_of[i]), root(components_of[j])
+        if x != y:
+            parent[x] = y
+            out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    return out
+
+
+def _cross_links(apart: DataFrame, sets: DataFrame, how: Near, work: Scratch) -> DataFrame:
+    """Links between different components of the buckets in ``apart`` (key, node, n, component), from all pairs across them.
+
+    Nodes that share buckets, directly or by others, make a cluster, and a
+    cluster is cut into blocks of bounded size; a component larger than a block
+    has blocks of its own, which are not compared with each other. Each pair of
+    a cluster's blocks is one group, compared by one product of incidence
+    matrices. No pairs of nodes are emitted but links that join components.
+    """
+    least = apart.groupBy("key").agg(F.min("node").alias("least"))
+    clusters = components(apart.join(least, "key").select("node", "least").distinct(), "node", "least")
+    nodes = (
+        apart.select("node", "n", "component")
+        .distinct()
+        .join(clusters.select(F.col("node").alias("x"), F.col("component").alias("cluster")), F.col("node") == F.col("x"))
+        .drop("x")
+    )
+    nodes = work.write(nodes)
+    whole_block = F.col("w") >= how.block_shingles
+    weights = nodes.groupBy("cluster", "component").agg(F.sum("n").alias("w"))
+    homes = weights.select("cluster", "component", F.when(whole_block, F.col("component")).alias("home"), "w")
+    many = homes.groupBy("cluster", "home").agg(F.ceil(F.sum("w") / how.block_shingles).alias("many"))
+    placed = homes.join(
+        many.select(F.col("cluster").alias("k"), F.col("home").alias("h"), "many"),
+        (F.col("cluster") == F.col("k")) & F.col("home").eqNullSafe(F.col("h")),
+    ).select(F.col("cluster").alias("k"), F.col("component").alias("c"), "home", "many")
+    turn = F.when(F.col("home").isNull(), F.xxhash64("component")).otherwise(F.xxhash64("node"))
+    blocked = work.write(
+        nodes.join(placed, (F.col("cluster") == F.col("k")) & (F.col("component") == F.col("c"))).select(
+            "cluster", "node", "component", "home", F.xxhash64("home", F.pmod(turn, F.col("many"))).alias("block")
+        )
+    )
+    blocks = blocked.groupBy("cluster", "block").agg(F.max("home").alias("home"))
+    other = blocks.select(F.col("cluster").alias("k"), F.col("block").alias("other"), F.col("home").alias("h"))
+    same_home = F.coalesce(F.col("home") == F.col("h"), F.lit(False))
+    pairs = blocks.join(other, (F.col("cluster") == F.col("k")) & (F.col("block") <= F.col("other"))).where(~same_home)
+    sides = pairs.select(
+        F.xxhash64("cluster", "block", "other").alias("pair"),
+        F.col("cluster").alias("k"),
+        F.explode(F.array_distinct(F.array("block", "other"))).alias("side"),
+    )
+    rows = (
+        sides.join(blocked, (F.col("k") == F.col("cluster")) & (F.col("side") == F.col("block")))
+        .select("pair", "node", "component")
+        .join(sets, "node")
+    )
+    percent = how.percent
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_joined_pairs(frame, percent), columns=["a", "b"])
+
+    return rows.groupBy("pair").applyInPandas(compare, "a binary, b binary")
+
+
+def near_links(docs: DataFrame, how: Near, work: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(signed, links): a row per row of ``docs`` (doc_id, n, node), and verified links between nodes (a, b).
 
     A node is a distinct shingle set. The links connect exactly the nodes that
     all links of the banded candidates connect, but are not all of them: in a
-    bucket, each member is first compared with one centre, then with other
-    centres while components of the bucket remain apart; what is still apart
-    is compared in full. So a bucket of many copies costs its size, not its
-    square, and no pair across components goes unseen.
+    bucket, each member is first compared with one centre, then with another
+    while that pays; what is still apart is compared in full, in blocks. So a
+    bucket of many copies costs its size, not its square, and no pair across
+    components goes unseen.
     """
     for_python(docs.sparkSession)
     texts = docs.select("doc_id", whole().alias("text"))
-    signed = materialize(texts.select("doc_id", _signer(how)("text").alias("s")).select("doc_id", "s.*"))
+    signed = work.write(texts.select("doc_id", _signer(how)("text").alias("s")).select("doc_id", "s.*"))
     nodes = signed.where(F.col("n") > 0).groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )
-    keyed = materialize(nodes.select("node", "doc_id", "n", F.explode("bands").alias("key")))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("centre")).where(F.col("c") > 1)
-    members = materialize(keyed.join(shared.select("key"), "key", "left_semi"))
+    keyed = work.write(nodes.select("node", "doc_id", "n", F.explode("bands").alias("key")))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
+    members = work.write(keyed.join(shared.select("key"), "key", "left_semi"))
     wanted = members.select("node", "doc_id").distinct()
-    sets = materialize(
+    sets = work.write(
         texts.join(wanted.select(F.col("doc_id").alias("i"), F.col("node").alias("w")), F.col("doc_id").eqNullSafe(F.col("i")))
         .select("w", _set_maker(how)("text").alias("s"))
         .where(F.col("w") == F.col("s.node"))
@@ -175,35 +270,28 @@ def near_links(docs: DataFrame, how: Near = NEAR) -> tuple[DataFrame, DataFrame]
         .dropDuplicates(["node"])
     )
     links = None
-    apart = members.withColumn("component", F.col("node"))
-    for turn in range(how.rounds + 1):
-        if turn < how.rounds:
-            # Any member can be the centre; another one each round.
-            chosen = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "component"))
-            centres = apart.groupBy("key").agg(chosen.alias("c")).select("key", F.col("c.node").alias("cn"), F.col("c.n").alias("cs"), F.col("c.component").alias("cc"))
-        else:
-            centres = apart.select("key", F.col("node").alias("cn"), F.col("n").alias("cs"), F.col("component").alias("cc"))
-        condition = (F.col("component") != F.col("cc")) & _may_link(F.col("n"), F.col("cs"), how.percent)
-        if turn == how.rounds:
-            condition = condition & (F.col("component") < F.col("cc"))
-        pairs = (
+    apart = members.select("key", "node", "n", F.col("node").alias("component"))
+    for turn in range(how.rounds):
+        # Any member can be the centre; another one each round.
+        chosen = F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "n", "component"))
+        centres = apart.groupBy("key").agg(chosen.alias("c"))
+        centres = centres.select("key", F.col("c.node").alias("cn"), F.col("c.n").alias("cs"), F.col("c.component").alias("cc"))
+        pairs = work.write(
             apart.join(centres, "key")
-            .where(condition)
+            .where((F.col("component") != F.col("cc")) & _may_link(F.col("n"), F.col("cs"), how.percent))
             .select(F.greatest("node", "cn").alias("b"), F.least("node", "cn").alias("a"))
             .distinct()
         )
-        found = materialize(_verified(pairs, sets, how.percent))
-        fresh = found.limit(1).count()
+        found = work.write(_verified(pairs, sets, how.percent))
+        fresh, compared = found.count(), pairs.count()
         links = found if links is None else links.unionByName(found)
-        if turn == how.rounds:
-            break
         if fresh:
             groups = components(links).select(F.col("node").alias("x"), F.col("component").alias("y"))
-            labelled = members.join(groups, F.col("node") == F.col("x"), "left").select(
+            labelled = apart.drop("component").join(groups, F.col("node") == F.col("x"), "left").select(
                 "key", "node", "n", F.coalesce("y", "node").alias("component")
             )
         else:
-            labelled = apart.select("key", "node", "n", "component")
+            labelled = apart
         # Buckets of one component are settled.
         open_keys = (
             labelled.groupBy("key")
@@ -211,8 +299,10 @@ def near_links(docs: DataFrame, how: Near = NEAR) -> tuple[DataFrame, DataFrame]
             .where(F.col("lo") != F.col("hi"))
             .select("key")
         )
-        apart = materialize(labelled.join(open_keys, "key", "left_semi"))
-    return signed, links
+        apart = work.write(labelled.join(open_keys, "key", "left_semi"))
+        if fresh < how.worth * compared or not compared:
+            break
+    return signed, links.unionByName(work.write(_cross_links(apart, sets, how, work)))
 
 
 def near_components(docs: DataFrame, how: Near = NEAR) -> DataFrame:
@@ -224,11 +314,13 @@ def near_components(docs: DataFrame, how: Near = NEAR) -> DataFrame:
     unless their component has no id at all, and cannot name a component.
     Repeated rows have equal results. No rows give no rows.
     """
-    signed, links = near_links(docs, how)
+    work = Scratch(docs.sparkSession)
+    signed, links = near_links(docs, how, work)
     groups = components(links).select(F.col("node").alias("x"), F.col("component").alias("y"))
     rows = signed.select("doc_id", "n", "node").join(groups, F.col("node") == F.col("x"), "left")
     group = F.when(F.col("n") > 0, F.coalesce("y", "node"))
     rows = materialize(rows.select("doc_id", "n", group.alias("g")))
+    work.drop()
     least = rows.where(F.col("g").isNotNull()).groupBy(F.col("g").alias("h")).agg(F.min("doc_id").alias("least"))
     named = rows.join(least, F.col("g") == F.col("h"), "left")
     component = F.when(F.col("g").isNull(), F.col("doc_id")).otherwise(F.col("least"))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gustwatch.llm.common import for_python, whole
 from gustwatch.session import materialize
@@ -149,3 +150,32 @@ def scan_versions(
 def joined(findings: Column) -> Column:
     """``kind:start:end``, comma-joined."""
     return F.array_join(F.transform(findings, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+
+
+@F.pandas_udf(T.StringType())
+def _redacted(texts: pd.Series, findings: pd.Series) -> pd.Series:
+    """Texts with ``[SECRET]`` in place of each found stretch; overlapping findings make one stretch."""
+
+    def one(text: str | None, found: list | None) -> str | None:
+        if text is None or found is None:
+            return text
+        out, at = [], 0
+        for span in found:
+            if span["start"] >= at:
+                out += [text[at : span["start"]], "[SECRET]"]
+            at = max(at, span["end"])
+        return "".join([*out, text[at:]])
+
+    return pd.Series([one(t, f) for t, f in zip(texts, findings, strict=True)], dtype="object")
+
+
+def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with secrets replaced in ``text``; all rows and columns stay. Findings meet the texts by content address.
+
+    Texts without findings are not handed to Python. A null text stays null.
+    """
+    found = scan_versions(docs, ledger, rules, path, text).where(F.size("findings") > 0)
+    told = materialize(found.select(F.col("blob").alias("__b"), F.col("findings").alias("__f")).dropDuplicates(["__b"]))
+    both = docs.join(told, blob_id(whole(text)) == F.col("__b"), "left")
+    clean = _redacted(F.when(F.col("__f").isNotNull(), F.col(text)), F.col("__f"))
+    return both.withColumn(text, F.when(F.col("__f").isNotNull(), clean).otherwise(F.col(text))).drop("__b", "__f")
