@@ -169,9 +169,11 @@ def train(features: np.ndarray, labels: np.ndarray, settings: Settings) -> tuple
 
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     """The divisor of the logits with the least log loss on rows the network was not trained on."""
+    if not len(labels):
+        return 1.0
     choices = np.exp(np.linspace(np.log(0.25), np.log(8.0), 61))
     losses = [np.mean(np.logaddexp(0, logits / t) - labels * logits / t) for t in choices]
-    return float(choices[int(np.argmin(losses))]) if len(labels) else 1.0
+    return float(choices[int(np.argmin(losses))])
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> Model | None:
