@@ -16,7 +16,7 @@ from gustwatch.catalogue.base import (
     telemetry,
 )
 from gustwatch.catalogue.sequences import GAP_MINUTES, LENGTH
-from gustwatch.functions.expressions import rounded
+from gustwatch.functions.expressions import above, rounded
 from gustwatch.operators import (
     autoencoder,
     evaluate,
@@ -33,11 +33,10 @@ from gustwatch.operators.supervised import TreeSettings
 from gustwatch.session import materialize
 from gustwatch.settings import FarmSettings
 
-# Fewer trees than in full training: the queries show the whole way, on all rows.
+# Boosted trees take fewer rounds here than the operators do by default, see the README.
 _ROUNDS = TreeSettings(rounds=5)
 _HORIZON_ROUNDS = TreeSettings(rounds=5, depth=4, subsample=1.0, feature_share=1.0, min_rows=1)
 _FAULT_ROUNDS = TreeSettings(rounds=10, depth=4, subsample=0.9, feature_share=0.9, min_rows=2)
-_FOREST_TREES = 50
 
 
 def _masked(spark, sf_dir):
@@ -62,7 +61,7 @@ def iforest_scores(spark, sf_dir):
     """Score, flag and normalized score of every row, from a forest per asset."""
     masked = _masked(spark, sf_dir)
     keep = ["train_test", "status_type_id", "if_fit_eligible", "in_anomaly_window"]
-    scored = forest.isolation_scores(masked, SENSORS, _fit_rows(), keep, trees=_FOREST_TREES, strict=False)
+    scored = forest.isolation_scores(masked, SENSORS, _fit_rows(), keep, strict=False)
     return scaling.minmax(scored, {"if_anomaly_score": "if_anomaly_score_norm"}, F.col("if_fit_eligible"))
 
 
@@ -71,15 +70,15 @@ def iforest_v2_scores(spark, sf_dir):
     """Second forest on the features that separate best, its threshold chosen by the percentile sweep."""
     events = event_info(spark, sf_dir)
     rows = _featured(spark, sf_dir)
-    top = evaluate.top_separating(intervals.event_rows(rows, events), _FEATURES, n=6).collect()
-    scored = forest.isolation_scores(rows, [r.feature for r in top], _fit_rows(), ["train_test"], trees=_FOREST_TREES, strict=False)
+    top = evaluate.top_separating(intervals.event_rows(rows, events), _FEATURES, n=50).collect()
+    scored = forest.isolation_scores(rows, [r.feature for r in top], _fit_rows(), ["train_test"], strict=False)
     flagged = scored.select("asset_id", "id", "if_anomaly_score")
     for name, label in (("anomalous", "anomaly"), ("normal", "normal")):
         flagged = intervals.add_window_flag(flagged, events.filter(F.col("event_label") == label), name)
     swept = thresholds.sweep_percentiles(scored, flagged.filter("anomalous or normal"), "if_anomaly_score")
     best = thresholds.choose_percentile(swept, 0.10).first()
-    above = (F.col("if_anomaly_score") > F.lit(best["threshold"])).cast("int")
-    return scored.select("asset_id", "time_stamp", "id", F.col("if_anomaly_score").alias("if_anomaly_score_v2"), above.alias("if_anomaly_flag_v2"))
+    flag = above("if_anomaly_score", best["threshold"]).cast("int")
+    return scored.select("asset_id", "time_stamp", "id", F.col("if_anomaly_score").alias("if_anomaly_score_v2"), flag.alias("if_anomaly_flag_v2"))
 
 
 _FIT_SCORES = "fit AS (SELECT asset_id, if_anomaly_score AS s FROM scores WHERE train_test = 'train')"
@@ -121,7 +120,7 @@ def gbt_event_prob(spark, sf_dir):
     model = supervised.fit_event_model(folded.filter("not holdout"), _FEATURES, _ROUNDS)
     threshold = supervised.tuned_threshold(supervised.add_probability(folded, model, _FEATURES))
     scored = supervised.add_probability(_featured(spark, sf_dir), model, _FEATURES)
-    flag = (F.col("xgb_anomaly_prob") > F.lit(threshold)).cast("int")
+    flag = above("xgb_anomaly_prob", threshold).cast("int")
     return scored.select("asset_id", "time_stamp", "id", "xgb_anomaly_prob", flag.alias("xgb_anomaly_flag"))
 
 
@@ -142,10 +141,12 @@ def _horizon_rows(spark, sf_dir):
 
 @query("loeo_rmse")
 def loeo_rmse(spark, sf_dir):
-    """Error on events left out of training, hashed to four folds."""
+    """Error on each of the first four events that rows lead up to, left out of training one by one."""
     _, learned = _horizon_rows(spark, sf_dir)
+    event = "next_anomaly_event_id"
+    known = learned.filter(F.col(event).isNotNull()).select(event).distinct().orderBy(event).limit(4).collect()
     return supervised.leave_event_out(
-        learned, _FEATURES, "hours_to_next_anomaly", settings=_HORIZON_ROUNDS, max_folds=4
+        learned, _FEATURES, "hours_to_next_anomaly", settings=_HORIZON_ROUNDS, events=[r[event] for r in known]
     )
 
 
@@ -166,15 +167,15 @@ def feature_importance(spark, sf_dir):
     return gain.join(supervised.effect_importance(learned, model, _FEATURES), "feature")
 
 
-# The highest readings are a class of a few rows.
-_SHARE = 0.75
+# The rows with the highest readings are a class of a few rows, at every size of the table.
+_RARE = 7
 _POINT = ["sensor_0_avg", "sensor_2_avg"]
 
 
 def _with_rare(spark, sf_dir):
     rows = telemetry(spark, sf_dir)
-    top = rows.agg(F.max("sensor_0_avg")).first()[0] or 0.0
-    return rows.withColumn("label", (F.col("sensor_0_avg") > F.lit(_SHARE) * F.lit(top)).cast("int"))
+    top = rows.orderBy(F.desc_nulls_last("sensor_0_avg"), "id").limit(_RARE).select("id").collect()
+    return rows.withColumn("label", F.col("id").isin([r["id"] for r in top]).cast("int"))
 
 
 @query(
@@ -185,15 +186,14 @@ def _with_rare(spark, sf_dir):
   SELECT a.id, b.id AS neighbour, d AS distance, row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) AS rank
   FROM rare a JOIN rare b ON a.id <> b.id,
     LATERAL (SELECT (a.sensor_0_avg - b.sensor_0_avg) * (a.sensor_0_avg - b.sensor_0_avg) + (a.sensor_2_avg - b.sensor_2_avg) * (a.sensor_2_avg - b.sensor_2_avg) AS d))
-WHERE rank <= 3 AND (SELECT count(*) FROM rare) < 10""",
-        f"rare AS (SELECT * FROM telemetry WHERE sensor_0_avg > {_SHARE}e0 * (SELECT max(sensor_0_avg) FROM telemetry))",
+WHERE rank <= 3""",
+        f"rare AS (SELECT * FROM telemetry ORDER BY sensor_0_avg DESC NULLS LAST, id LIMIT {_RARE})",
     ),
 )
 def smote_neighbours(spark, sf_dir):
-    """Neighbours within the rare class found in the whole table; none if it is not small."""
+    """Neighbours within the rare class found in the whole table."""
     rare = _with_rare(spark, sf_dir).filter("label = 1")
-    small = oversample.is_small(rare)
-    found = oversample.nearest_neighbours(rare if small else rare.limit(0), _POINT, k=oversample.NEIGHBOURS)
+    found = oversample.nearest_neighbours(rare, _POINT, k=oversample.NEIGHBOURS)
     return found.select("id", "neighbour", "rank", rounded("distance").alias("distance"))
 
 

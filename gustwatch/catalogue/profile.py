@@ -22,7 +22,7 @@ from gustwatch.operators import quality, select
 from gustwatch.operators.intervals import normalize_events
 from gustwatch.operators.rolling import drop_all_null, fill_zero
 from gustwatch.operators.scaling import scaler_stats
-from gustwatch.session import checkpoint_root
+from gustwatch.session import checkpoint_root, materialize
 from gustwatch.sources import tables
 
 _ALL_SENSORS = [*SENSORS, "sensor_3_avg"]
@@ -32,6 +32,13 @@ def _scratch(spark) -> str:
     return f"{checkpoint_root(spark)}/files-{uuid.uuid4().hex}"
 
 
+def _dropped(spark, name: str):
+    """The rows of an external table that leaves the catalog; its files stay below the checkpoint folder."""
+    rows = tables.read_table(spark, name)
+    spark.sql(f"DROP TABLE {tables.quoted(name)}")
+    return rows
+
+
 _PER_ASSET = """SELECT asset_id, count(*) AS n, CAST(sum(sensor_0_avg) AS BIGINT) AS total,
   CAST(sum(status_type_id) AS BIGINT) AS statuses, max(id) AS last_id, max(epoch_us(time_stamp)) AS last_us
 FROM telemetry GROUP BY asset_id"""
@@ -69,7 +76,7 @@ def sink_overwrite(spark, sf_dir):
     path = _scratch(spark)
     tables.write_table(rows.select("asset_id", "id"), name, path=path)
     tables.write_table(rows, name, path=path)
-    return _per_asset(tables.read_table(spark, name))
+    return _per_asset(_dropped(spark, name))
 
 
 @query("sink_partitioned", sql_with("telemetry", "SELECT status_type_id, count(*) AS n, max(id) AS last_id FROM telemetry GROUP BY 1"))
@@ -77,24 +84,28 @@ def sink_partitioned(spark, sf_dir):
     rows, name = telemetry(spark, sf_dir), f"gw_{uuid.uuid4().hex}"
     tables.write_table(rows, name, partition_by=["status_type_id"], path=_scratch(spark))
     stored = tables.read_table(spark, name)
-    return stored.groupBy("status_type_id").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last_id"))
+    counted = materialize(stored.groupBy("status_type_id").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("last_id")))
+    # The partitions of a table are listed in the catalog until it has been read.
+    spark.sql(f"DROP TABLE {tables.quoted(name)}")
+    return counted
 
 
 @query(
     "sink_append",
     sql_with(
         "telemetry",
-        """SELECT train_test, count(*) AS n, CAST(count(CASE WHEN train_test = 'train' THEN k END) AS BIGINT) AS with_k
+        """SELECT train_test, count(*) AS n, CAST(count(CASE WHEN train_test = 'train' THEN k END) AS BIGINT) AS with_k,
+  CAST(count(CASE WHEN train_test <> 'train' THEN sensor_1_avg END) AS BIGINT) AS with_sensor
 FROM telemetry GROUP BY train_test""",
     ),
 )
 def sink_append(spark, sf_dir):
-    """Two appends, the second with a column less; the columns are merged on reading."""
-    rows, path = telemetry(spark, sf_dir), _scratch(spark)
-    tables.append_files(rows.filter("train_test = 'train'"), path)
-    tables.append_files(rows.filter("train_test <> 'train'").drop("k"), path)
-    return tables.read_merged(spark, path).groupBy("train_test").agg(
-        F.count(F.lit(1)).alias("n"), F.count("k").alias("with_k")
+    """A table, then appended rows with a column less and a column more; both have nulls where they lack one."""
+    rows, name = telemetry(spark, sf_dir), f"gw_{uuid.uuid4().hex}"
+    tables.write_table(rows.filter("train_test = 'train'").drop("sensor_1_avg"), name, path=_scratch(spark))
+    tables.write_table(rows.filter("train_test <> 'train'").drop("k"), name, mode="append")
+    return _dropped(spark, name).groupBy("train_test").agg(
+        F.count(F.lit(1)).alias("n"), F.count("k").alias("with_k"), F.count("sensor_1_avg").alias("with_sensor")
     )
 
 

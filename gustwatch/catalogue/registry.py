@@ -6,7 +6,7 @@ from importlib import import_module
 
 from gustwatch.catalogue.base import QUERIES, SQL
 
-for _module in ("profile", "features", "events", "decisions", "evaluation", "sequences", "models", "pipelines"):
+for _module in ("profile", "features", "events", "decisions", "evaluation", "sequences", "models", "model_checks", "pipelines"):
     import_module(f"gustwatch.catalogue.{_module}")
 
 

@@ -127,3 +127,10 @@ def one_row_per_column(wide: DataFrame, columns: list[str], name: str) -> DataFr
     """Turn a single row of struct columns into rows ``(name, fields of the struct)``."""
     entries = [F.struct(F.lit(c).alias(name), F.col(c).alias("_s")) for c in columns]
     return wide.select(F.explode(F.array(*entries)).alias("_r")).select(f"_r.{name}", "_r._s.*")
+
+
+def above(score: str | Column, threshold) -> Column:
+    """Whether a score is strictly above a threshold; never for null or NaN, which Spark orders above all numbers."""
+    value = (F.col(score) if isinstance(score, str) else score).cast("double")
+    limit = threshold if isinstance(threshold, Column) else F.lit(threshold)
+    return F.coalesce(~F.isnan(value) & (value > limit), F.lit(False))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustwatch.functions.expressions import status_threshold, urgency
+from gustwatch.functions.expressions import above, status_threshold, urgency
 from gustwatch.operators.ordered import Ordered
 from gustwatch.operators.quality import require_columns, require_unique
 from gustwatch.operators.thresholds import best_f1, f1_grid, sweep_grid, sweep_grids
@@ -66,8 +66,7 @@ def add_alerts(df: DataFrame, score: str, threshold: float, limits: Limits = LIM
     """``alert_triggered``: this row and the two before it in the asset lie above the threshold."""
 
     def debounce(rows, window):
-        above = (F.col(score) > F.lit(threshold)).cast("int")
-        run = F.sum(F.coalesce(above, F.lit(0))).over(window.rowsBetween(1 - CONSECUTIVE, 0))
+        run = F.sum(above(score, threshold).cast("int")).over(window.rowsBetween(1 - CONSECUTIVE, 0))
         return rows.select(
             "*",
             (run >= CONSECUTIVE).cast("int").alias("alert_triggered"),
@@ -83,7 +82,7 @@ def add_contextual_alerts(df: DataFrame, score: str, status: str = "status_type_
     return df.select(
         "*",
         limit.alias("threshold_contextual"),
-        F.coalesce((F.col(score) > limit).cast("int"), F.lit(0)).alias("alert_contextual"),
+        above(score, limit).cast("int").alias("alert_contextual"),
     )
 
 

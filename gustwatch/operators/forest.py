@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gustwatch.functions.expressions import above
 from gustwatch.operators.percentiles import exact_percentiles, percentile_column
 from gustwatch.session import materialize, sized, spread
 from gustwatch.settings import CONTAMINATIONS, FLAG_PERCENTILE, KEY, LIMITS, Limits
@@ -226,7 +227,7 @@ def add_asset_flag(
     found = sized(exact_percentiles(scores, score, [percent], by=["asset_id"], limits=limits))
     bound = F.col(percentile_column(percent))
     joined = scores.join(found, "asset_id", "left")
-    return joined.withColumn(flag, F.coalesce((F.col(score) > bound).cast("int"), F.lit(0))).drop(
+    return joined.withColumn(flag, above(score, bound).cast("int")).drop(
         percentile_column(percent)
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gustwatch.functions.expressions import text_to_bigint
 from gustwatch.operators.ordered import Ordered
-from gustwatch.session import fits
+from gustwatch.session import fits, sized
 from gustwatch.settings import LIMITS, Limits
 
 _RANGE = ("event_start_id", "event_end_id")
@@ -148,21 +148,34 @@ def first_downtime(rows: DataFrame, events: DataFrame, downtime=(4,), limits: Li
     )
 
 
-def window_labels(rows: DataFrame, events: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """Rows inside windows with ``label`` (1 anomaly, 0 normal only) and ``fault_type``.
-
-    Anomaly beats normal; among anomalies the one with the greatest event id
-    names the fault.
-    """
-    wanted = events.select("asset_id", "event_id", "event_label", "event_description", *_RANGE)
+def _labelled_pieces(events: DataFrame, limits: Limits) -> DataFrame:
+    """Disjoint id ranges of all anomaly and normal windows, with the label and fault that hold in each."""
+    wanted = events.select("asset_id", "event_id", "event_label", "event_description", *_RANGE).filter(
+        F.col("event_label").isin("anomaly", "normal") & (F.col(_RANGE[0]) <= F.col(_RANGE[1]))
+    )
+    edges = F.explode(F.array(F.col(_RANGE[0]), F.col(_RANGE[1]) + 1)).alias("id")
+    cuts = wanted.select("asset_id", edges).distinct()
+    # The next edge is the last one seen from behind.
+    ends = Ordered.of(cuts, ["asset_id"], ["-id"], limits).lookback(
+        1, lambda df, window: df.withColumn("_end", F.lag("id").over(window) - 1)
+    )
+    pieces = ends.result().filter("_end is not null")
     anomalous = F.col("event_label") == "anomaly"
-    keys = ["asset_id", "time_stamp", "id"]
-    others = [c for c in rows.columns if c not in keys]
-    matched = event_rows(rows, wanted, limits).filter(F.col("event_label").isin("anomaly", "normal"))
-    return matched.groupBy(*keys).agg(
-        *[F.any_value(c).alias(c) for c in others],
+    held = event_rows(pieces, wanted, limits)
+    return held.groupBy("asset_id", F.col("id").alias("_start"), "_end").agg(
         F.max(anomalous.cast("int")).alias("label"),
         F.coalesce(
             F.max_by(F.coalesce("event_description", F.lit("anomaly")), F.when(anomalous, F.col("event_id"))), F.lit("normal")
         ).alias("fault_type"),
     )
+
+
+def window_labels(rows: DataFrame, events: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """Rows inside windows with ``label`` (1 anomaly, 0 normal only) and ``fault_type``.
+
+    Anomaly beats normal; among anomalies the one with the greatest event id
+    names the fault. Both are settled per disjoint range of ids first, so a row
+    meets one range at most and the rows need no grouping.
+    """
+    pieces = sized(_labelled_pieces(events, limits)).withColumnsRenamed({"_start": _RANGE[0], "_end": _RANGE[1]})
+    return event_rows(rows, pieces, limits).drop(*_RANGE)

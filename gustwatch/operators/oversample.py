@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Only classes with fewer rows than this are oversampled.
+#: Only classes with fewer rows than this are oversampled, unless the caller says otherwise.
 SMALL_CLASS = 10
 NEIGHBOURS = 3
 
@@ -16,51 +16,60 @@ def neighbour_count(rows: int) -> int:
     return max(1, min(NEIGHBOURS, rows - 1))
 
 
-def is_small(rows: DataFrame) -> bool:
-    return rows.limit(SMALL_CLASS).count() < SMALL_CLASS
-
-
-def nearest_neighbours(minority: DataFrame, features: Sequence[str], k: int) -> DataFrame:
+def nearest_neighbours(
+    minority: DataFrame, features: Sequence[str], k: int, small_class: int = SMALL_CLASS
+) -> DataFrame:
     """The ``k`` nearest other rows of each row, by squared distance, ties by id.
 
-    Compares all pairs, which is why it takes a class of fewer than
-    ``SMALL_CLASS`` rows and refuses a larger one.
+    Made for a class of fewer than ``small_class`` rows, and refuses a larger
+    one: its few rows travel to each row as an array.
     """
-    if not is_small(minority):
-        raise ValueError(f"not a small class: {SMALL_CLASS} rows or more")
     values = F.array(*[F.col(c).cast("double") for c in features])
-    one = minority.select(F.lit(1).alias("_class"), F.col("id"), values.alias("x"))
-    other = one.select("_class", F.col("id").alias("neighbour"), F.col("x").alias("y"))
-    squares = F.zip_with("x", "y", lambda a, b: (a - b) * (a - b))
-    pairs = (
-        one.join(F.broadcast(other), "_class")
-        .filter(F.col("id") != F.col("neighbour"))
-        .withColumn("distance", F.aggregate(squares, F.lit(0.0), lambda total, d: total + d))
+    own = minority.select("id", values.alias("x"))
+    points = own.limit(small_class).collect()
+    if len(points) >= small_class:
+        raise ValueError(f"not a small class: {small_class} rows or more")
+    if not points:
+        return own.select("id", F.col("id").alias("neighbour"), "x", F.col("x").alias("y"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
+    kind = f"array<struct<neighbour:{own.schema['id'].dataType.simpleString()},y:array<double>>>"
+    others = F.array(
+        *[F.struct(F.lit(p["id"]).alias("neighbour"), F.array(*map(F.lit, p["x"])).alias("y")) for p in points]
+    ).cast(kind)
+
+    def distance(other):
+        squares = F.zip_with("x", other["y"], lambda a, b: (a - b) * (a - b))
+        return F.aggregate(squares, F.lit(0.0), lambda total, d: total + d)
+
+    measured = F.transform(
+        F.filter(others, lambda o: o["neighbour"] != F.col("id")),
+        lambda o: F.struct(distance(o).alias("distance"), o["neighbour"].alias("neighbour"), o["y"].alias("y")),
     )
-    nearest = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return (
-        pairs.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).drop("_class")
+    nearest = own.select("id", "x", F.posexplode(F.slice(F.sort_array(measured), 1, k)).alias("_place", "_near"))
+    return nearest.select(
+        "id", "_near.neighbour", "x", "_near.y", "_near.distance", (F.col("_place") + 1).alias("rank")
     )
 
 
-def oversample(df: DataFrame, label: str, features: Sequence[str], seed: int = 42) -> DataFrame:
+def oversample(
+    df: DataFrame, label: str, features: Sequence[str], seed: int = 42, small_class: int = SMALL_CLASS
+) -> DataFrame:
     """``df`` (id, label, features) with synthetic rows until both classes are equally large.
 
-    Nothing is added unless the smaller class has 2 to ``SMALL_CLASS - 1``
+    Nothing is added unless the smaller class has 2 to ``small_class - 1``
     rows and the larger at least 2. Each synthetic row lies between a row of
     the small class and one of its neighbours, both and the place between
     them taken from hashes; its id is negative.
     """
     rows = df.select("id", label, *features)
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) != 2 or min(counts.values()) < 2 or min(counts.values()) >= SMALL_CLASS:
+    if len(counts) != 2 or min(counts.values()) < 2 or min(counts.values()) >= small_class:
         return rows
     small = min(counts, key=lambda c: (counts[c], c))
     size, missing = counts[small], max(counts.values()) - counts[small]
     k = neighbour_count(size)
     minority = rows.filter(F.col(label) == small)
-    pairs = nearest_neighbours(minority, features, k)
-    # At most (SMALL_CLASS - 1) * NEIGHBOURS rows.
+    pairs = nearest_neighbours(minority, features, k, small_class)
+    # At most (small_class - 1) * NEIGHBOURS rows.
     by_id = Window.orderBy("id")
     numbered = pairs.withColumn("_base", F.dense_rank().over(by_id) - 1).select("_base", "rank", "x", "y")
     drawn = df.sparkSession.range(missing).select(

@@ -97,6 +97,12 @@ ROLE_TEXTS = {
     "wind": (("wind speed",), ()),
 }
 AMBIENT = "ambient"
+# Sensors that have a role when no description names one.
+FALLBACK_SENSORS = {
+    "gearbox_oil": ("sensor_12",),
+    "power": ("sensor_29", "sensor_30"),
+    "wind": ("sensor_3", "sensor_4"),
+}
 
 
 def _says(*texts: str) -> Column:
@@ -124,14 +130,21 @@ def resolve(sensor: str, columns: Sequence[str]) -> str | None:
 
 
 def sensors_by_role(descriptions: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Columns per role; the metadata table has one row per sensor."""
+    """Columns per role, by the number in the sensor's name, then the name; the metadata table has one row per sensor.
+
+    Roles of :data:`FALLBACK_SENSORS` that no description names get their first fallback among ``columns``.
+    """
     names = ["gearbox_oil", "power", "wind", "temperature", "vibration"]
     found: dict[str, list[str]] = {name: [] for name in names}
-    for row in sensor_roles(descriptions).collect():
+    number = F.regexp_extract("sensor_name", r"(\d+)", 1).try_cast("bigint")
+    for row in sensor_roles(descriptions).orderBy(number, "sensor_name").collect():
         column = resolve(row.sensor_name, columns)
         for name in names:
             if column and row[name]:
                 found[name].append(column)
+    for name, sensors in FALLBACK_SENSORS.items():
+        if not found[name]:
+            found[name] = [c for c in (resolve(s, columns) for s in sensors) if c][:1]
     return found
 
 
@@ -154,16 +167,19 @@ def add_products(df: DataFrame, pairs: Mapping[str, tuple[str, str]]) -> DataFra
     )
 
 
-def interaction_pairs(roles: Mapping[str, list[str]]) -> dict[str, tuple[str, str]]:
-    """Pairs to multiply: gearbox oil by power and wind, else temperature by vibration."""
+def interaction_pairs(roles: Mapping[str, list[str]], which: str = "gearbox") -> dict[str, tuple[str, str]]:
+    """Pairs to multiply: ``gearbox`` oil by power and wind, or temperature by ``vibration``, as the farm's settings say."""
     def first(name):
         return roles[name][0] if roles.get(name) else None
 
+    if which not in ("gearbox", "vibration"):
+        raise ValueError(f"no set of interactions called {which}")
     pairs = {}
-    for name, other in (("gearbox_oil_x_power", "power"), ("gearbox_oil_x_wind", "wind")):
-        if first("gearbox_oil") and first(other):
-            pairs[name] = (first("gearbox_oil"), first(other))
-    if not pairs and first("temperature") and first("vibration"):
+    if which == "gearbox":
+        for name, other in (("gearbox_oil_x_power", "power"), ("gearbox_oil_x_wind", "wind")):
+            if first("gearbox_oil") and first(other):
+                pairs[name] = (first("gearbox_oil"), first(other))
+    elif first("temperature") and first("vibration"):
         pairs["oil_x_vib"] = (first("temperature"), first("vibration"))
         pairs["temp_x_rpm"] = (first("temperature"), roles["vibration"][:2][-1])
     return pairs

@@ -44,8 +44,7 @@ def add_status_history(
     rows = rows.running(_last_down=("max", F.when(F.col(_DOWN) == 1, F.col(_SEC))))
     since = (F.col(_SEC) - F.col("_last_down")) / F.lit(3600.0)
     rows = rows.with_rows(rows.df.withColumn("hours_since_last_downtime", since).drop("_last_down"))
-    shared = _range_sums_by_prefix(rows, limits) if rows.split else _range_sums(rows)
-    return shared.drop(_SEC, _DOWN, _DERATED, _CHANGED)
+    return _range_sums(rows, limits).drop(_SEC, _DOWN, _DERATED, _CHANGED)
 
 
 def _history_columns(down, derated, changed, count):
@@ -62,27 +61,21 @@ def _known():
     return F.col("status_type_id").isNotNull().cast("int")
 
 
-def _range_sums(rows: Ordered) -> DataFrame:
-    by_second = Ordered(rows.df, rows.keys, [_SEC], split=False).window
-
-    def total(value):
-        return lambda name: F.sum(value).over(by_second.rangeBetween(-STATUS_RANGES[name], 0))
-
-    return rows.df.select(
-        "*", *_history_columns(total(_DOWN), total(_DERATED), total(_CHANGED), total(_known()))
-    )
-
-
-def _range_sums_by_prefix(rows: Ordered, limits: Limits) -> DataFrame:
-    """Range sums as differences of running totals, for keys too large for one task.
+def _range_sums(rows: Ordered, limits: Limits) -> DataFrame:
+    """Range sums as differences of running totals: linear in the rows, however many a range holds.
 
     The total just before a range is looked up as the greatest running total
     at an earlier second: totals of 0/1 flags never fall, so a running maximum
-    over points and lookups does it, again cut into runs.
+    over points and lookups does it. Where a key was too large for one task,
+    both passes are cut into runs again.
     """
+
+    def ordered(df: DataFrame, order: Sequence[str]) -> Ordered:
+        return Ordered.of(df, ["asset_id"], order, limits) if rows.split else Ordered(df, ["asset_id"], order, split=False)
+
     measures = {"count": _known(), "down": F.col(_DOWN), "derated": F.col(_DERATED), "changed": F.col(_CHANGED)}
     per_second = rows.df.groupBy("asset_id", _SEC).agg(*[F.sum(v).alias(f"s_{n}") for n, v in measures.items()])
-    totals = Ordered.of(per_second, ["asset_id"], [_SEC], limits).running(
+    totals = ordered(per_second, [_SEC]).running(
         **{f"t_{n}": ("sum", F.col(f"s_{n}")) for n in measures}
     )
     points = totals.result().select("asset_id", _SEC, *[f"t_{n}" for n in measures])
@@ -95,7 +88,7 @@ def _range_sums_by_prefix(rows: Ordered, limits: Limits) -> DataFrame:
         lookups.withColumn("_kind", F.col("_range")), allowMissingColumns=True
     )
     found = (
-        Ordered.of(merged, ["asset_id"], [_SEC, "_kind"], limits)
+        ordered(merged, [_SEC, "_kind"])
         .running(**{f"b_{n}": ("max", F.col(f"t_{n}")) for n in measures})
         .result()
         .filter("_range is not null")

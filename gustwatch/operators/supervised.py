@@ -197,31 +197,46 @@ def add_prediction(df: DataFrame, model, features: Sequence[str], output: str) -
     return scored.select(*df.columns, F.col("prediction").alias(output))
 
 
-def add_event_folds(rows: DataFrame, event: str, max_folds: int = 12) -> DataFrame:
-    """Fold per event: every event its own fold, or hashed to ``max_folds`` folds if there are more events."""
-    events = rows.select(event).distinct().limit(max_folds + 1).collect()
-    if len(events) <= max_folds:
-        places = {r[0]: i for i, r in enumerate(sorted(events))}
-        fold = F.create_map(*[F.lit(x) for item in places.items() for x in item])[F.col(event)]
-    else:
-        fold = F.pmod(F.xxhash64(event), F.lit(max_folds)).cast("int")
+def add_event_folds(rows: DataFrame, event: str, events: Sequence) -> DataFrame:
+    """Fold per listed event; rows of other events have none and are only trained on."""
+    if not events:
+        raise ValueError("no events to leave out")
+    fold = F.create_map(*[F.lit(x) for i, e in enumerate(events) for x in (e, i)])[F.col(event)]
     return rows.withColumn("fold", fold)
 
 
+def add_hashed_event_folds(rows: DataFrame, event: str, folds: int) -> DataFrame:
+    """All events hashed to ``folds`` folds, each of which is held out once."""
+    return rows.withColumn("fold", F.pmod(F.xxhash64(event), F.lit(folds)).cast("int"))
+
+
 def leave_event_out(
     rows: DataFrame,
     features: Sequence[str],
     target: str,
     event: str = "next_anomaly_event_id",
     settings: TreeSettings = HORIZON_TREES,
-    max_folds: int = 12,
+    *,
+    events: Sequence | None = None,
+    folds: int | None = None,
 ) -> DataFrame:
-    """Error per fold of a model that has not seen the fold's events; folds without rows on a side are left out."""
-    folded = materialize(add_event_folds(rows.select(event, target, *features), event, max_folds))
-    folds = sorted(r[0] for r in folded.select("fold").distinct().collect())
+    """Error per fold of a model that has not seen the fold's events; folds without rows on a side are left out.
+
+    The caller states the rule: ``events`` to leave out one by one, or a number
+    of ``folds`` that all events are hashed to. It does not depend on the data.
+    """
+    if (events is None) == (folds is None):
+        raise ValueError("give either events or folds")
+    narrow = rows.select(event, target, *features)
+    folded = materialize(
+        add_event_folds(narrow, event, events) if events is not None else add_hashed_event_folds(narrow, event, folds)
+    )
     predicted = None
-    for fold in folds:
-        train, held = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
+    for fold in range(len(events) if events is not None else folds):
+        held = folded.filter(F.col("fold") == fold)
+        train = folded.filter(~F.col("fold").eqNullSafe(F.lit(fold)))
+        if held.isEmpty():
+            continue
         if train.isEmpty():
             continue
         scored = add_prediction(held, fit_horizon_model(train, features, target, settings), features, "prediction")

@@ -9,7 +9,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gustwatch.functions.expressions import f_beta, ratio
+from gustwatch.functions.expressions import above, f_beta, ratio
 from gustwatch.operators.ordered import Ordered
 from gustwatch.operators.percentiles import exact_percentiles, percentile_column
 from gustwatch.settings import (
@@ -21,6 +21,7 @@ from gustwatch.settings import (
 )
 
 
+#: The two grids below.
 def probability_grid() -> list[float]:
     """Thresholds 0.35 to 0.95 in 80 steps and on to 0.999 in 40."""
     return [float(t) for t in np.unique(np.concatenate([np.linspace(0.35, 0.95, 80), np.linspace(0.95, 0.999, 40)]))]
@@ -40,8 +41,8 @@ def rate_columns(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Co
 
 
 def confusion(df: DataFrame, score: str, label: str, threshold: float) -> DataFrame:
-    """One row of counts and rates at a threshold; a row is flagged strictly above it."""
-    flagged, positive = F.coalesce(F.col(score) > F.lit(threshold), F.lit(False)), F.col(label) == 1
+    """One row of counts and rates at a threshold; a row is flagged strictly above it, never without a score."""
+    flagged, positive = above(score, threshold), F.col(label) == 1
     counts = df.agg(
         F.count_if(flagged & positive).alias("tp"),
         F.count_if(flagged & ~positive).alias("fp"),
@@ -62,16 +63,15 @@ def sweep_grids(df: DataFrame, scores: Sequence[str], label: str, grid: Sequence
 
     A row is counted once per score, in the bucket of the greatest threshold
     below its score; suffix sums over the buckets (one row per threshold) give
-    the counts of each threshold.
+    the counts of each threshold. Null and NaN scores are below all of them.
     """
     # The bucketizer's ranges include their lower end; on negated values that leaves scores strictly above.
     splits = [-float("inf"), *[-t for t in reversed(grid)], float("inf")]
     bucketizer = Bucketizer(splits=splits, inputCol="_negated", outputCol="_bucket")
     values = [F.struct(F.lit(s).alias("score"), (-F.col(s).cast("double")).alias("negated")) for s in scores]
     long = df.select((F.col(label) == 1).alias("_positive"), F.explode(F.array(*values)).alias("_v"))
-    known = long.select("_positive", "_v.score", F.col("_v.negated").alias("_negated")).filter(
-        F.col("_negated").isNotNull() & ~F.isnan("_negated")
-    )
+    negated = F.nanvl(F.coalesce("_v.negated", F.lit(float("inf"))), F.lit(float("inf")))
+    known = long.select("_positive", "_v.score", negated.alias("_negated"))
     counted = (
         bucketizer.transform(known)
         .groupBy("score", (F.lit(len(grid)) - F.col("_bucket").cast("int")).alias("_above"))
@@ -134,19 +134,18 @@ def sweep_percentiles(
     """
     found = exact_percentiles(scores, score, percents, limits=limits).first()
     thresholds = [(p, found[percentile_column(p)]) for p in percents]
-    value = F.col(score)
     counts = labelled.agg(
         *[
             F.struct(
                 F.lit(p).alias("percentile"),
                 F.lit(t).alias("threshold"),
-                F.count_if(above & F.col("anomalous")).alias("tp"),
-                F.count_if(above & F.col("normal")).alias("fp"),
-                F.count_if(~above & F.col("anomalous")).alias("fn"),
-                F.count_if(~above & F.col("normal")).alias("tn"),
+                F.count_if(flagged & F.col("anomalous")).alias("tp"),
+                F.count_if(flagged & F.col("normal")).alias("fp"),
+                F.count_if(~flagged & F.col("anomalous")).alias("fn"),
+                F.count_if(~flagged & F.col("normal")).alias("tn"),
             ).alias(f"p{p}")
             for p, t in thresholds
-            for above in [F.coalesce(value > F.lit(t), F.lit(False))]
+            for flagged in [above(score, t)]
         ]
     )
     rows = counts.select(F.explode(F.array(*counts.columns)).alias("s")).select("s.*")

@@ -38,21 +38,26 @@ def build_feature_table(
     telemetry = select.cast_sensors(select.cast_meta(telemetry.select(*META_COLUMNS, *candidates)), candidates)
     quality.require_rows(telemetry.filter(normal_train), "normal rows of the train split")
     sensors = sorted(select.pick_sensors(telemetry.filter(normal_train), candidates, settings.top_sensors))
-    telemetry = telemetry.select(*META_COLUMNS, *sensors)
+    # Products may need sensors that are not kept themselves.
+    pairs = select.interaction_pairs(select.sensors_by_role(descriptions, candidates), settings.interactions)
+    factors = sorted({c for pair in pairs.values() for c in pair} - set(sensors))
+    telemetry = telemetry.select(*META_COLUMNS, *sensors, *factors)
+    if settings.normal_train_and_test:
+        telemetry = select.normal_train_and_test(telemetry, settings.normal_status, settings.test_split)
 
     kinds = {**select.sensor_kinds(descriptions, sensors), **settings.sensor_kinds}
-    pairs = select.interaction_pairs(select.sensors_by_role(descriptions, sensors))
     rolled = rolling_names(sensors)
     windowed = add_rolling(telemetry, sensors, kinds, settings.roll_by_split, limits)
     windowed = fill_zero(drop_all_null(windowed, rolled), rolled)
     windowed = add_status_history(windowed, settings.downtime_status, settings.derated_status, limits, telemetry)
     # Read three times from here on: for the baselines, for the statistics, and for the result.
-    windowed = materialize(select.add_products(windowed, pairs))
+    windowed = materialize(select.add_products(windowed, pairs).drop(*factors))
 
     baseline = sized(scaling.asset_baseline(windowed.filter(normal_train), sensors))
     features = [*sensors, *rolled, *[f"{s}_deviation" for s in sensors], *pairs]
     derived = fill_zero(scaling.add_deviation(windowed, baseline, sensors), features)
-    stats = scaling.scaler_stats(derived.filter(normal_train), features)
+    train = (F.col("train_test") == "train") if settings.scale_by_all_train else normal_train
+    stats = scaling.scaler_stats(derived.filter(train), features)
     scaled = scaling.standard_scale(derived, stats)
 
     labelled = labels.add_event_horizon(scaled, events, limits)

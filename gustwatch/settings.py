@@ -65,6 +65,13 @@ class FarmSettings:
     fit_cutoff: str = "2024-01-15 00:00:00"
     #: Keep only this many sensors, by variance; None keeps all.
     top_sensors: int | None = None
+    #: Products to add: "gearbox" (oil by power and wind) or "vibration" (temperature by vibration).
+    interactions: str = "gearbox"
+    #: Keep normal train rows and all rows of ``test_split`` only, before anything is rolled (the older track).
+    normal_train_and_test: bool = False
+    test_split: str = "prediction"
+    #: Scale by all train rows instead of the normal ones.
+    scale_by_all_train: bool = False
     #: Event ids usable for supervised learning; empty means none.
     usable_events: tuple[int, ...] = ()
     sensor_kinds: dict[str, str] = field(default_factory=dict)

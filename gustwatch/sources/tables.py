@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gustwatch.session import sized
+
+#: Rows of one table partition that one task writes.
+ROWS_PER_WRITER = 5_000_000
+
 DELIMITER = ";"
 
 _TELEMETRY = (
@@ -74,26 +81,58 @@ def table_format(spark: SparkSession) -> str:
     return "delta" if "io.delta" in (spark.conf.get("spark.sql.extensions", "") or "") else "parquet"
 
 
+def _gathered(df: DataFrame, partition_by: Sequence[str], rows_per_writer: int) -> DataFrame:
+    counted = df.groupBy(*[F.col(c).alias(f"_p_{c}") for c in partition_by]).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_writer)).alias("_writers")
+    )
+    same = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in partition_by]
+    salted = df.join(sized(counted), reduce(and_, same)).withColumn(
+        "_salt", F.pmod(F.xxhash64(*df.columns), F.col("_writers"))
+    )
+    return salted.repartition(*partition_by, "_salt").select(*df.columns)
+
+
+def _merged_into(df: DataFrame, *name: str) -> DataFrame:
+    """``df`` with the columns of the table, after the table got the new columns of ``df``."""
+    spark = df.sparkSession
+    known = spark.table(quoted(*name)).schema
+    new = [f for f in df.schema.fields if f.name not in known.names]
+    if new:
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new)
+        spark.sql(f"ALTER TABLE {quoted(*name)} ADD COLUMNS ({columns})")
+    wanted = spark.table(quoted(*name)).schema
+    return df.select(
+        *[
+            F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in wanted.fields
+        ]
+    )
+
+
 def write_table(
     df: DataFrame,
     *name: str,
     mode: str = "overwrite",
     partition_by: Sequence[str] = (),
     path: str | None = None,
+    rows_per_writer: int = ROWS_PER_WRITER,
 ) -> None:
-    """Save as catalog table. Overwriting also replaces the schema.
+    """Save as catalog table. Overwriting replaces the schema, appending merges it.
 
     Rows are gathered by the partition columns first, so that a partition gets
-    few files; with a salt, so that a large one is still written by many tasks.
+    few files: one task per ``rows_per_writer`` rows that a count finds in it,
+    so that a large partition is written by many tasks and a small one by one.
+    Appended rows meet the table by column name: columns the rows lack become
+    nulls, columns the table lacks are added to it.
     """
+    spark = df.sparkSession
+    if mode == "append" and spark.catalog.tableExists(quoted(*name)):
+        df = _merged_into(df, *name)
     if partition_by:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(16))
-        df = df.repartition(*[F.col(c) for c in partition_by], salt)
-    writer = df.write.format(table_format(df.sparkSession)).mode(mode)
+        df = _gathered(df, partition_by, rows_per_writer)
+    writer = df.write.format(table_format(spark)).mode(mode)
     if mode == "overwrite":
         writer = writer.option("overwriteSchema", True)
-    if mode == "append":
-        writer = writer.option("mergeSchema", True)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     if path:

@@ -292,7 +292,7 @@ def test_column_choice(spark):
     assert roles["gearbox_oil"] == ["a_avg"] and roles["power"] == ["b"] and roles["vibration"] == []
     assert select.sensor_kinds(described, names) == {"a_avg": "counter", "b": "angle"}
     assert select.interaction_pairs(roles) == {"gearbox_oil_x_power": ("a_avg", "b")}
-    assert select.interaction_pairs({"temperature": ["t"], "vibration": ["v", "w", "x"]}) == {"oil_x_vib": ("t", "v"), "temp_x_rpm": ("t", "w")}
+    assert select.interaction_pairs({"temperature": ["t"], "vibration": ["v", "w", "x"]}, "vibration") == {"oil_x_vib": ("t", "v"), "temp_x_rpm": ("t", "w")}
 
 
 def test_checks(spark):
@@ -382,9 +382,50 @@ def test_oversampling_balances_between_neighbours(spark):
 
 def test_event_folds_hold_every_event_out_once(spark):
     rows = spark.createDataFrame([(i, i % 5) for i in range(50)], "id bigint, e bigint")
-    own = supervised.add_event_folds(rows, "e", max_folds=5)
+    own = supervised.add_event_folds(rows, "e", [0, 1, 2, 3, 4])
     assert own.select("fold").distinct().count() == 5
     assert own.groupBy("e").agg(F.countDistinct("fold").alias("n")).filter("n <> 1").isEmpty()
-    shared = supervised.add_event_folds(rows, "e", max_folds=2)
+    some = supervised.add_event_folds(rows, "e", [3])
+    assert {(r["e"], r["fold"]) for r in some.select("e", "fold").distinct().collect()} == {(0, None), (1, None), (2, None), (3, 0), (4, None)}
+    shared = supervised.add_hashed_event_folds(rows, "e", 2)
     assert shared.groupBy("e").agg(F.countDistinct("fold").alias("n")).filter("n <> 1").isEmpty()
     assert set(column(shared.select("fold").distinct(), "fold", "fold")) <= {0, 1}
+
+
+def test_no_score_is_never_above(spark):
+    rows = spark.createDataFrame(
+        [(0.9, 1), (float("nan"), 1), (None, 1), (0.2, 1), (0.8, 0), (float("nan"), 0), (None, 0)], "s double, y int"
+    )
+    once = thresholds.confusion(rows, "s", "y", 0.5).first()
+    swept = thresholds.sweep_grid(rows, "s", "y", [0.3, 0.5]).filter("threshold = 0.5").first()
+    wanted = {"tp": 1, "fp": 1, "fn": 3, "tn": 2}
+    assert {k: once[k] for k in wanted} == {k: swept[k] for k in wanted} == wanted
+
+
+def test_window_labels_do_not_group_rows(spark):
+    rows = spark.createDataFrame([(1, i, 0.0) for i in range(20)], "asset_id bigint, id bigint, x double").withColumn(
+        "time_stamp", F.lit(0).cast("timestamp")
+    )
+    events = spark.createDataFrame(
+        [(1, 5, "anomaly", "gear", 3, 9), (1, 6, "anomaly", None, 8, 8), (1, 7, "normal", "n", 1, 12), (1, 8, "other", "o", 15, 16)],
+        "asset_id bigint, event_id bigint, event_label string, event_description string, event_start_id bigint, event_end_id bigint",
+    )
+    found = intervals.window_labels(rows, events)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["id"]: (r["label"], r["fault_type"]) for r in found.collect()} == {
+        **{i: (0, "normal") for i in range(1, 13)},
+        **{i: (1, "gear") for i in range(3, 10)},
+        8: (1, "anomaly"),
+    }
+
+
+def test_interactions_follow_the_setting_and_fall_back(spark):
+    described = spark.createDataFrame(
+        [("sensor_10", "temp", "C"), ("sensor_2", "temp", "C"), ("sensor_7", "vibration", "g")],
+        "sensor_name string, description string, unit string",
+    )
+    columns = ["sensor_10_avg", "sensor_2_avg", "sensor_7", "sensor_12_avg", "sensor_30_avg"]
+    roles = select.sensors_by_role(described, columns)
+    assert roles["temperature"] == ["sensor_2_avg", "sensor_10_avg"]
+    assert select.interaction_pairs(roles) == {"gearbox_oil_x_power": ("sensor_12_avg", "sensor_30_avg")}
+    assert select.interaction_pairs(roles, "vibration")["oil_x_vib"] == ("sensor_2_avg", "sensor_7")
