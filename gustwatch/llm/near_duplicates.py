@@ -37,8 +37,9 @@ class Near:
     rounds: int = 3
     #: Another round follows while one links at least this share of the pairs it compared.
     worth: float = 0.05
-    #: Shingles of a block of the last comparison (about half a MB).
+    #: Shingles of a block of the last comparison (about half a MB); each node counts as ``node_shingles`` more, which bounds a block's nodes.
     block_shingles: int = 60_000
+    node_shingles: int = 100
 
 
 NEAR = Near()
@@ -207,7 +208,7 @@ def _cross_links(apart: DataFrame, sets: DataFrame, how: Near, work: Scratch) ->
     )
     nodes = work.write(nodes)
     whole_block = F.col("w") >= how.block_shingles
-    weights = nodes.groupBy("cluster", "component").agg(F.sum("n").alias("w"))
+    weights = nodes.groupBy("cluster", "component").agg(F.sum(F.col("n") + how.node_shingles).alias("w"))
     homes = weights.select("cluster", "component", F.when(whole_block, F.col("component")).alias("home"), "w")
     many = homes.groupBy("cluster", "home").agg(F.ceil(F.sum("w") / how.block_shingles).alias("many"))
     placed = homes.join(
