@@ -7,21 +7,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gustwatch.operators.ordered import Ordered
 from gustwatch.operators.percentiles import exact_percentiles, percentile_column
 from gustwatch.operators.scaling import minmax, scaler_stats, standard_scale
-from gustwatch.operators.sequences import ORDER, segment_rows, sequence_payload
-from gustwatch.session import spread
+from gustwatch.operators.sequences import ORDER, segment_rows
+from gustwatch.session import materialize, spread
 from gustwatch.settings import LIMITS, Limits
 
-#: Components are computed from a square matrix of this width at most, held by the driver.
-MAX_WIDTH = 4096
+#: Values of the windows that a task holds at once while fitting (32 MB).
+_VALUES_AT_ONCE = 1 << 22
+#: Partial sums are added up in so many groups before they come to the driver.
+_SLOTS = 16
 _ROWS_AT_ONCE = 1000
 
 
@@ -41,6 +42,56 @@ class SequenceModel:
         return (missed**2).reshape(len(windows), self.length, len(self.features)).mean(axis=1)
 
 
+_PARTIAL = "_copied boolean, slot int, n long, sums binary, products binary"
+
+
+def _window_sums(names: Sequence[str], length: int, mean: np.ndarray | None, basis: np.ndarray | None):
+    """Sums over the windows in use: their number, their values, and with ``basis`` covariance times basis."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        width = length * len(names)
+        before = np.zeros((length - 1, len(names)))
+        n, sums = 0, np.zeros(width)
+        products = np.zeros((width, 0 if basis is None else basis.shape[1]))
+        for batch in batches:
+            values = np.concatenate([before, batch[list(names)].to_numpy(dtype=float)])
+            used = np.flatnonzero(batch["_use"].to_numpy(dtype=bool))
+            cut = np.lib.stride_tricks.sliding_window_view(values, length, axis=0) if len(batch) else None
+            at_once = max(1, _VALUES_AT_ONCE // width)
+            for start in range(0, len(used), at_once):
+                windows = cut[used[start : start + at_once]].transpose(0, 2, 1).reshape(-1, width)
+                n, sums = n + len(windows), sums + windows.sum(axis=0)
+                if basis is not None:
+                    centred = windows - mean
+                    products += centred.T @ (centred @ basis)
+            before = values[len(values) - length + 1 :]
+        slot = TaskContext.get().partitionId() % _SLOTS
+        yield pd.DataFrame(
+            {"_copied": [False], "slot": [slot], "n": [n], "sums": [sums.tobytes()], "products": [products.tobytes()]}
+        )
+
+    return add
+
+
+def _added(rows: Ordered, names: Sequence[str], length: int, mean=None, basis=None) -> tuple[int, np.ndarray, np.ndarray]:
+    def step(part: DataFrame, window) -> DataFrame:
+        used = part.withColumn("_use", F.col("_use") & ~F.col("_copied")) if "_copied" in part.columns else part
+        arranged = spread(used, *rows.groups).sortWithinPartitions(*rows.groups, *ORDER)
+        return arranged.mapInPandas(_window_sums(names, length, mean, basis), _PARTIAL)
+
+    def total(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = {c: np.sum([np.frombuffer(x) for x in frame[c]], axis=0).tobytes() for c in ("sums", "products")}
+        return pd.DataFrame({"n": [int(frame["n"].sum())], **{c: [v] for c, v in parts.items()}})
+
+    partial = rows.lookback(length, step).df
+    summed = partial.select("slot", "n", "sums", "products").groupBy("slot").applyInPandas(total, "n long, sums binary, products binary")
+    n, sums, products = 0, np.zeros(length * len(names)), 0.0
+    for row in summed.toLocalIterator():
+        n, sums = n + row["n"], sums + np.frombuffer(row["sums"])
+        products = products + np.frombuffer(row["products"]).reshape(length * len(names), -1)
+    return n, sums, products
+
+
 def fit_sequence_model(
     df: DataFrame,
     features: Sequence[str],
@@ -50,27 +101,53 @@ def fit_sequence_model(
     eligible: str = "if_fit_eligible",
     fit_share: float = 0.8,
     stride: int = 1,
+    passes: int = 12,
     limits: Limits = LIMITS,
 ) -> SequenceModel:
     """Fit on windows of eligible rows only, from the earlier ``fit_share`` of them.
 
-    Features are scaled by the statistics of eligible rows first.
+    Features are scaled by the statistics of eligible rows first. Windows are
+    cut from sorted rows inside the task, never stored. Components come from
+    subspace iteration: a pass over the rows multiplies a thin basis (window
+    width x components) by the covariance, so no square matrix of the window's
+    width exists anywhere. At most ``passes`` passes; fewer once the basis stands.
     """
     width = length * len(features)
-    if width > MAX_WIDTH:
-        raise ValueError(f"{length} steps of {len(features)} features are more than {MAX_WIDTH} values")
     stats = scaler_stats(df.filter(F.col(eligible)), features)
     scaled = standard_scale(df.fillna(0.0, list(features)), stats)
-    windows = sequence_payload(scaled, features, length, max_gap_minutes, eligible, stride, limits).filter("trainable")
+    segments = segment_rows(scaled, max_gap_minutes, limits)
+
+    def close(rows, window):
+        whole = F.min(F.coalesce(F.col(eligible), F.lit(False)).cast("int")).over(window.rowsBetween(1 - length, 0)) == 1
+        full = (F.col("segment_row") >= length) & ((F.col("segment_row") - length) % stride == 0)
+        return rows.withColumn("_use", whole & full)
+
+    closed = segments.lookback(length, close)
+    written = closed.with_rows(materialize(closed.df.select(*closed.groups, *ORDER, "_use", *features)))
     at = F.unix_micros("time_stamp").cast("double")
-    last = exact_percentiles(windows.select(at.alias("_at")), "_at", [100 * fit_share], limits=limits).first()
+    last = exact_percentiles(written.df.filter("_use").select(at.alias("_at")), "_at", [100 * fit_share], limits=limits).first()
     if last is None:
         raise ValueError("no window of eligible rows to fit on")
-    early = windows.filter(at <= F.lit(last[percentile_column(100 * fit_share)]))
-    vectors = early.select(array_to_vector("payload").alias("v"))
-    mean = vectors.select(Summarizer.mean(F.col("v")).alias("m")).first()["m"].toArray()
-    fitted = PCA(k=min(components, width), inputCol="v", outputCol="p").fit(vectors)
-    return SequenceModel(tuple(features), length, max_gap_minutes, stats, mean, fitted.pc.toArray())
+    early = at <= F.lit(last[percentile_column(100 * fit_share)])
+    rows = written.with_rows(written.df.withColumn("_use", F.col("_use") & early))
+    n, sums, _ = _added(rows, features, length)
+    mean = sums / n
+    kept = min(components, width)
+    # A few columns more than are kept make the iteration settle sooner.
+    columns = min(width, kept + 4)
+    basis = np.linalg.qr(np.random.default_rng(0).normal(size=(width, columns)))[0]
+    for _ in range(passes):
+        products = _added(rows, features, length, mean, basis)[2]
+        following = np.linalg.qr(products)[0]
+        moved = following - basis @ (basis.T @ following)
+        if np.abs(moved).max() < 1e-9 or columns == width:
+            break
+        basis, products = following, None
+    if products is None:
+        products = _added(rows, features, length, mean, basis)[2]
+    values, turned = np.linalg.eigh((basis.T @ products + products.T @ basis) / 2)
+    found = basis @ turned[:, np.argsort(-values)[:kept]]
+    return SequenceModel(tuple(features), length, max_gap_minutes, stats, mean, found)
 
 
 def reconstruction_errors(df: DataFrame, model: SequenceModel, limits: Limits = LIMITS) -> DataFrame:

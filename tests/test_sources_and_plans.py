@@ -147,6 +147,41 @@ def test_reconstruction_of_a_full_basis_is_exact(spark, farm):
     assert {r.feature for r in by_feature} == set(features)
 
 
+def test_components_are_the_principal_ones(spark):
+    rng = np.random.default_rng(1)
+    features = [f"f{i}" for i in range(3)]
+    table = rng.normal(size=(300, 3)).cumsum(axis=0)
+    rows = spark.createDataFrame(
+        [(1, 600 * i, i, bool(i % 40), *map(float, table[i])) for i in range(300)],
+        "asset_id bigint, t bigint, id bigint, if_fit_eligible boolean, " + ", ".join(f"{f} double" for f in features),
+    ).withColumn("time_stamp", F.timestamp_seconds("t"))
+    length = 4
+    eligible = np.array([bool(i % 40) for i in range(300)])
+    x = (table - table[eligible].mean(axis=0)) / table[eligible].std(axis=0, ddof=1)
+    ends = [i for i in range(length - 1, 300) if eligible[i - length + 1 : i + 1].all()]
+    cut = np.percentile(ends, 80)
+    windows = np.stack([x[i - length + 1 : i + 1].ravel() for i in ends if i <= cut])
+    for limits in (Limits(), Limits(task_rows=60)):
+        model = autoencoder.fit_sequence_model(rows, features, length, 15, components=2, limits=limits)
+        wanted = np.linalg.svd(windows - model.mean)[2][:2].T
+        # The same plane, whatever scaling by count or by count less one.
+        assert np.allclose(model.components @ model.components.T, wanted @ wanted.T, atol=0.02)
+
+
+def test_wide_windows_need_no_square_matrix(spark):
+    names = [f"f{i}" for i in range(60)]
+    rows = spark.range(400).select(
+        F.lit(1).cast("bigint").alias("asset_id"),
+        F.timestamp_seconds(F.col("id") * 600).alias("time_stamp"),
+        "id",
+        F.lit(True).alias("if_fit_eligible"),
+        *[F.sin(F.col("id") * (i + 1) / 50).alias(c) for i, c in enumerate(names)],
+    )
+    model = autoencoder.fit_sequence_model(rows, names, 144, 15, components=3, passes=3)
+    assert model.components.shape == (144 * 60, 3)
+    assert np.allclose(model.components.T @ model.components, np.eye(3), atol=1e-8)
+
+
 def test_classifiers(spark, farm):
     telemetry, _, _ = farm
     labelled = telemetry.withColumn("label", (F.col("oil_avg") > 0.5).cast("int")).withColumn(
