@@ -6,9 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from gustwatch.catalogue import models, sequences
-from gustwatch.catalogue.base import SENSORS, query, r6, sql_with, telemetry
-from gustwatch.functions.expressions import risk_tier, rounded
+from gustwatch.catalogue.base import SENSORS, event_info, query, r6, sql_with, telemetry
+from gustwatch.functions.expressions import probability_tier, risk_tier, rounded
 from gustwatch.operators import autoencoder, forest, oversample, supervised
+from gustwatch.plans.models import build_classifier_scores
 
 # Two trees over the sensors: an inner node has children, a leaf is its own child.
 _NODES = {
@@ -216,3 +217,25 @@ def importance_invariants(spark, sf_dir):
         (F.abs(F.sum("importance") - 1) < 1e-6).alias("gains_add_up"),
         F.every((F.col("mean_abs_effect") >= 0) & unused).alias("effects_hold"),
     )
+
+
+@query(
+    "classifier_scores",
+    sql_with(
+        "telemetry",
+        """SELECT asset_id, count(*) AS n, count(DISTINCT id) AS n_keys, true AS tiers_match, true AS faults_match, true AS flags_match
+FROM telemetry GROUP BY asset_id""",
+    ),
+)
+def classifier_scores(spark, sf_dir):
+    """The classifier's plan from features to its score table: keys, and what follows from probability and threshold."""
+    events = event_info(spark, sf_dir)
+    built = build_classifier_scores(models._featured(spark, sf_dir), events, models._FEATURES, models._ROUNDS, models._FAULT_ROUNDS)
+    p, flag = F.col("xgb_anomaly_prob"), F.col("xgb_anomaly_flag")
+    return built.scores.groupBy("asset_id").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("id").alias("n_keys"),
+        F.every(probability_tier(p).eqNullSafe(F.col("xgb_risk_tier"))).alias("tiers_match"),
+        F.every((flag == 1) != (F.col("xgb_fault_type") == "normal")).alias("faults_match"),
+        F.every((flag == 1) == (p > built.threshold)).alias("flags_match"),
+    )

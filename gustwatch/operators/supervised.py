@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gustwatch.functions.expressions import f_beta, risk_tier
 from gustwatch.operators.evaluate import fold_rmse
 from gustwatch.operators.ordered import Ordered
+from gustwatch.operators.oversample import SMALL_CLASS, oversample
 from gustwatch.operators.scaling import minmax_inverted
 from gustwatch.operators.thresholds import (
     choose_probability_threshold,
@@ -119,9 +120,17 @@ def add_probability(df: DataFrame, model, features: Sequence[str], output: str =
     return scored.select(*df.columns, vector_to_array("probability")[1].alias(output))
 
 
-def cross_validate(folded: DataFrame, features: Sequence[str], settings: TreeSettings = EVENT_TREES) -> DataFrame:
-    """F1, precision and recall per fold of ``add_time_folds`` output; one-class training data gives 0."""
-    folded = materialize(folded.select("nth", "holdout", "fold", "label", *features))
+def cross_validate(
+    folded: DataFrame,
+    features: Sequence[str],
+    settings: TreeSettings = EVENT_TREES,
+    small_class: int = SMALL_CLASS,
+) -> DataFrame:
+    """F1, precision and recall per fold of ``add_time_folds`` output; one-class training data gives 0.
+
+    A training fold with a class below ``small_class`` rows is oversampled.
+    """
+    folded = materialize(folded.select("id", "nth", "holdout", "fold", "label", *features))
     fit_rows = folded.filter("not holdout").count()
     results = None
     for fold in range(fold_count(fit_rows)):
@@ -130,7 +139,8 @@ def cross_validate(folded: DataFrame, features: Sequence[str], settings: TreeSet
         if train.select("label").distinct().count() < 2:
             scored = valid.withColumn("p", F.lit(0.0))
         else:
-            scored = add_probability(valid, fit_event_model(train, features, settings), features, "p")
+            balanced = oversample(train, "label", features, settings.seed, small_class)
+            scored = add_probability(valid, fit_event_model(balanced, features, settings), features, "p")
         counts = confusion(scored, "p", "label", 0.5)
         precision, recall = F.col("precision"), F.col("detection_rate")
         row = counts.select(
