@@ -22,7 +22,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from gustwatch.session import materialize
+from gustwatch.session import materialize, sized
 from gustwatch.settings import LIMITS, Limits
 
 RUN = "_run"
@@ -104,8 +104,8 @@ class Ordered:
             F.expr(f"filter(ahead, a -> a.start - end < {rows})").alias("_ahead"),
             F.col("end").alias("_end"),
         )
-        # One row per run that some later run of the same key still needs: bounded by the number of runs.
-        targets = F.broadcast(targets.filter(F.size("_ahead") > 0))
+        # One row per run that some later run of the same key still needs; runs grow with the rows, so the planner sees the size.
+        targets = sized(targets.filter(F.size("_ahead") > 0))
         backwards = Window.partitionBy(*self.groups).orderBy(*[_direction(o, reverse=True) for o in self.order])
         tail = (
             self.df.join(targets, self.groups)
@@ -143,10 +143,9 @@ class Ordered:
             .filter("_nth > 1")
             .drop("_nth")
         )
-        # At most one key continues into each run, so the carry has no more rows than there are runs.
-        joined = self.df.select("*", *[v.alias(n) for n, v in local.items()]).join(
-            F.broadcast(carry), self.groups, "left"
-        )
+        # At most one key continues into each run, so the carry has no more rows than there are runs; written, so that the
+        # planner broadcasts it only while it is small.
+        joined = self.df.select("*", *[v.alias(n) for n, v in local.items()]).join(sized(carry), self.groups, "left")
         combined = {
             name: _COMBINE[kind](F.col(f"_c_{name}"), F.col(name)) for name, (kind, _) in columns.items()
         }
