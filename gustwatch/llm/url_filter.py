@@ -17,6 +17,12 @@ _CANONICAL = (
 )
 _REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
+# The same with the attributes in the other order.
+_REFRESH_AFTER = r"(?is)<meta\b[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b"
+_BASE = r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+_AMPERSAND = r"(?i)&(?:amp|#0*38|#x0*26);"
+_ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*:"
+
 
 def lower_host(column: Column) -> Column:
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -39,20 +45,56 @@ def canonical_form(url: Column) -> Column:
     return F.when(host_of(url) == "", url).otherwise(form)
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from ``/`` on, with ``.`` and ``..`` segments carried out."""
+    segments = F.split(F.substring(path, 2, 1 << 30), "/")
+    nothing = F.array().cast("array<string>")
+
+    def step(kept: Column, segment: Column) -> Column:
+        parent = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(segment == ".", kept).when(segment == "..", parent).otherwise(F.concat(kept, F.array(segment)))
+
+    kept = F.aggregate(segments, nothing, step)
+    closed = F.element_at(segments, -1).isin(".", "..") & (F.size(kept) > 0)
+    dotless = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(closed, "/").otherwise(""))
+    return F.when(path.contains("/."), dotless).otherwise(path)
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """``target`` as an absolute url seen from ``base``; null for other schemes (``mailto:``) and without a host to start from."""
+    root = F.concat(F.regexp_extract(base, r"(?s)^(.*?)://", 1), F.lit("://"), host_of(base))
+    query = F.regexp_extract(base, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    folder = F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1)
+    path, rest = (F.regexp_extract(target, r"(?s)^([^?#]*)(.*)", i) for i in (1, 2))
+    own = F.regexp_extract(target, r"(?s)^([^?#]*?://[^/?#]*)", 1)
+    with_authority = F.concat(own, _without_dots(F.regexp_extract(target, _PARTS, 2)), rest)
+    relative = (
+        F.when(path.startswith("/"), F.concat(root, _without_dots(path), rest))
+        .when(path != "", F.concat(root, _without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), path)), rest))
+        .when(rest.startswith("?"), F.concat(root, path_of(base), rest))
+        .otherwise(F.concat(root, path_of(base), query, rest))
+    )
+    return (
+        F.when(target.rlike(_ABSOLUTE), F.when(own != "", with_authority))
+        .when(host_of(base) == "", F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?://)", 1), F.substring(target, 3, 1 << 30)))
+        .otherwise(relative)
+    )
+
+
 def link_targets(url: Column, html: Column) -> Column:
-    """Targets of canonical links and refresh redirects as absolute urls; relative ones without a leading slash are left out."""
-    found = F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in (*_CANONICAL, _REFRESH)])
-    scheme = F.regexp_extract(url, r"(?s)^(.*?)://", 1)
-
-    def absolute(target: Column) -> Column:
-        return (
-            F.when(target.contains("://"), target)
-            .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-            .when(target.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), target))
-        )
+    """Targets of canonical links and refresh redirects as absolute urls, relative ones seen from the page or its base href."""
+
+    def decoded(value: Column) -> Column:
+        return F.regexp_replace(value, _AMPERSAND, "&")
 
+    found = F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in (*_CANONICAL, _REFRESH, _REFRESH_AFTER)])
+    named = decoded(F.regexp_extract(html, _BASE, 1))
+    base = F.when(named == "", url).otherwise(F.coalesce(resolved(named, url), url))
+    # The base is bound once, so that a page with many links is not searched for it again and again.
+    targets = F.flatten(F.transform(F.array(base), lambda b: F.transform(found, lambda t: resolved(decoded(t), b))))
     linked = html.rlike(r"(?i)\bcanonical\b|\bhttp-equiv\b")
-    return F.when(linked, F.array_compact(F.transform(found, absolute))).otherwise(F.array().cast("array<string>"))
+    return F.when(linked, F.array_compact(targets)).otherwise(F.array().cast("array<string>"))
 
 
 def matched_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -252,6 +252,51 @@ def test_redirect_equivalence(spark):
     assert found == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "block"}
 
 
+def test_link_targets_are_resolved(spark):
+    links = [
+        ("http://a.org/d/e?q#f", "page2", "http://a.org/d/page2"),
+        ("http://a.org/d/e", "../x?id=1", "http://a.org/x?id=1"),
+        ("http://a.org/d/e", "../../../x/.", "http://a.org/x/"),
+        ("http://a.org/d/e", "?id=3", "http://a.org/d/e?id=3"),
+        ("http://a.org", "x", "http://a.org/x"),
+        ("http://a.org?p", "?q", "http://a.org?q"),
+        ("http://a.org/d/e?p#f", "#top", "http://a.org/d/e?p#top"),
+        ("https://a.org/d", "//b.org/x", "https://b.org/x"),
+        ("http://a.org/d", "/go?u=http://b.org/", "http://a.org/go?u=http://b.org/"),
+        ("http://a.org/d", "http://b.org/x/../y?a=1&amp;b=2&#38;c=3", "http://b.org/y?a=1&b=2&c=3"),
+        ("http://a.org/d", "mailto:me@b.org", None),
+        ("no scheme", "x", None),
+    ]
+    rows = spark.createDataFrame([(u, f"<link rel='canonical' href='{t}'>", e) for u, t, e in links], "url string, html string, e string")
+    for r in rows.select("url", "e", url_filter.link_targets(F.col("url"), F.col("html")).alias("t")).collect():
+        assert r["t"] == ([r["e"]] if r["e"] else []), r
+    based = [
+        ("http://a.org/d/e", "<base href='/up/'><link rel='canonical' href='x'>", ["http://a.org/up/x"]),
+        ("no scheme", "<BASE target=_top href=http://b.org/d/e><link href=x rel=canonical>", ["http://b.org/d/x"]),
+    ]
+    rows = spark.createDataFrame(based, "url string, html string, e array<string>")
+    for r in rows.select("e", url_filter.link_targets(F.col("url"), F.col("html")).alias("t")).collect():
+        assert r["t"] == r["e"]
+
+
+def test_aliases_by_relative_links_and_either_attribute_order(spark):
+    pages = spark.createDataFrame(
+        [
+            (1, "http://one.org/", '<meta content="0;url=http://bad.org/a" http-equiv="refresh">'),
+            (2, "http://two.org/d/e", "<link rel=canonical href='../hub'>"),
+            (3, "http://two.org/hub", "<meta http-equiv=refresh content='0; url=http://bad.org/?a=1&amp;b=2'>"),
+            (4, "http://good.org/?a=1&b=2", None),
+            (5, "http://four.org/", "<link rel=canonical href='http://good.org/?a=1&amp;b=2'>"),
+            (6, "http://five.org/", "<base href='http://bad.org/d/'><link rel=canonical href=x>"),
+            (7, "http://six.org/", "<base href='http://bad.org/d/'>"),
+        ],
+        "page_id long, url string, html string",
+    )
+    rules = url_filter.rule_table(spark, [("bad.org", "/", "block"), ("four.org", "/", "block"), ("good.org", "/", "allow")])
+    found = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, rules).collect()}
+    assert found == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "block", 7: "allow"}
+
+
 def test_benchmark_blocks_agree(spark, monkeypatch):
     items = spark.createDataFrame([(1, PROSE), (2, "lazy dog"), (3, "word7 follows word8"), (4, PROSE)], "item_id long, text string")
     docs = _docs(spark, [PROSE + " " + SENTENCES, "The QUICK brown, fox!", PROSE.upper(), ""])
