@@ -230,7 +230,7 @@ FROM telemetry GROUP BY asset_id""",
 def classifier_scores(spark, sf_dir):
     """The classifier's plan from features to its score table: keys, and what follows from probability and threshold."""
     events = event_info(spark, sf_dir)
-    built = build_classifier_scores(models._featured(spark, sf_dir), events, models._FEATURES, models._ROUNDS, models._FAULT_ROUNDS)
+    built = build_classifier_scores(models._featured(spark, sf_dir), events, models._FEATURES)
     p, flag = F.col("xgb_anomaly_prob"), F.col("xgb_anomaly_flag")
     return built.scores.groupBy("asset_id").agg(
         F.count(F.lit(1)).alias("n"),

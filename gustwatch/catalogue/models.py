@@ -29,15 +29,9 @@ from gustwatch.operators import (
     thresholds,
 )
 from gustwatch.operators.rolling import add_rolling, fill_zero, rolling_names
-from gustwatch.operators.supervised import TreeSettings
 from gustwatch.session import materialize
 from gustwatch.settings import FarmSettings
 
-# Boosted trees take fewer rounds here than the operators do by default, see the README.
-_ROUNDS = TreeSettings(rounds=5)
-_HORIZON_ROUNDS = TreeSettings(rounds=5, depth=4, subsample=1.0, feature_share=1.0, min_rows=1)
-_FAULT_ROUNDS = TreeSettings(rounds=10, depth=4, subsample=0.9, feature_share=0.9, min_rows=2)
-
 
 def _masked(spark, sf_dir):
     return labels.add_fit_mask(telemetry(spark, sf_dir), event_info(spark, sf_dir), FarmSettings(fit_cutoff=CUTOFF))
@@ -110,14 +104,14 @@ def _folded(spark, sf_dir):
 @query("gbt_cross_validation")
 def gbt_cross_validation(spark, sf_dir):
     """F1, precision and recall of the event classifier on forward-chained folds."""
-    return supervised.cross_validate(_folded(spark, sf_dir), _FEATURES, TreeSettings(rounds=2))
+    return supervised.cross_validate(_folded(spark, sf_dir), _FEATURES)
 
 
 @query("gbt_event_prob")
 def gbt_event_prob(spark, sf_dir):
     """Anomaly probability and flag of every row, the threshold tuned on the latest labelled rows."""
     folded = _folded(spark, sf_dir)
-    model = supervised.fit_event_model(folded.filter("not holdout"), _FEATURES, _ROUNDS)
+    model = supervised.fit_event_model(folded.filter("not holdout"), _FEATURES)
     threshold = supervised.tuned_threshold(supervised.add_probability(folded, model, _FEATURES))
     scored = supervised.add_probability(_featured(spark, sf_dir), model, _FEATURES)
     flag = above("xgb_anomaly_prob", threshold).cast("int")
@@ -128,7 +122,7 @@ def gbt_event_prob(spark, sf_dir):
 def fault_classifier(spark, sf_dir):
     """Predicted fault type of every anomaly row of the fit split."""
     anomalies = _folded(spark, sf_dir).filter("label = 1 and not holdout")
-    model = supervised.fit_fault_model(anomalies, _FEATURES, _FAULT_ROUNDS)
+    model = supervised.fit_fault_model(anomalies, _FEATURES)
     predicted = supervised.add_fault_type(anomalies, model, _FEATURES)
     return predicted.select("asset_id", "id", "fault_type", "fault_prediction")
 
@@ -146,7 +140,7 @@ def loeo_rmse(spark, sf_dir):
     event = "next_anomaly_event_id"
     known = learned.filter(F.col(event).isNotNull()).select(event).distinct().orderBy(event).limit(4).collect()
     return supervised.leave_event_out(
-        learned, _FEATURES, "hours_to_next_anomaly", settings=_HORIZON_ROUNDS, events=[r[event] for r in known]
+        learned, _FEATURES, "hours_to_next_anomaly", events=[r[event] for r in known]
     )
 
 
@@ -154,7 +148,7 @@ def loeo_rmse(spark, sf_dir):
 def horizon_scores(spark, sf_dir):
     """Predicted hours, tier and urgency of every row."""
     rows, learned = _horizon_rows(spark, sf_dir)
-    model = supervised.fit_horizon_model(learned, _FEATURES, "hours_to_next_anomaly", _HORIZON_ROUNDS)
+    model = supervised.fit_horizon_model(learned, _FEATURES, "hours_to_next_anomaly")
     return supervised.horizon_scores(rows, model, _FEATURES, ["asset_id", "time_stamp", "id"])
 
 
@@ -162,7 +156,7 @@ def horizon_scores(spark, sf_dir):
 def feature_importance(spark, sf_dir):
     """Split gain and mean absolute effect per feature of the horizon model."""
     _, learned = _horizon_rows(spark, sf_dir)
-    model = supervised.fit_horizon_model(learned, _FEATURES, "hours_to_next_anomaly", _HORIZON_ROUNDS)
+    model = supervised.fit_horizon_model(learned, _FEATURES, "hours_to_next_anomaly")
     gain = supervised.gain_importance(spark, model, _FEATURES)
     return gain.join(supervised.effect_importance(learned, model, _FEATURES), "feature")
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
@@ -29,6 +32,8 @@ from gustwatch.session import materialize
 from gustwatch.settings import LIMITS, Limits
 
 FOLD_GAP = 20
+#: Folds fitted at the same time; boosting is many short jobs, one after another.
+FITS_AT_ONCE = 4
 
 
 def holdout_start(n: int) -> int:
@@ -120,6 +125,13 @@ def add_probability(df: DataFrame, model, features: Sequence[str], output: str =
     return scored.select(*df.columns, vector_to_array("probability")[1].alias(output))
 
 
+def _for_each_fold(spark: SparkSession, fold_result: Callable, folds: int) -> list:
+    """``fold_result`` of every fold in order; the folds do not depend on one another."""
+    tasks = [inheritable_thread_target(spark)(lambda fold=fold: fold_result(fold)) for fold in range(folds)]
+    with ThreadPool(FITS_AT_ONCE) as pool:
+        return pool.map(lambda task: task(), tasks, chunksize=1)
+
+
 def cross_validate(
     folded: DataFrame,
     features: Sequence[str],
@@ -132,8 +144,8 @@ def cross_validate(
     """
     folded = materialize(folded.select("id", "nth", "holdout", "fold", "label", *features))
     fit_rows = folded.filter("not holdout").count()
-    results = None
-    for fold in range(fold_count(fit_rows)):
+
+    def fold_result(fold: int) -> DataFrame:
         train = folded.filter(F.col("nth") < fold_start(fit_rows, fold) - FOLD_GAP)
         valid = folded.filter(F.col("fold") == fold)
         if train.select("label").distinct().count() < 2:
@@ -143,7 +155,7 @@ def cross_validate(
             scored = add_probability(valid, fit_event_model(balanced, features, settings), features, "p")
         counts = confusion(scored, "p", "label", 0.5)
         precision, recall = F.col("precision"), F.col("detection_rate")
-        row = counts.select(
+        return counts.select(
             F.lit(fold).alias("fold"),
             f_beta(precision, recall).alias("f1"),
             precision,
@@ -151,8 +163,8 @@ def cross_validate(
             (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("val_size"),
             (F.col("tp") + F.col("fn")).alias("val_pos"),
         )
-        results = row if results is None else results.unionByName(row)
-    return results
+
+    return reduce(DataFrame.unionByName, _for_each_fold(folded.sparkSession, fold_result, fold_count(fit_rows)))
 
 
 def tuned_threshold(scored: DataFrame, score: str = "xgb_anomaly_prob") -> float:

@@ -1,10 +1,14 @@
 """Files and tables, and the end-to-end plans."""
 
+import inspect
+from unittest.mock import MagicMock
+
 import numpy as np
 import pytest
 from frames import at, events
 from pyspark.sql import functions as F
 
+from gustwatch.catalogue import model_checks, models
 from gustwatch.operators import autoencoder, supervised
 from gustwatch.plans.alerts import ALERT_COLUMNS, build_alerts
 from gustwatch.plans.features import build_feature_table
@@ -203,3 +207,46 @@ def test_classifiers(spark, farm):
     assert named.filter("fault_type <> fault_prediction").count() < 20
     assert supervised.fit_fault_model(labelled.filter("dir_avg < 100"), ["dir_avg"], trees) is None
     assert supervised.add_fault_type(labelled, None, ["dir_avg"], "low").first()["fault_prediction"] == "low"
+
+
+def test_model_queries_train_with_the_default_trees(monkeypatch):
+    taken = {}
+
+    def spy(module, name):
+        original = getattr(module, name)
+
+        def called(*args, **named):
+            bound = inspect.signature(original).bind(*args, **named)
+            bound.apply_defaults()
+            taken.setdefault(current, []).extend(v for v in bound.arguments.values() if isinstance(v, supervised.TreeSettings))
+            raise StopIteration
+
+        monkeypatch.setattr(module, name, called)
+
+    for name in ("cross_validate", "fit_event_model", "fit_fault_model", "fit_horizon_model", "leave_event_out"):
+        spy(supervised, name)
+    spy(model_checks, "build_classifier_scores")
+    frame = MagicMock()
+    for name in ("_folded", "_featured", "event_info"):
+        monkeypatch.setattr(models, name, lambda *_: frame)
+    monkeypatch.setattr(model_checks, "event_info", lambda *_: frame)
+    monkeypatch.setattr(models, "_horizon_rows", lambda *_: (frame, frame))
+    monkeypatch.setattr(models, "F", MagicMock())
+    event, fault, horizon = supervised.TreeSettings(), supervised.FAULT_TREES, supervised.HORIZON_TREES
+    assert (event.rounds, fault.rounds, horizon.rounds, horizon.depth) == (400, 300, 200, 6)
+    expected = {
+        models.gbt_cross_validation: [event],
+        models.gbt_event_prob: [event],
+        models.fault_classifier: [fault],
+        models.loeo_rmse: [horizon],
+        models.horizon_scores: [horizon],
+        models.feature_importance: [horizon],
+        model_checks.gbt_invariants: [event],
+        model_checks.horizon_invariants: [horizon],
+        model_checks.importance_invariants: [horizon],
+        model_checks.classifier_scores: [event, fault],
+    }
+    for current in expected:
+        with pytest.raises(StopIteration):
+            current(None, "")
+    assert taken == expected
