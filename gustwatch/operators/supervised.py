@@ -253,19 +253,20 @@ def leave_event_out(
     folded = materialize(
         add_event_folds(narrow, event, events) if events is not None else add_hashed_event_folds(narrow, event, folds)
     )
-    predicted = None
-    for fold in range(len(events) if events is not None else folds):
+
+    def fold_result(fold: int) -> DataFrame | None:
         held = folded.filter(F.col("fold") == fold)
         train = folded.filter(~F.col("fold").eqNullSafe(F.lit(fold)))
-        if held.isEmpty():
-            continue
-        if train.isEmpty():
-            continue
+        if held.isEmpty() or train.isEmpty():
+            return None
         scored = add_prediction(held, fit_horizon_model(train, features, target, settings), features, "prediction")
-        scored = scored.select("fold", target, "prediction")
-        predicted = scored if predicted is None else predicted.unionByName(scored)
-    if predicted is None:
+        return scored.select("fold", target, "prediction")
+
+    results = _for_each_fold(folded.sparkSession, fold_result, len(events) if events is not None else folds)
+    results = [r for r in results if r is not None]
+    if not results:
         raise ValueError("fewer than two events to leave one out of")
+    predicted = reduce(DataFrame.unionByName, results)
     return fold_rmse(predicted, "fold", target, "prediction")
 
 

@@ -250,3 +250,19 @@ def test_model_queries_train_with_the_default_trees(monkeypatch):
         with pytest.raises(StopIteration):
             current(None, "")
     assert taken == expected
+
+
+def test_every_event_is_left_out_once(spark, monkeypatch):
+    small = supervised.TreeSettings(rounds=1, depth=1, subsample=1.0, feature_share=1.0, min_rows=1)
+    fit, held = supervised.fit_horizon_model, []
+
+    def fit_small(train, features, target, settings):
+        held.append(learned.count() - train.count())
+        return fit(train, features, target, small)
+
+    _, learned = models._horizon_rows(spark, "/root/testdata/sf0.001")
+    events = learned.select("next_anomaly_event_id").distinct().count()
+    monkeypatch.setattr(supervised, "fit_horizon_model", fit_small)
+    folds = models.loeo_rmse(spark, "/root/testdata/sf0.001").collect()
+    assert events > 12 and len(folds) == models.LOEO_FOLDS
+    assert sum(r["n"] for r in folds) == learned.count() and sorted(r["n"] for r in folds) == sorted(held)
