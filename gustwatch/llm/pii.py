@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,25 +31,26 @@ _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123
 
 @dataclass(frozen=True)
 class Disclosure:
-    """A term within ``reach`` words of an entity is its neighbour.
+    """A term outside all entities is a neighbour of each entity of its text, or, with ``reach``, of those within so many words.
 
-    It discloses the entity when it does so in ``min_texts`` different texts
-    and in at least the share ``generalise`` of all texts that hold the term;
-    from ``remove`` on it is removed instead of generalised. The share is the
-    chance of meeting the entity given the term; with the entity's rarity it
-    bounds the pointwise information from below.
+    It discloses an entity when it is its neighbour in ``min_texts`` different
+    texts, in at least the share ``generalise`` of all texts that hold the
+    term, and when that share is at least two to the ``min_bits`` times the
+    share of the entity among all texts (pointwise information); from
+    ``remove`` on it is removed instead of generalised.
     """
 
-    reach: int = 4
+    reach: int | None = None
     min_texts: int = 3
     generalise: float = 0.6
     remove: float = 0.9
+    min_bits: float = 1.0
     min_letters: int = 4
     #: Bits of the fixed-size filter that texts are tested with before anything is shuffled.
     filter_bits: int = 1 << 22
 
 
-DISCLOSURE = Disclosure()
+DISCLOSURE = Disclosure(min_letters=1)
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -94,22 +96,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def _neighbours(text: str, spans: list[tuple[int, int, int]], how: Disclosure) -> set[tuple[str, str]]:
-    """Terms near each span, with the entity in it. Only the characters around a span are looked at."""
+def _outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, str]]:
+    """(start, end, term) of the terms that touch no span, in order."""
+    out, merged, at = [], [], 0
+    for a, _, b in spans:
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    for m in _TERM.finditer(text):
+        while at < len(merged) and merged[at][1] <= m.start():
+            at += 1
+        if at == len(merged) or m.end() <= merged[at][0]:
+            out.append((m.start(), m.end(), m[0].lower()))
+    return out
+
+
+def _entity(text: str, span: tuple[int, int, int]) -> str:
+    return f"{KINDS[span[1]]}:{text[span[0] : span[2]].lower()}"
+
+
+def _neighbours(text: str, spans: list[tuple[int, int, int]], terms: list[tuple[int, int, str]], how: Disclosure) -> set[tuple[str, str]]:
+    """Terms within ``reach`` terms of each span, with the entity in it."""
     out: set[tuple[str, str]] = set()
-    room = 24 * how.reach
-    for a, kind, b in spans:
-        entity = f"{KINDS[kind]}:{text[a:b].lower()}"
-        left = [m[0] for m in _TERM.finditer(text[max(0, a - room) : a])]
-        right = [m[0] for m in _TERM.finditer(text[b : b + room])]
-        # The outermost term of a cut stretch may itself be cut, and is dropped.
-        left, right = left[1:] if a > room else left, right[:-1] if b + room < len(text) else right
-        out |= {(t.lower(), entity) for t in left[-how.reach :] + right[: how.reach] if len(t) >= how.min_letters}
+    starts = [t[0] for t in terms]
+    for span in spans:
+        left, right = bisect_left(starts, span[0]), bisect_left(starts, span[2])
+        near = terms[max(0, left - how.reach) : left] + terms[right : right + how.reach]
+        out |= {(t, _entity(text, span)) for _, _, t in near if len(t) >= how.min_letters}
     return out
 
 
 _FOUND = (
-    "spans array<struct<start:int,kind:int,end:int>>, pairs array<struct<term:string,entity:string>>, terms array<string>"
+    "spans array<struct<start:int,kind:int,end:int>>, entities array<string>, "
+    "pairs array<struct<term:string,entity:string>>, outside array<string>, terms array<string>"
 )
 
 
@@ -119,16 +139,19 @@ def _detector(how: Disclosure):
         rows = []
         for text in texts:
             spans = base_spans(text)
-            pairs = _neighbours(text, spans, how) if spans else ()
-            terms = {m[0].lower() for m in _TERM.finditer(text)} if pairs else ()
+            outside = _outside(text, spans) if spans else []
+            pairs = _neighbours(text, spans, outside, how) if how.reach is not None else ()
+            terms = {m[0].lower() for m in _TERM.finditer(text)} if outside else ()
             rows.append(
                 (
                     [{"start": a, "kind": k, "end": b} for a, k, b in spans],
+                    sorted({_entity(text, s) for s in spans}),
                     [{"term": t, "entity": e} for t, e in sorted(pairs)],
+                    sorted({t for _, _, t in outside if len(t) >= how.min_letters}) if how.reach is None else [],
                     sorted(terms),
                 )
             )
-        return pd.DataFrame(rows, columns=["spans", "pairs", "terms"])
+        return pd.DataFrame(rows, columns=["spans", "entities", "pairs", "outside", "terms"])
 
     return detect
 
@@ -142,26 +165,26 @@ def _spotter(packed: bytes, how: Disclosure):
     def spot(texts: pd.Series) -> pd.Series:
         """Occurrences of terms that pass the filter."""
         bits = np.unpackbits(np.frombuffer(packed, np.uint8))
-        known: dict[str, bool] = {}
+        # Each word as it is written, with its term if that passes; the whole text in lower case could have other words.
+        known: dict[str, str | None] = {}
         rows = []
         for text in texts:
             if len(known) > 300_000:
                 known.clear()
-            low = text.lower()
-            wanted = set()
-            for term in set(_TERM.findall(low)):
-                if term not in known:
-                    known[term] = len(term) >= how.min_letters and bool(bits[_bucket(term, how.filter_bits)])
-                if known[term]:
-                    wanted.add(term)
-            # Offsets come from the text as it is: lower-casing can change its length.
+            some = False
+            for word in set(_TERM.findall(text)):
+                if word not in known:
+                    term = word.lower()
+                    passes = len(term) >= how.min_letters and bool(bits[_bucket(term, how.filter_bits)])
+                    known[word] = term if passes else None
+                some = some or known[word] is not None
             rows.append(
                 [
-                    {"term": m[0].lower(), "start": m.start(), "end": m.end()}
+                    {"term": known[m[0]], "start": m.start(), "end": m.end()}
                     for m in _TERM.finditer(text)
-                    if m[0].lower() in wanted
+                    if known[m[0]] is not None
                 ]
-                if wanted
+                if some
                 else []
             )
         return pd.Series(rows)
@@ -177,30 +200,40 @@ def find_personal_data(docs: DataFrame, how: Disclosure = DISCLOSURE) -> DataFra
     Null texts are empty; repeated rows and null ids keep their rows. Texts
     count once in all statistics, however many copies they have.
 
-    Statistics cover all texts: how many hold a term near an entity, and how
-    many hold the term at all. Terms that already fail among the texts with
-    entities (a lower bound of the latter) leave first; the rest is turned into
-    a filter of fixed size, so that only their occurrences are shuffled and
-    counted exactly. Common terms therefore never travel.
+    Statistics cover all texts: how many hold a term with an entity, how many
+    hold the term at all, and how many hold the entity. Terms that already fail
+    among the texts with entities (a lower bound of the second) leave first;
+    the rest is turned into a filter of fixed size, so that only their
+    occurrences are shuffled and counted exactly. Common terms therefore never
+    travel; pairs are made only of terms and entities that can still pass.
     """
     for_python(docs.sparkSession)
     base = docs.select("doc_id", whole().alias("text")).withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
     found = materialize(base.withColumn("f", _detector(how)("text")).select("doc_id", "digest", "f.*"))
-    with_pairs = found.where(F.size("pairs") > 0)
+    n_texts = found.select("digest").distinct().count()
 
-    per_text = with_pairs.groupBy("digest").agg(F.first("pairs").alias("pairs"), F.first("terms").alias("terms"))
-    per_text = materialize(per_text)
-    near = (
-        per_text.select(F.explode("pairs").alias("p"))
-        .groupBy("p.term", "p.entity")
-        .agg(F.count(F.lit(1)).alias("near"))
-        .where(F.col("near") >= how.min_texts)
-        .groupBy("term")
-        .agg(F.max("near").alias("near"))
+    per_text = found.where(F.size("entities") > 0).groupBy("digest").agg(
+        *[F.first(c).alias(c) for c in ("entities", "pairs", "outside", "terms")]
     )
-    local = per_text.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
+    per_text = materialize(per_text)
+    held_entities = per_text.select("digest", F.explode("entities").alias("entity"))
+    common = held_entities.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_texts")).where(F.col("entity_texts") >= how.min_texts)
+    local = per_text.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("local"))
+    local = local.where(F.col("local") >= how.min_texts)
+    can_pass = F.col("entity_texts") >= how.generalise * F.col("local")
+    if how.reach is None:
+        entities = materialize(held_entities.join(common, "entity"))
+        most = entities.groupBy("digest").agg(F.max("entity_texts").alias("entity_texts"))
+        terms = per_text.select("digest", F.explode("outside").alias("term")).join(most, "digest").join(local, "term").where(can_pass)
+        pairs = terms.drop("entity_texts").join(entities, "digest").where(can_pass)
+    else:
+        pairs = per_text.select(F.explode("pairs").alias("p")).select("p.*").join(common, "entity").join(local, "term")
     candidates = materialize(
-        near.join(local, "term").where(F.col("near") >= how.generalise * F.col("texts")).select("term", "near")
+        pairs.groupBy("term", "entity", "entity_texts", "local")
+        .agg(F.count(F.lit(1)).alias("near"))
+        .where((F.col("near") >= how.min_texts) & (F.col("near") >= how.generalise * F.col("local")))
+        .select("term", "near", "entity_texts")
+        .distinct()
     )
 
     bits = np.zeros(how.filter_bits, np.uint8)
@@ -222,8 +255,9 @@ def find_personal_data(docs: DataFrame, how: Disclosure = DISCLOSURE) -> DataFra
     share = F.col("near") / F.col("texts")
     telling = materialize(
         held.join(candidates, "term")
-        .where(share >= how.generalise)
-        .select("term", F.when(share >= how.remove, "remove").otherwise("generalise").alias("action"))
+        .where((share >= how.generalise) & (share * n_texts >= 2**how.min_bits * F.col("entity_texts")))
+        .groupBy("term")
+        .agg(F.when(F.max(share) >= how.remove, "remove").otherwise("generalise").alias("action"))
     )
     terms = (
         occurrences.join(telling, "term")

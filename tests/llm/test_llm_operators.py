@@ -220,6 +220,24 @@ def test_disclosing_terms(spark):
     assert "[EMAIL]" in clean and "Zebedee" not in clean
 
 
+def _told(spark, texts):
+    rows = pii.find_personal_data(_docs(spark, texts)).collect()
+    return {texts[r["doc_id"]][s["start"] : s["end"]] for r in rows for s in r["spans"] if s["kind"] == 4}
+
+
+def test_disclosing_terms_of_any_length_and_distance(spark):
+    filler = "the plan of the week was read and then put off once more to the next one"
+    odd = ["red", "blue", "green", "grey"]
+    texts = [f"{name} and {filler} {'. ' * 60} {c} mail {mail}" for name, mail in (("Lee", "l@x.org"), ("王明", "w@y.org"), ("\u0130nci", "i@z.org")) for c in odd]
+    texts += [f"{filler}{end} and mail {c}" for c in odd for end in ("", " again")]
+    assert _told(spark, texts) == {"Lee", "王明", "\u0130nci"}
+
+
+def test_a_term_tells_nothing_of_an_entity_that_is_everywhere(spark):
+    texts = [f"Quillon {c} mail all@x.org" for c in ("red", "blue", "green")] + [f"others {c} mail all@x.org" for c in ("one", "two")]
+    assert _told(spark, texts) == set()
+
+
 def test_license_places(spark):
     texts = [
         "Released under the MIT License. Again under the mit-license",
