@@ -50,7 +50,7 @@ class Model:
     #: Training count from which a context is a state.
     min_context: int = 2
     #: Text of one unit.
-    unit_bytes: int = 12_000_000
+    unit_bytes: int = 8_000_000
     #: Text of one bucket of units, which one task reads unit by unit.
     bucket_bytes: int = 32_000_000
     #: Text whose n-grams go to one range.
@@ -75,7 +75,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class Grams:
     """The tokens of a unit's texts in a row, and the distinct n-grams that end at each place."""
 
-    def __init__(self, texts: list[str | None], order: int) -> None:
+    def __init__(self, texts: list[str | None]) -> None:
         numbers: dict[bytes, int] = {}
         parts = []
         for text in texts:
@@ -84,15 +84,19 @@ class Grams:
             parts.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in found), np.int64, len(found)))
         self.sizes = np.array([len(p) for p in parts], np.int64)
         self.firsts = np.cumsum(self.sizes) - self.sizes
-        self.order = order
         row = np.concatenate(parts) if parts else np.zeros(0, np.int64)
         names = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in numbers], np.uint64)
         self.word = names[row] if len(row) else np.zeros(0, np.uint64)
-        self.turn = np.arange(len(row)) - np.repeat(self.firsts, self.sizes)
+        self.turn = (np.arange(len(row)) - np.repeat(self.firsts, self.sizes)).astype(np.int32)
         self.names: dict[int, np.ndarray] = {}
         self.at: dict[int, np.ndarray] = {}
         self._full = self.word
 
+    def done(self) -> Grams:
+        """Without what only further numbering needs."""
+        self.names, self.word, self._full = {}, self.word[:0], self.word[:0]
+        return self
+
     def add(self, n: int, allowed: np.ndarray | None = None) -> None:
         """Number the n-grams that end at each place (-1: none, or not ``allowed``), by ascending name. Call for 1, 2, ... in turn."""
         if n > 1:
@@ -104,9 +108,13 @@ class Grams:
             here &= allowed
         place = np.flatnonzero(here)
         self.names[n], inverse = np.unique(_mixed(self._full[place]) >> np.uint64(64 - NAME_BITS), return_inverse=True)
-        self.at[n] = np.full(len(self.word), -1, np.int64)
+        self.at[n] = np.full(len(self.word), -1, np.int32)
         self.at[n][place] = inverse
 
+    def totals(self, n: int, told: dict[int, np.ndarray]) -> np.ndarray:
+        """What ``told`` has of the n-gram of order ``n`` that ends at each place; 0 where there is none."""
+        return np.append(told.get(n, np.zeros(0, np.int64)), 0)[self.at[n]]
+
     def counts(self, n: int, train: np.ndarray) -> np.ndarray:
         """Occurrences in the unit's training texts."""
         used = (self.at[n] >= 0) & np.repeat(train, self.sizes)
@@ -127,20 +135,24 @@ class Automaton:
 
     def __init__(self, grams: Grams, totals: dict[int, np.ndarray], size: int, kinds: int, how: Model) -> None:
         turn = grams.turn
-        seen = {n: np.where(grams.at[n] >= 0, totals[n][grams.at[n]] if len(totals[n]) else 0, 0) for n in totals}
-        self.known = seen[1] > 0
-        chance = (seen[1] + 1) / (size + kinds + 1)
-        self.arcs = [np.log10(chance)]
-        self.fails = [np.zeros(len(turn))]
-        self.states = np.zeros(len(turn), np.int64)
         last = np.zeros(len(turn), bool)
         last[(grams.firsts + grams.sizes - 1)[grams.sizes > 0]] = True
+        seen = grams.totals(1, totals)
+        self.known = seen > 0
+        chance = (seen + 1) / (size + kinds + 1)
+        self.arcs = [np.log10(chance)]
+        self.fails = [np.zeros(len(turn))]
+        self.states = np.zeros(len(turn), np.int8)
         for n in range(2, how.order + 1):
-            context = _before(np.where(last, 0, seen[n - 1]), turn, 0)
+            seen[last] = 0
+            self.states += seen >= how.min_context
+            context = _before(seen, turn, 0)
             state = context >= how.min_context
-            self.states += np.where((seen[n - 1] >= how.min_context) & ~last, 1, 0)
-            chance = np.where(state, (seen[n] + how.mass * chance) / (context + how.mass), chance)
-            self.arcs.append(np.where(state & (seen[n] > 0), np.log10(chance), np.nan))
+            seen = grams.totals(n, totals)
+            chance = np.where(state, (seen + how.mass * chance) / (context + how.mass), chance)
+            arc = np.log10(chance)
+            arc[~state | (seen == 0)] = np.nan
+            self.arcs.append(arc)
             self.fails.append(np.where(state, np.log10(how.mass / (context + how.mass)), 0.0))
 
     def walk(self, first: int, end: int) -> float:
@@ -187,11 +199,13 @@ def _batch(rows: list[tuple], schema: str, types: list[pa.DataType]) -> pa.Recor
 
 
 def _messages(unit: int, n: int, names: np.ndarray, counts: np.ndarray, range_bits: int) -> list[tuple]:
+    if not len(names):
+        return []
     shift = np.uint64(NAME_BITS - range_bits)
     part = names >> shift
-    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(names) else np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     rows = []
-    for a, b in zip(starts, np.r_[starts[1:], len(names)].astype(np.int64), strict=True):
+    for a, b in zip(starts, np.r_[starts[1:], len(names)], strict=True):
         inside = names[a:b] & ((np.uint64(1) << shift) - np.uint64(1))
         rows.append((unit, n, int(part[a]), int(b - a), _packed(inside), _packed(counts[a:b])))
     return rows
@@ -257,14 +271,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 def _known_grams(row: dict, orders: int, how: Model) -> tuple[Grams, dict[int, np.ndarray]]:
     """The n-grams of a unit up to ``orders``, and what it was told of those below."""
-    grams, told = Grams(row["text"], how.order), _told(row["answers"] or []) if "answers" in row else {}
+    grams, told = Grams(row.pop("text")), _told(row.pop("answers", None) or [])
     for n in range(1, orders + 1):
         allowed = None
         if n > 2:
-            context = np.where(grams.at[n - 1] >= 0, told[n - 1][grams.at[n - 1]] if len(grams.names[n - 1]) else 0, 0)
-            allowed = _before(context, grams.turn, 0) >= how.min_context
+            allowed = _before(grams.totals(n - 1, told) >= how.min_context, grams.turn, False)
         grams.add(n, allowed)
-    return grams, {n: told.get(n, np.zeros(0, np.int64)) for n in range(1, orders + 1)}
+    return grams, told
 
 
 def _ask(orders: tuple[int, ...], range_bits: int, how: Model):
@@ -287,7 +300,7 @@ def _score(size: int, kinds: int, how: Model, id_type: pa.DataType):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             grams, told = _known_grams(row, how.order, how)
-            automaton = Automaton(grams, told, size, kinds, how)
+            automaton = Automaton(grams.done(), told, size, kinds, how)
             rows = []
             for key, train, first, many in zip(row["id"], row["train"], grams.firsts.tolist(), grams.sizes.tolist(), strict=True):
                 end = first + many
