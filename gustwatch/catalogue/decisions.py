@@ -315,7 +315,7 @@ _AP = sql_with(
 def average_precision(spark, sf_dir):
     """With the scores ranked in runs, as for more of them than one task may sort."""
     labelled = _labelled_scores(spark, sf_dir)
-    found = thresholds.average_precision(labelled, "xgb_anomaly_prob", "label", hot_limits(labelled))
+    found = thresholds.average_precision(labelled, "xgb_anomaly_prob", "label")
     return found.select("positives", rounded("average_precision").alias("average_precision"))
 
 
@@ -380,7 +380,7 @@ def fault_assignment(spark, sf_dir):
 def time_folds(spark, sf_dir):
     """Hold-out of the last fifth and forward-chained folds, with the rank over all rows taken in runs."""
     rows = telemetry(spark, sf_dir)
-    return add_time_folds(rows, limits=hot_limits(rows)).select("id", "nth", "holdout", "fold")
+    return add_time_folds(rows).select("id", "nth", "holdout", "fold")
 
 
 # -- ensemble ---------------------------------------------------------------

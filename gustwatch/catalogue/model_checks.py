@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from gustwatch.catalogue import models, sequences
 from gustwatch.catalogue.base import SENSORS, event_info, query, r6, sql_with, telemetry
 from gustwatch.functions.expressions import probability_tier, risk_tier, rounded
-from gustwatch.operators import autoencoder, forest, oversample, supervised
+from gustwatch.operators import autoencoder, boosting, contributions, forest, oversample, supervised
 from gustwatch.plans.models import build_classifier_scores
+from gustwatch.session import materialize
+from gustwatch.settings import LIMITS
 
 # Two trees over the sensors: an inner node has children, a leaf is its own child.
 _NODES = {
@@ -171,51 +175,179 @@ def iforest_invariants(spark, sf_dir):
     )
 
 
+# A tree of two levels over whole numbers, by gradients of the first round: one half less the label, second derivative a quarter.
+_FIRST = boosting.TreeSettings(rounds=1, depth=2, min_hessian=4.0, min_gain=0.15, l2=2.5, l1=0.3)
+_SMALL = {"f0": "floor(sensor_0_avg / 1000)", "f1": "k % 10", "f2": "id % 7"}
+_SCORED = "pow(greatest(abs({g}) - 0.3e0, 0), 2) / ({h} + 2.5e0)"
+
+
+def _leaf_sql(g: str, h: str) -> str:
+    return f"-0.05e0 * sign({g}) * greatest(abs({g}) - 0.3e0, 0) / ({h} + 2.5e0)"
+
+
+@query(
+    "gbt_first_tree",
+    sql_with(
+        "telemetry",
+        f"""SELECT node, feature, bound, {r6('value')} AS value FROM nodes""",
+        f"""long AS (
+  SELECT id, y, f0, f1, f2, feature, x FROM (
+    SELECT id, CAST(status_type_id = 0 AS INTEGER) AS y, {', '.join(f'CAST(coalesce({e}, 0) AS DOUBLE) AS {f}' for f, e in _SMALL.items())} FROM telemetry) s,
+  LATERAL (VALUES ('f0', f0), ('f1', f1), ('f2', f2)) v(feature, x))""",
+        *[
+            f"""best{n} AS (
+  SELECT * FROM (
+    SELECT *, {_SCORED.format(g='lg', h='lh')} + {_SCORED.format(g='(g - lg)', h='(h - lh)')} - {_SCORED.format(g='g', h='h')} AS gain FROM (
+      SELECT feature, x, sum(sum(0.5e0 - y)) OVER w AS lg, sum(sum(0.25e0)) OVER w AS lh, sum(sum(0.5e0 - y)) OVER (PARTITION BY feature) AS g,
+             sum(sum(0.25e0)) OVER (PARTITION BY feature) AS h
+      FROM long l WHERE {where} GROUP BY feature, x WINDOW w AS (PARTITION BY feature ORDER BY x)))
+  WHERE lh >= 4 AND h - lh >= 4 AND gain > 0.15e0 ORDER BY gain DESC, feature, x LIMIT 1)"""
+            for n, where in (
+                (0, "true"),
+                *[
+                    (n, f"(SELECT CASE b.feature WHEN 'f0' THEN l.f0 WHEN 'f1' THEN l.f1 ELSE l.f2 END {sign} b.x FROM best0 b)")
+                    for n, sign in ((1, "<="), (2, ">"))
+                ],
+            )
+        ],
+        f"""nodes AS (
+  SELECT 0 AS node, feature, x AS bound, 0e0 AS value FROM best0
+  UNION ALL SELECT 1, feature, x, 0e0 FROM best1
+  UNION ALL SELECT 2, feature, x, 0e0 FROM best2
+  UNION ALL SELECT n, NULL, NULL, v FROM (
+    SELECT 1 AS n, {_leaf_sql('lg', 'lh')} AS v FROM best0 WHERE NOT EXISTS (FROM best1)
+    UNION ALL SELECT 2, {_leaf_sql('(g - lg)', '(h - lh)')} FROM best0 WHERE NOT EXISTS (FROM best2)
+    UNION ALL SELECT 3, {_leaf_sql('lg', 'lh')} FROM best1 UNION ALL SELECT 4, {_leaf_sql('(g - lg)', '(h - lh)')} FROM best1
+    UNION ALL SELECT 5, {_leaf_sql('lg', 'lh')} FROM best2 UNION ALL SELECT 6, {_leaf_sql('(g - lg)', '(h - lh)')} FROM best2))""",
+    ),
+)
+def gbt_first_tree(spark, sf_dir):
+    """The first tree over all rows, summed up from several blocks by a job per level."""
+    rows = telemetry(spark, sf_dir)
+    small = rows.select("id", (F.col("status_type_id") == 0).cast("int").alias("y"), *[F.expr(e).alias(f) for f, e in _SMALL.items()])
+    # A fourth of the rows in a block, so that blocks have to be added up.
+    blocks = replace(LIMITS, block_bytes=(rows.count() // 4 + 1) * (len(_SMALL) + 32))
+    model = boosting.fit_boosted(small, list(_SMALL), F.col("y"), "logistic", _FIRST, limits=blocks)[0]
+    trees, nodes = model.trees, []
+    inner = [0] if trees.feature[0, 0] >= 0 else []
+    while inner:
+        node = inner.pop()
+        f, cut = int(trees.feature[0, node]), int(trees.cut[0, node])
+        nodes.append((node, model.features[f], float(model.bounds[f][cut]), 0.0))
+        for child in (2 * node + 1, 2 * node + 2):
+            if trees.feature[0, child] >= 0:
+                inner.append(child)
+            else:
+                nodes.append((child, None, None, float(trees.value[0, child])))
+    found = spark.createDataFrame(nodes, "node int, feature string, bound double, value double")
+    return found.withColumn("value", rounded("value"))
+
+
 @query(
     "gbt_invariants",
-    sql_with("telemetry", "SELECT count(*) AS n, true AS in_range, true AS separated FROM telemetry"),
+    sql_with("telemetry", "SELECT count(*) AS n, true AS in_range, true AS separated, true AS learned FROM telemetry"),
 )
 def gbt_invariants(spark, sf_dir):
-    """Of a trained event classifier: a probability per row, and one threshold that parts flagged from other rows."""
-    scored = models.gbt_event_prob(spark, sf_dir)
+    """Of a trained event classifier: a probability per row, one threshold that parts flagged from other rows, and a
+    weighted log loss on the rows it learned from below that of the best constant."""
+    scored = materialize(models.gbt_event_prob(spark, sf_dir))
+    folded = models._folded(spark, sf_dir)
+    weight = F.when(F.col("label") == 1, F.lit(supervised.positive_weight(folded))).otherwise(F.lit(1.0))
     p, flag = F.col("xgb_anomaly_prob"), F.col("xgb_anomaly_flag")
+    known = folded.filter("not holdout").select("asset_id", "id", "label", weight.alias("w")).join(scored, ["asset_id", "id"])
+    loss = -F.col("w") * F.log(F.when(F.col("label") == 1, p).otherwise(1 - p))
+    rate = F.sum(F.col("w") * F.col("label")) / F.sum("w")
+    entropy = -F.sum("w") * (rate * F.log(rate) + (1 - rate) * F.log(1 - rate))
+    learned = known.agg((F.sum(loss) < entropy * 0.99).alias("learned"))
     lowest, highest = F.min(F.when(flag == 1, p)), F.max(F.when(flag == 0, p))
     return scored.agg(
         F.count(F.lit(1)).alias("n"),
         F.every((p >= 0) & (p <= 1)).alias("in_range"),
         F.coalesce(lowest > highest, F.lit(True)).alias("separated"),
-    )
+    ).join(learned, F.lit(True))
+
+
+@query(
+    "fault_log_loss",
+    sql_with("telemetry", "SELECT true AS better_than_shares, true AS adds_up, true AS rounds_help FROM (SELECT count(*) FROM telemetry)"),
+)
+def fault_log_loss(spark, sf_dir):
+    """Fault types by boosting, on types that the readings tell: held-out log loss against the shares of the classes."""
+    rows = models._folded(spark, sf_dir).filter("label = 1")
+    quarter = F.floor(F.col("sensor_1_avg") / 90) + F.when(F.col("sensor_0_avg") > 4000, 4).otherwise(0)
+    typed = materialize(rows.withColumn("fault_type", F.concat(F.lit("type_"), quarter.cast("string"))))
+    train, held = typed.filter("not holdout"), typed.filter("holdout")
+    shares = train.groupBy("fault_type").agg(F.count(F.lit(1)).alias("c")).withColumn("share", F.col("c") / train.count())
+
+    def loss(settings, name):
+        model = supervised.fit_fault_model(train, models._FEATURES, settings)
+        names = F.array(*map(F.lit, model.names))
+        told = supervised.add_fault_probabilities(held, model, "p")
+        own = F.get("p", F.array_position(names, F.col("fault_type")).cast("int") - 1)
+        total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+        return told.join(shares, "fault_type").agg(
+            F.avg(-F.log(own)).alias(name), F.avg(-F.log("share")).alias("shares"), F.every(F.abs(total - 1) < 1e-9).alias("adds_up")
+        ).first()
+
+    full = loss(supervised.FAULT_TREES, "full")
+    few = loss(replace(supervised.FAULT_TREES, rounds=10), "few")
+    found = [(full["full"] < full["shares"] / 2, full["adds_up"], full["full"] < few["few"])]
+    return spark.createDataFrame(found, "better_than_shares boolean, adds_up boolean, rounds_help boolean")
 
 
 @query(
     "horizon_invariants",
-    sql_with("telemetry", "SELECT count(*) AS n, true AS tiers_match, true AS in_range FROM telemetry"),
+    sql_with("telemetry", "SELECT count(*) AS n, true AS tiers_match, true AS in_range, true AS learned FROM telemetry"),
 )
 def horizon_invariants(spark, sf_dir):
-    """Of a trained horizon model: the tier follows from the hours, and urgency lies between 0 and 1."""
-    scored = models.horizon_scores(spark, sf_dir)
+    """Of a trained horizon model: the tier follows from the hours, urgency lies between 0 and 1, and the error on the rows it
+    learned from is below nine tenths of that of their mean."""
+    scored = materialize(models.horizon_scores(spark, sf_dir))
+    _, known = models._horizon_rows(spark, sf_dir)
+    hours = F.col("xgb_pred_hours_to_operator_warning")
+    missed = known.select("asset_id", "id", models.TARGET).join(scored, ["asset_id", "id"])
+    error = F.sqrt(F.avg(F.pow(F.col(models.TARGET) - hours, 2)))
+    learned = missed.agg((error < 0.9 * F.stddev_pop(models.TARGET)).alias("learned"))
     return scored.agg(
         F.count(F.lit(1)).alias("n"),
-        F.every(risk_tier("predicted_hours_to_anomaly").eqNullSafe(F.col("xgb_risk_score"))).alias("tiers_match"),
-        F.every(F.coalesce(F.col("xgb_risk_norm").between(0, 1), F.lit(True))).alias("in_range"),
-    )
+        F.every(risk_tier(hours).eqNullSafe(F.col("xgb_risk_score_tiered"))).alias("tiers_match"),
+        F.every(F.coalesce(F.col("xgb_risk_score_norm").between(0, 1), F.lit(True))).alias("in_range"),
+    ).join(learned, F.lit(True))
 
 
 @query(
     "importance_invariants",
     sql_with(
         "telemetry",
-        f"SELECT CAST({len(models._FEATURES)} AS BIGINT) AS n, true AS gains_add_up, true AS effects_hold FROM (SELECT count(*) FROM telemetry)",
+        f"SELECT CAST({len(models._FEATURES)} AS BIGINT) AS n, true AS gains_add_up, true AS unused_give_nothing FROM (SELECT count(*) FROM telemetry)",
     ),
 )
 def importance_invariants(spark, sf_dir):
-    """Of a horizon model: gains of all features add up to one; unused features have no effect."""
+    """Of a horizon model: gains of all features add up to one; unused features contribute nothing."""
     found = models.feature_importance(spark, sf_dir)
-    unused = (F.col("importance") > 0) | (F.col("mean_abs_effect") == 0)
+    unused = (F.col("importance") > 0) == (F.col("mean_abs_contribution") > 0)
     return found.agg(
         F.count(F.lit(1)).alias("n"),
         (F.abs(F.sum("importance") - 1) < 1e-6).alias("gains_add_up"),
-        F.every((F.col("mean_abs_effect") >= 0) & unused).alias("effects_hold"),
+        F.every(unused).alias("unused_give_nothing"),
+    )
+
+
+@query(
+    "contributions_add_up",
+    sql_with("telemetry", "SELECT count(*) AS n, true AS add_up, true AS differ FROM telemetry"),
+)
+def contributions_add_up(spark, sf_dir):
+    """Contributions of all features and the expected margin give the prediction of every row."""
+    rows, known = models._horizon_rows(spark, sf_dir)
+    model = supervised.fit_horizon_model(known, models._FEATURES, models.TARGET)
+    expected = contributions.expected_margin(model)
+    explained = supervised.add_prediction(contributions.add_contributions(rows, model), model, models._FEATURES, "p")
+    total = F.aggregate("contributions", F.lit(expected), lambda a, x: a + x)
+    return explained.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.every(F.abs(total - F.col("p")) < 1e-6).alias("add_up"),
+        (F.stddev("p") > 0).alias("differ"),
     )
 
 

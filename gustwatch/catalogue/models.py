@@ -19,6 +19,7 @@ from gustwatch.catalogue.sequences import GAP_MINUTES, LENGTH
 from gustwatch.functions.expressions import above, rounded
 from gustwatch.operators import (
     autoencoder,
+    contributions,
     evaluate,
     forest,
     intervals,
@@ -111,7 +112,7 @@ def gbt_cross_validation(spark, sf_dir):
 def gbt_event_prob(spark, sf_dir):
     """Anomaly probability and flag of every row, the threshold tuned on the latest labelled rows."""
     folded = _folded(spark, sf_dir)
-    model = supervised.fit_event_model(folded.filter("not holdout"), _FEATURES)
+    model = supervised.fit_event_model(folded.filter("not holdout"), _FEATURES, weight=supervised.positive_weight(folded))
     threshold = supervised.tuned_threshold(supervised.add_probability(folded, model, _FEATURES))
     scored = supervised.add_probability(_featured(spark, sf_dir), model, _FEATURES)
     flag = above("xgb_anomaly_prob", threshold).cast("int")
@@ -127,38 +128,48 @@ def fault_classifier(spark, sf_dir):
     return predicted.select("asset_id", "id", "fault_type", "fault_prediction")
 
 
+TARGET = "hours_to_next_operator_warning"
+
+
 def _horizon_rows(spark, sf_dir):
-    """Rows with horizon, and the normal ones whose horizon is known; every anomaly counts as usable here."""
-    labelled = materialize(labels.add_event_horizon(_featured(spark, sf_dir), event_info(spark, sf_dir)))
-    return labelled, labelled.filter("hours_to_next_anomaly is not null and status_type_id = 0")
+    """Rows with their horizons, and those to learn from: normal ones before a usable event with a warning to come.
+
+    Events that start with a high value stand for a farm's list of usable ones.
+    """
+    events = event_info(spark, sf_dir)
+    rows = materialize(_featured(spark, sf_dir))
+    listed = rows.filter("sensor_0_avg >= 5000").select(F.col("id").alias("event_id"))
+    flagged = labels.add_usable_flag(labels.add_event_horizon(rows, events), events.join(listed, "event_id").select("event_id"))
+    labelled = materialize(labels.add_downtime_horizon(flagged, events, rows, [4]))
+    return labelled, labels.supervised_rows(labelled, TARGET, [0])
 
 
-# As many folds as the reference has, which leaves out twelve usable events.
+# Usable events of the smallest farm, each left out once there.
 LOEO_FOLDS = 12
 
 
 @query("loeo_rmse")
 def loeo_rmse(spark, sf_dir):
-    """Error on all events that rows lead up to, each left out of training once, with the other events of its fold."""
+    """Error on all usable events, each left out of training once, with the other events of its fold."""
     _, learned = _horizon_rows(spark, sf_dir)
-    return supervised.leave_event_out(learned, _FEATURES, "hours_to_next_anomaly", folds=LOEO_FOLDS)
+    return supervised.leave_event_out(learned, _FEATURES, TARGET, folds=LOEO_FOLDS)
 
 
 @query("horizon_scores")
 def horizon_scores(spark, sf_dir):
     """Predicted hours, tier and urgency of every row."""
     rows, learned = _horizon_rows(spark, sf_dir)
-    model = supervised.fit_horizon_model(learned, _FEATURES, "hours_to_next_anomaly")
+    model = supervised.fit_horizon_model(learned, _FEATURES, TARGET)
     return supervised.horizon_scores(rows, model, _FEATURES, ["asset_id", "time_stamp", "id"])
 
 
 @query("feature_importance")
 def feature_importance(spark, sf_dir):
-    """Split gain and mean absolute effect per feature of the horizon model."""
+    """Split gain and mean absolute contribution per feature of the horizon model."""
     _, learned = _horizon_rows(spark, sf_dir)
-    model = supervised.fit_horizon_model(learned, _FEATURES, "hours_to_next_anomaly")
+    model = supervised.fit_horizon_model(learned, _FEATURES, TARGET)
     gain = supervised.gain_importance(spark, model, _FEATURES)
-    return gain.join(supervised.effect_importance(learned, model, _FEATURES), "feature")
+    return gain.join(contributions.mean_contributions(learned, model), "feature")
 
 
 # The rows with the highest readings are a class of a few rows, at every size of the table.

@@ -2,38 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from multiprocessing.pool import ThreadPool
-
-from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gustwatch.functions.expressions import f_beta, risk_tier
+from gustwatch.operators.boosting import MOST_MODELS, Boosted, TreeSettings, fit_boosted, margins
 from gustwatch.operators.evaluate import fold_rmse
-from gustwatch.operators.ordered import Ordered
 from gustwatch.operators.oversample import SMALL_CLASS, oversample
+from gustwatch.operators.ranks import global_ranks
 from gustwatch.operators.scaling import minmax_inverted
-from gustwatch.operators.thresholds import (
-    choose_probability_threshold,
-    class_weights,
-    confusion,
-    probability_grid,
-    sweep_grid,
-)
+from gustwatch.operators.thresholds import choose_probability_threshold, class_weights, probability_grid, sweep_grid
 from gustwatch.session import materialize
-from gustwatch.settings import LIMITS, Limits
 
 FOLD_GAP = 20
-#: Folds fitted at the same time; boosting is many short jobs, one after another.
-FITS_AT_ONCE = 4
 
 
 def holdout_start(n: int) -> int:
@@ -46,13 +32,14 @@ def fold_count(fit_rows: int) -> int:
     return min(5, max(2, fit_rows // 200))
 
 
-def add_time_folds(df: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+def add_time_folds(df: DataFrame) -> DataFrame:
     """Rank ``nth`` by time, ``holdout``, and ``fold``, the fold a row validates (null: none).
 
-    Fold ``f`` trains on rows with ``nth < fold_start(f) - FOLD_GAP``.
+    Fold ``f`` trains on rows with ``nth < fold_start(f) - FOLD_GAP``. Only the
+    keys are ranked; the other columns come back by a join.
     """
-    ranked = Ordered.of(df, [], ["time_stamp", "id"], limits).running(_one=("sum", F.lit(1)))
-    rows = ranked.result().withColumn("nth", F.col("_one").cast("bigint") - 1).drop("_one")
+    key = [c for c in ("time_stamp", "id", "asset_id") if c in df.columns]
+    rows = df.join(global_ranks(df.select(*key), key), key).select(*df.columns, "nth")
     start = holdout_start(df.count())
     splits = fold_count(start)
     size = start // (splits + 1)
@@ -69,67 +56,38 @@ def fold_start(fit_rows: int, fold: int) -> int:
 
 # -- boosted trees ----------------------------------------------------------
 
+# Fixed values of the three models.
+EVENT_TREES = TreeSettings(
+    rounds=400, depth=5, learning_rate=0.05, subsample=0.85, feature_share=0.85, min_hessian=4.0, min_gain=0.15, l2=2.5, l1=0.3
+)
+FAULT_TREES = TreeSettings(rounds=300, depth=4, learning_rate=0.05, subsample=0.9, feature_share=0.9, min_hessian=2.0, l2=1.5)
+HORIZON_TREES = TreeSettings(rounds=200, depth=6, learning_rate=0.05, subsample=0.8, feature_share=0.8)
 
-def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Feature vector ``features``; null and NaN count 0."""
-    values = [F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features]
-    return df.withColumn("features", array_to_vector(F.array(*values)))
 
+def positive_weight(labelled: DataFrame) -> float:
+    """Weight of positives: the capped ratio of the classes."""
+    return float(class_weights(labelled, "label").first()["scale_pos_weight"])
 
-@dataclass(frozen=True)
-class TreeSettings:
-    """Size of a boosted model; the defaults are those of full training."""
-
-    rounds: int = 400
-    depth: int = 5
-    learning_rate: float = 0.05
-    subsample: float = 0.85
-    feature_share: float = 0.85
-    min_rows: int = 4
-    seed: int = 42
-
-
-EVENT_TREES = TreeSettings()
-FAULT_TREES = TreeSettings(rounds=300, depth=4, subsample=0.9, feature_share=0.9, min_rows=2)
-HORIZON_TREES = TreeSettings(rounds=200, depth=6, subsample=1.0, feature_share=1.0, min_rows=1)
-
-
-def _boosted(estimator, settings: TreeSettings, **columns):
-    return estimator(
-        featuresCol="features",
-        maxIter=settings.rounds,
-        maxDepth=settings.depth,
-        stepSize=settings.learning_rate,
-        subsamplingRate=settings.subsample,
-        featureSubsetStrategy=str(settings.feature_share) if settings.feature_share < 1 else "all",
-        minInstancesPerNode=settings.min_rows,
-        seed=settings.seed,
-        **columns,
-    )
 
+def _weighted(weight: float) -> Column:
+    return F.when(F.col("label") == 1, F.lit(weight)).otherwise(F.lit(1.0))
 
-def fit_event_model(labelled: DataFrame, features: Sequence[str], settings: TreeSettings = EVENT_TREES):
-    """Boosted classifier of ``label``, positives weighted by the capped class ratio."""
-    weight = class_weights(labelled, "label").first()["scale_pos_weight"]
-    weighted = assembled(labelled, features).select(
-        "features",
-        F.col("label").cast("double").alias("label"),
-        F.when(F.col("label") == 1, F.lit(float(weight))).otherwise(F.lit(1.0)).alias("weight"),
-    )
-    return _boosted(GBTClassifier, settings, labelCol="label", weightCol="weight").fit(weighted)
 
+def logistic(margin: Column) -> Column:
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
-def add_probability(df: DataFrame, model, features: Sequence[str], output: str = "xgb_anomaly_prob") -> DataFrame:
-    """Probability of an anomaly for every row, in one pass."""
-    scored = model.transform(assembled(df, features))
-    return scored.select(*df.columns, vector_to_array("probability")[1].alias(output))
 
+def fit_event_model(
+    labelled: DataFrame, features: Sequence[str], settings: TreeSettings = EVENT_TREES, weight: float | None = None
+) -> Boosted:
+    """Boosted classifier of ``label``, positives weighted by ``weight``, by default that of ``labelled``."""
+    weight = positive_weight(labelled) if weight is None else weight
+    return fit_boosted(labelled, features, F.col("label"), "logistic", settings, weight=_weighted(weight))[0]
 
-def _for_each_fold(spark: SparkSession, fold_result: Callable, folds: int) -> list:
-    """``fold_result`` of every fold in order; the folds do not depend on one another."""
-    tasks = [inheritable_thread_target(spark)(lambda fold=fold: fold_result(fold)) for fold in range(folds)]
-    with ThreadPool(FITS_AT_ONCE) as pool:
-        return pool.map(lambda task: task(), tasks, chunksize=1)
+
+def add_probability(df: DataFrame, model: Boosted, features: Sequence[str], output: str = "xgb_anomaly_prob") -> DataFrame:
+    """Probability of an anomaly for every row, in one pass."""
+    return df.withColumn(output, logistic(margins([model])[0]))
 
 
 def cross_validate(
@@ -140,31 +98,40 @@ def cross_validate(
 ) -> DataFrame:
     """F1, precision and recall per fold of ``add_time_folds`` output; one-class training data gives 0.
 
-    A training fold with a class below ``small_class`` rows is oversampled.
+    The models of all folds are fitted together. A training fold with a class
+    below ``small_class`` rows is oversampled; its synthetic rows belong to
+    that fold alone.
     """
     folded = materialize(folded.select("id", "nth", "holdout", "fold", "label", *features))
     fit_rows = folded.filter("not holdout").count()
-
-    def fold_result(fold: int) -> DataFrame:
-        train = folded.filter(F.col("nth") < fold_start(fit_rows, fold) - FOLD_GAP)
-        valid = folded.filter(F.col("fold") == fold)
-        if train.select("label").distinct().count() < 2:
-            scored = valid.withColumn("p", F.lit(0.0))
-        else:
-            balanced = oversample(train, "label", features, settings.seed, small_class)
-            scored = add_probability(valid, fit_event_model(balanced, features, settings), features, "p")
-        counts = confusion(scored, "p", "label", 0.5)
-        precision, recall = F.col("precision"), F.col("detection_rate")
-        return counts.select(
-            F.lit(fold).alias("fold"),
-            f_beta(precision, recall).alias("f1"),
-            precision,
-            recall.alias("recall"),
-            (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("val_size"),
-            (F.col("tp") + F.col("fn")).alias("val_pos"),
-        )
-
-    return reduce(DataFrame.unionByName, _for_each_fold(folded.sparkSession, fold_result, fold_count(fit_rows)))
+    before = [F.col("nth") < fold_start(fit_rows, f) - FOLD_GAP for f in range(fold_count(fit_rows))]
+    counts = folded.agg(
+        *[F.struct(*[F.count_if(b & (F.col("label") == c)).alias(f"c{c}") for c in (0, 1)]) for b in before]
+    ).first()
+    trained = [f for f, n in enumerate(counts) if min(n) > 0]
+    learned = folded.select("id", "nth", "label", *features, F.lit(None).cast("int").alias("_only"))
+    for f in trained:
+        if 2 <= min(counts[f]) < small_class:
+            more = oversample(folded.filter(before[f]), "label", features, settings.seed, small_class).filter("id < 0")
+            learned = learned.unionByName(more.withColumn("_only", F.lit(f)), allowMissingColumns=True)
+    p = F.lit(0.0)
+    if trained:
+        members = [F.coalesce(F.col("_only") == f, before[f]) for f in trained]
+        weight = _weighted(positive_weight(folded))
+        models = fit_boosted(learned, features, F.col("label"), "logistic", settings, weight=weight, members=members)
+        which = F.create_map(*[F.lit(x) for i, f in enumerate(trained) for x in (f, i)])[F.col("fold").cast("int")]
+        p = F.coalesce(logistic(margins(models, which)[0]), p)
+    scored = folded.filter("fold is not null").select(F.col("fold").cast("int").alias("fold"), "label", (p > 0.5).alias("hit"))
+    tallied = scored.groupBy("fold").agg(
+        F.count_if(F.col("hit") & (F.col("label") == 1)).alias("tp"),
+        F.count_if("hit").alias("flagged"),
+        F.count(F.lit(1)).alias("val_size"),
+        F.count_if(F.col("label") == 1).alias("val_pos"),
+    )
+    precision = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("flagged")), F.lit(0.0))
+    recall = F.coalesce(F.try_divide(F.col("tp").cast("double"), F.col("val_pos")), F.lit(0.0))
+    rated = tallied.withColumns({"precision": precision, "recall": recall})
+    return rated.select("fold", f_beta(F.col("precision"), F.col("recall")).alias("f1"), "precision", "recall", "val_size", "val_pos")
 
 
 def tuned_threshold(scored: DataFrame, score: str = "xgb_anomaly_prob") -> float:
@@ -175,48 +142,55 @@ def tuned_threshold(scored: DataFrame, score: str = "xgb_anomaly_prob") -> float
     return float(choose_probability_threshold(sweep_grid(used, score, "label", probability_grid())).first()["threshold"])
 
 
-def fit_fault_model(anomalies: DataFrame, features: Sequence[str], settings: TreeSettings = FAULT_TREES):
-    """Forest over fault types of anomaly rows, or None with fewer than five rows or a single type."""
-    size, types = anomalies.agg(F.count(F.lit(1)), F.countDistinct("fault_type")).first()
-    if size < 5 or types < 2:
+@dataclass(frozen=True)
+class FaultModel:
+    """One margin per fault type, in the order of the names."""
+
+    names: tuple[str, ...]
+    model: Boosted
+
+
+def fit_fault_model(anomalies: DataFrame, features: Sequence[str], settings: TreeSettings = FAULT_TREES) -> FaultModel | None:
+    """Boosted trees with one margin per fault type of anomaly rows, or None with fewer than five rows or a single type."""
+    types = anomalies.groupBy("fault_type").count().orderBy("fault_type").collect()
+    if sum(r["count"] for r in types) < 5 or len(types) < 2:
         return None
-    indexer = StringIndexer(inputCol="fault_type", outputCol="fault_index", stringOrderType="alphabetAsc")
-    trees = RandomForestClassifier(
-        featuresCol="features",
-        labelCol="fault_index",
-        numTrees=settings.rounds,
-        maxDepth=settings.depth,
-        subsamplingRate=settings.subsample,
-        featureSubsetStrategy=str(settings.feature_share),
-        minInstancesPerNode=settings.min_rows,
-        seed=settings.seed,
-    )
-    return Pipeline(stages=[indexer, trees]).fit(assembled(anomalies, features))
+    names = tuple(r["fault_type"] for r in types)
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("fault_type")) - 1
+    return FaultModel(names, fit_boosted(anomalies, features, place, "softmax", settings, classes=len(names))[0])
 
 
 def add_fault_type(
-    df: DataFrame, model, features: Sequence[str], only: str | None = None, output: str = "fault_prediction"
+    df: DataFrame, model: FaultModel | None, features: Sequence[str], only: str | None = None, output: str = "fault_prediction"
 ) -> DataFrame:
     """Predicted fault type of every row; without a model the only known type, or ``unknown``."""
     if model is None:
         return df.withColumn(output, F.lit(only or "unknown"))
-    indexer, trees = model.stages
-    names = F.array(*[F.lit(n) for n in indexer.labels])
-    scored = trees.transform(assembled(df, features))
-    return scored.select(*df.columns, names[F.col("prediction").cast("int")].alias(output))
+    scored = df.withColumn("_margins", margins([model.model]))
+    best = F.array_position("_margins", F.array_max("_margins")).cast("int") - 1
+    return scored.select(*df.columns, F.array(*map(F.lit, model.names))[best].alias(output))
+
+
+def add_fault_probabilities(df: DataFrame, model: FaultModel, output: str = "fault_probabilities") -> DataFrame:
+    """Probability per fault type, in the order of the model's names."""
+    scored = df.withColumn("_margins", margins([model.model]))
+    raised = F.transform("_margins", lambda m: F.exp(m - F.array_max("_margins")))
+    total = F.aggregate("_raised", F.lit(0.0), lambda a, x: a + x)
+    scored = scored.withColumn("_raised", raised)
+    return scored.select(*df.columns, F.transform("_raised", lambda x: x / total).alias(output))
 
 
 # -- horizon regression -----------------------------------------------------
 
 
-def fit_horizon_model(rows: DataFrame, features: Sequence[str], target: str, settings: TreeSettings = HORIZON_TREES):
-    learned = assembled(rows, features).select("features", F.col(target).alias("target"))
-    return _boosted(GBTRegressor, settings, labelCol="target").fit(learned)
+def fit_horizon_model(
+    rows: DataFrame, features: Sequence[str], target: str, settings: TreeSettings = HORIZON_TREES, key: Sequence[str] = ("id",)
+) -> Boosted:
+    return fit_boosted(rows, features, F.col(target), "squared", settings, key=key)[0]
 
 
-def add_prediction(df: DataFrame, model, features: Sequence[str], output: str) -> DataFrame:
-    scored = model.transform(assembled(df, features))
-    return scored.select(*df.columns, F.col("prediction").alias(output))
+def add_prediction(df: DataFrame, model: Boosted, features: Sequence[str], output: str) -> DataFrame:
+    return df.withColumn(output, margins([model])[0])
 
 
 def add_event_folds(rows: DataFrame, event: str, events: Sequence) -> DataFrame:
@@ -246,71 +220,45 @@ def leave_event_out(
 
     The caller states the rule: ``events`` to leave out one by one, or a number
     of ``folds`` that all events are hashed to. It does not depend on the data.
+    The models of all folds are fitted together.
     """
     if (events is None) == (folds is None):
         raise ValueError("give either events or folds")
-    narrow = rows.select(event, target, *features)
+    narrow = rows.select("id", event, target, *features)
     folded = materialize(
         add_event_folds(narrow, event, events) if events is not None else add_hashed_event_folds(narrow, event, folds)
     )
-
-    def fold_result(fold: int) -> DataFrame | None:
-        held = folded.filter(F.col("fold") == fold)
-        train = folded.filter(~F.col("fold").eqNullSafe(F.lit(fold)))
-        if held.isEmpty() or train.isEmpty():
-            return None
-        scored = add_prediction(held, fit_horizon_model(train, features, target, settings), features, "prediction")
-        return scored.select("fold", target, "prediction")
-
-    results = _for_each_fold(folded.sparkSession, fold_result, len(events) if events is not None else folds)
-    results = [r for r in results if r is not None]
-    if not results:
+    sizes = {r["fold"]: r["count"] for r in folded.groupBy("fold").count().collect()}
+    held = sorted(f for f, n in sizes.items() if f is not None and n < sum(sizes.values()))
+    if not held:
         raise ValueError("fewer than two events to leave one out of")
-    predicted = reduce(DataFrame.unionByName, results)
-    return fold_rmse(predicted, "fold", target, "prediction")
-
-
-def horizon_scores(rows: DataFrame, model, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    predicted = []
+    for start in range(0, len(held), MOST_MODELS):
+        some = held[start : start + MOST_MODELS]
+        members = [~F.col("fold").eqNullSafe(F.lit(f)) for f in some]
+        models = fit_boosted(folded, features, F.col(target), "squared", settings, members=members)
+        which = F.create_map(*[F.lit(x) for i, f in enumerate(some) for x in (f, i)])[F.col("fold")]
+        mine = folded.filter(F.col("fold").isin(some))
+        predicted.append(mine.select("fold", target, margins(models, which)[0].alias("prediction")))
+    return fold_rmse(reduce(DataFrame.unionByName, predicted), "fold", target, "prediction")
+
+
+def horizon_scores(rows: DataFrame, model: Boosted, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Predicted hours, their tier, and their urgency between 0 and 1, for every row."""
-    hours = "predicted_hours_to_anomaly"
+    hours = "xgb_pred_hours_to_operator_warning"
     predicted = add_prediction(rows, model, features, hours).select(*keep, hours)
-    tiered = predicted.withColumn("xgb_risk_score", risk_tier(hours))
-    return minmax_inverted(tiered, hours, "xgb_risk_norm")
+    tiered = predicted.withColumn("xgb_risk_score_tiered", risk_tier(hours))
+    return minmax_inverted(tiered, hours, "xgb_risk_score_norm")
 
 
 # -- importance -------------------------------------------------------------
 
 
-def gain_importance(spark: SparkSession, model, features: Sequence[str]) -> DataFrame:
-    """Split gain per feature as the model reports it, largest first."""
-    values = model.featureImportances.toArray()
-    rows = [(f, float(v)) for f, v in zip(features, values)]
+def gain_importance(spark: SparkSession, model: Boosted, features: Sequence[str]) -> DataFrame:
+    """Mean gain of a feature's splits as a share of all features' means, largest first."""
+    split = model.trees.feature >= 0
+    used, gains = model.trees.feature[split], model.trees.gain[split]
+    sums, counts = (np.bincount(used, w, len(features)) for w in (gains, np.ones(len(used))))
+    means = sums / np.maximum(counts, 1)
+    rows = [(f, float(v)) for f, v in zip(features, means / (means.sum() or 1.0), strict=True)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
-
-
-def effect_importance(rows: DataFrame, model, features: Sequence[str], batch: int = 50) -> DataFrame:
-    """Mean absolute change of the prediction when a feature is set to its mean, largest first.
-
-    A row is scored as it is and once per feature side by side, ``batch``
-    features in one pass, so nothing is shuffled but the sums.
-    """
-    means = rows.agg(*[F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in features]).first()
-    current = [F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features]
-
-    def predicted(df: DataFrame, values: list, name: str) -> DataFrame:
-        with_input = df.withColumn("_x", array_to_vector(F.array(*values)))
-        scorer = model.copy().setFeaturesCol("_x").setPredictionCol(name)
-        return scorer.transform(with_input).drop("_x")
-
-    effects = None
-    for start in range(0, len(features), batch):
-        part = list(features[start : start + batch])
-        scored = predicted(rows.select(*features), current, "_as_is")
-        for i, name in enumerate(part, start):
-            scored = predicted(scored, [*current[:i], F.lit(means[name]), *current[i + 1 :]], f"_with_{i}")
-        sums = scored.agg(
-            *[F.avg(F.abs(F.col(f"_with_{i}") - F.col("_as_is"))).alias(name) for i, name in enumerate(part, start)]
-        )
-        table = sums.unpivot([], part, "feature", "mean_abs_effect")
-        effects = table if effects is None else effects.unionByName(table)
-    return effects.orderBy(F.desc("mean_abs_effect"), "feature")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustwatch.functions.expressions import above, f_beta, ratio
-from gustwatch.operators.ordered import Ordered
+from gustwatch.operators.ranks import global_running
 from gustwatch.operators.percentiles import exact_percentiles, percentile_column
 from gustwatch.settings import (
     LIMITS,
@@ -187,16 +187,14 @@ def class_weights(df: DataFrame, label: str, cap: float = POSITIVE_WEIGHT_CAP) -
     )
 
 
-def average_precision(df: DataFrame, score: str, label: str, limits: Limits = LIMITS) -> DataFrame:
+def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """Area under the precision-recall steps, one step per distinct score."""
     per_score = df.groupBy(F.col(score).alias("_score")).agg(
         F.count_if(F.col(label) == 1).alias("_pos"), F.count(F.lit(1)).alias("_rows")
     )
-    stepped = Ordered.of(per_score, [], ["-_score"], limits).running(
-        _tp=("sum", F.col("_pos")), _flagged=("sum", F.col("_rows"))
-    )
+    stepped = global_running(per_score, [F.desc("_score")], _tp=F.col("_pos"), _flagged=F.col("_rows"))
     gained = F.sum(F.col("_pos") * F.col("_tp") / F.col("_flagged"))
-    return stepped.result().agg(
+    return stepped.agg(
         F.sum("_pos").alias("positives"),
         F.coalesce(F.try_divide(gained, F.sum("_pos")), F.lit(0.0)).alias("average_precision"),
     )

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from gustwatch.functions.expressions import above, probability_tier
 from gustwatch.operators import quality, supervised, thresholds
+from gustwatch.operators.boosting import TreeSettings
 from gustwatch.operators.ensemble import fault_type_of
 from gustwatch.operators.intervals import window_labels
 from gustwatch.operators.oversample import SMALL_CLASS, oversample
-from gustwatch.operators.supervised import EVENT_TREES, FAULT_TREES, TreeSettings
+from gustwatch.operators.supervised import EVENT_TREES, FAULT_TREES
 from gustwatch.session import materialize
 from gustwatch.settings import KEY, LIMITS, Limits
 from gustwatch.sources.tables import run_rows
@@ -54,16 +55,16 @@ def build_classifier_scores(
     features = list(features)
     quality.require_columns(rows, [*KEY, *features], "feature table")
     quality.require_unique(rows, KEY)
-    folded = materialize(supervised.add_time_folds(window_labels(rows.select(*KEY, *features), events, limits), limits))
+    folded = materialize(supervised.add_time_folds(window_labels(rows.select(*KEY, *features), events, limits)))
     train = folded.filter("not holdout")
     folds = materialize(supervised.cross_validate(folded, features, event_trees, small_class))
     balanced = oversample(train, "label", features, seed=event_trees.seed, small_class=small_class)
-    model = supervised.fit_event_model(balanced, features, event_trees)
+    model = supervised.fit_event_model(balanced, features, event_trees, supervised.positive_weight(folded))
 
     validated = materialize(supervised.add_probability(folded, model, features).select("holdout", "label", "xgb_anomaly_prob"))
     threshold = supervised.tuned_threshold(validated)
     held = validated.filter("holdout")
-    precision = thresholds.average_precision(held, "xgb_anomaly_prob", "label", limits).first()
+    precision = thresholds.average_precision(held, "xgb_anomaly_prob", "label").first()
     anomalies = train.filter("label = 1")
     only = anomalies.select("fault_type").limit(1).first()
     faults = supervised.fit_fault_model(anomalies, features, fault_trees)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gustwatch.catalogue import model_checks, models
 from gustwatch.operators import autoencoder, supervised
+from gustwatch.operators.boosting import TreeSettings
 from gustwatch.plans.alerts import ALERT_COLUMNS, build_alerts
 from gustwatch.plans.features import build_feature_table
 from gustwatch.session import checkpoint_root, fits, materialize
@@ -195,7 +196,7 @@ def test_classifiers(spark, farm):
     assert folded.filter("holdout").count() == 80
     size = 320 // 3
     assert [r["count"] for r in folded.filter("fold is not null").groupBy("fold").count().orderBy("fold").collect()] == [size, size]
-    trees = supervised.TreeSettings(rounds=3, depth=2, min_rows=1, subsample=1.0, feature_share=1.0)
+    trees = TreeSettings(rounds=8, depth=2, learning_rate=0.3)
     model = supervised.fit_event_model(folded.filter("not holdout"), ["oil_avg", "dir_avg"], trees)
     scored = supervised.add_probability(folded, model, ["oil_avg", "dir_avg"])
     means = {r.label: r.m for r in scored.groupBy("label").agg(F.avg("xgb_anomaly_prob").alias("m")).collect()}
@@ -218,7 +219,7 @@ def test_model_queries_train_with_the_default_trees(monkeypatch):
         def called(*args, **named):
             bound = inspect.signature(original).bind(*args, **named)
             bound.apply_defaults()
-            taken.setdefault(current, []).extend(v for v in bound.arguments.values() if isinstance(v, supervised.TreeSettings))
+            taken.setdefault(current, []).extend(v for v in bound.arguments.values() if isinstance(v, TreeSettings))
             raise StopIteration
 
         monkeypatch.setattr(module, name, called)
@@ -232,7 +233,7 @@ def test_model_queries_train_with_the_default_trees(monkeypatch):
     monkeypatch.setattr(model_checks, "event_info", lambda *_: frame)
     monkeypatch.setattr(models, "_horizon_rows", lambda *_: (frame, frame))
     monkeypatch.setattr(models, "F", MagicMock())
-    event, fault, horizon = supervised.TreeSettings(), supervised.FAULT_TREES, supervised.HORIZON_TREES
+    event, fault, horizon = supervised.EVENT_TREES, supervised.FAULT_TREES, supervised.HORIZON_TREES
     assert (event.rounds, fault.rounds, horizon.rounds, horizon.depth) == (400, 300, 200, 6)
     expected = {
         models.gbt_cross_validation: [event],
@@ -245,6 +246,7 @@ def test_model_queries_train_with_the_default_trees(monkeypatch):
         model_checks.horizon_invariants: [horizon],
         model_checks.importance_invariants: [horizon],
         model_checks.classifier_scores: [event, fault],
+        model_checks.contributions_add_up: [horizon],
     }
     for current in expected:
         with pytest.raises(StopIteration):
@@ -253,16 +255,15 @@ def test_model_queries_train_with_the_default_trees(monkeypatch):
 
 
 def test_every_event_is_left_out_once(spark, monkeypatch):
-    small = supervised.TreeSettings(rounds=1, depth=1, subsample=1.0, feature_share=1.0, min_rows=1)
-    fit, held = supervised.fit_horizon_model, []
+    original, held = supervised.fit_boosted, []
 
-    def fit_small(train, features, target, settings):
-        held.append(learned.count() - train.count())
-        return fit(train, features, target, small)
+    def fit_small(rows, features, target, kind, settings, **how):
+        held.extend(rows.filter(~m).count() for m in how["members"])
+        return original(rows, features, target, kind, TreeSettings(rounds=1, depth=1), **how)
 
     _, learned = models._horizon_rows(spark, "/root/testdata/sf0.001")
     events = learned.select("next_anomaly_event_id").distinct().count()
-    monkeypatch.setattr(supervised, "fit_horizon_model", fit_small)
+    monkeypatch.setattr(supervised, "fit_boosted", fit_small)
     folds = models.loeo_rmse(spark, "/root/testdata/sf0.001").collect()
-    assert events > 12 and len(folds) == models.LOEO_FOLDS
+    assert events > 12 and 10 < len(folds) <= models.LOEO_FOLDS
     assert sum(r["n"] for r in folds) == learned.count() and sorted(r["n"] for r in folds) == sorted(held)
