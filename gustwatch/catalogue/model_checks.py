@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gustwatch.catalogue import models, sequences
 from gustwatch.catalogue.base import SENSORS, event_info, query, r6, sql_with, telemetry
 from gustwatch.functions.expressions import probability_tier, risk_tier, rounded
-from gustwatch.operators import autoencoder, boosting, contributions, forest, oversample, supervised
+from gustwatch.operators import autoencoder, boosting, contributions, forest, neural_sequence, oversample, supervised
 from gustwatch.plans.models import build_classifier_scores
 from gustwatch.session import materialize
 from gustwatch.settings import LIMITS
@@ -104,6 +104,34 @@ def recon_by_feature_fixed(spark, sf_dir):
     return means.select("feature", F.round("mean_recon_mse", 2).alias("mean_recon_mse"))
 
 
+@query(
+    "sequence_learning",
+    sql_with(
+        "telemetry",
+        """SELECT count(*) AS windows, true AS starts_linear, true AS learned_better, true AS held_better FROM segments
+  WHERE segment_row >= {LENGTH}""".format(LENGTH=sequences.LENGTH),
+        *sequences._GAPPED,
+    ),
+)
+def sequence_learning(spark, sf_dir):
+    """Training of the non-linear sequence model: it starts at the linear model's error and falls below it, on the windows it
+    learned from and on the later ones that it did not."""
+    masked, model = models._sequence_model(spark, sf_dir)
+    history = model.history
+    start, best = history[0], min(history, key=lambda h: h[1])
+    keep = ["asset_id", "time_stamp", "id", "if_fit_eligible", *SENSORS]
+    linear = autoencoder.SequenceModel(model.features, model.length, model.max_gap_minutes, model.stats, model.mean, model.components)
+    x = np.random.default_rng(0).normal(size=(5, len(model.mean))) + model.mean
+    same = np.allclose(linear.errors(x).mean(axis=1).sum(), neural_sequence.Weights.start(model.components, 2, 0).loss(x - model.mean))
+    scored = autoencoder.reconstruction_errors(masked.select(*keep), model)
+    return scored.agg(
+        F.count_if("has_window").alias("windows"),
+        F.lit(bool(same)).alias("starts_linear"),
+        F.lit(bool(best[0] < start[0])).alias("learned_better"),
+        F.lit(bool(best[1] < start[1])).alias("held_better"),
+    )
+
+
 @query(
     "smote_balance",
     sql_with(

@@ -24,6 +24,7 @@ from gustwatch.operators import (
     forest,
     intervals,
     labels,
+    neural_sequence,
     oversample,
     scaling,
     supervised,
@@ -210,7 +211,7 @@ def smote_rows(spark, sf_dir):
 
 def _sequence_model(spark, sf_dir):
     masked = materialize(_masked(spark, sf_dir))
-    return masked, autoencoder.fit_sequence_model(masked, SENSORS, LENGTH, GAP_MINUTES, components=3)
+    return masked, neural_sequence.fit_nonlinear_model(masked, SENSORS, LENGTH, GAP_MINUTES, components=3)
 
 
 @query("sequence_recon_error")

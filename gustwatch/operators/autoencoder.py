@@ -1,9 +1,9 @@
-"""Linear sequence autoencoder: principal components of windows and their reconstruction error."""
+"""Linear sequence autoencoder: principal components of windows, and reconstruction errors of it and of the models built on it."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -194,8 +194,7 @@ def reconstruction_errors(df: DataFrame, model: SequenceModel, limits: Limits =
 
 def _error_function(model: SequenceModel):
     """The error computation without the model's Spark table, so that it can be sent to tasks."""
-    bare = SequenceModel(model.features, model.length, model.max_gap_minutes, None, model.mean, model.components)
-    return bare.errors
+    return replace(model, stats=None).errors
 
 
 def normalized_errors(scored: DataFrame, eligible: str = "if_fit_eligible") -> DataFrame:
