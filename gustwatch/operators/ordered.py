@@ -2,10 +2,13 @@
 
 A window partitioned by asset puts all rows of an asset into one task. That is
 the cheapest plan while every asset is small, so it is used as long as a count
-per key shows no asset above ``Limits.task_rows``. Beyond that the rows are
-range-partitioned by (key, order): each range is a *run*, a hot key is cut into
-many runs of about equal size, and a run continues at most one key from the
-run before. Two things then carry over from earlier runs:
+per key shows no asset above ``Limits.task_rows``. Beyond that the order of the
+hot keys, and of these alone, is cut at bounds taken from a counted sample of
+their rows: a *run* is what lies between two bounds. A row's run follows from
+the row and the small table of bounds, so rows are still hash-partitioned, by
+key and run: cold keys have one run and stay as they were, no range exchange
+is needed, and nothing is written. Two things then carry over from earlier
+runs of a hot key:
 
 * row frames need the last ``n`` rows before the run: copied in by ``lookback``;
 * running aggregates need the aggregate of all earlier runs of the key: one
@@ -17,12 +20,14 @@ Both are exact. The order must be unique within a key.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from math import ceil
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gustwatch.session import materialize, sized
+from gustwatch.session import sized
 from gustwatch.settings import LIMITS, Limits
 
 RUN = "_run"
@@ -60,13 +65,11 @@ class Ordered:
         cheaper to count, such as the input ``df`` was derived from.
         """
         per_key = (df if measured is None else measured).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        heaviest, total = per_key.agg(F.max("n"), F.sum("n")).first()
+        heaviest = per_key.agg(F.max("n")).first()[0]
         plain = cls(df, keys, order, split=False)
         if (heaviest or 0) <= limits.task_rows:
             return plain
-        runs = max(2, 2 * ceil(total / limits.task_rows))
-        ranged = df.repartitionByRange(runs, *keys, *map(_direction, order))
-        return cls(materialize(ranged.withColumn(RUN, F.spark_partition_id())), keys, order, split=True)
+        return cls(_with_runs(df, keys, order, per_key.filter(F.col("n") > limits.task_rows), limits), keys, order, split=True)
 
     @property
     def groups(self) -> list[str]:
@@ -157,6 +160,44 @@ class Ordered:
         )
 
 
+#: Sampled rows per run that its bounds are taken from.
+_SAMPLED = 50
+
+
+def _rising(df: DataFrame, order: Sequence[str]) -> Column:
+    """The order as one struct in which earlier rows are smaller; it ends before the first item that cannot be negated."""
+    items = []
+    for k, o in enumerate(order):
+        column, kind = F.col(o.lstrip("-")), df.schema[o.lstrip("-")].dataType
+        if o.startswith("-"):
+            if isinstance(kind, T.TimestampType):
+                column = F.unix_micros(column)
+            elif not isinstance(kind, T.NumericType):
+                break
+            column = -column
+        items.append(column.alias(f"o{k}"))
+    return F.struct(*items)
+
+
+def _with_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: DataFrame, limits: Limits) -> DataFrame:
+    """``df`` with ``RUN``: 0 for keys that are not ``hot``, else the number of bounds of the key up to the row."""
+    rising = _rising(df, order)
+    of_hot = [F.col(k).alias(f"_h_{k}") for k in keys]
+    # Runs of half the rows that a task may have, so that an uneven sample does no harm.
+    sizes = sized(hot.select(*of_hot, F.ceil(2 * F.col("n") / limits.task_rows).alias("_runs"), F.col("n").alias("_n")))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys], F.lit(True))
+    names = [f"_h_{k}" for k in keys]
+    one_in = F.greatest(F.floor(F.col("_n") / (F.col("_runs") * _SAMPLED)), F.lit(1))
+    sample = df.select(*keys, rising.alias("_o")).join(sizes, same).filter(F.pmod(F.xxhash64("_o"), one_in) == 0)
+    taken = sample.groupBy(*names).agg(F.sort_array(F.collect_list("_o")).alias("_s"), F.first("_runs").alias("_runs"))
+    every = F.greatest(F.floor(F.size("_s") / F.col("_runs")).cast("int"), F.lit(1))
+    bounds = taken.select(*names, F.filter("_s", lambda x, i: (i > 0) & (i % every == 0)).alias("_bounds"))
+    # One row per hot key; written, so that the planner knows how small it is and the bounds stay the same.
+    marked = df.withColumn("_o", rising).join(sized(bounds), same, "left")
+    run = F.coalesce(F.size(F.filter("_bounds", lambda x: x <= F.col("_o"))), F.lit(0))
+    return marked.withColumn(RUN, F.greatest(run, F.lit(0))).drop(*names, "_bounds", "_o")
+
+
 def _direction(order: str, reverse: bool = False) -> Column:
     """Sort column of an order item; a leading minus means descending."""
     descending = order.startswith("-") != reverse
