@@ -281,3 +281,23 @@ def prediction_tiers(spark, sf_dir):
     """Tier of predicted hours, and the sooner of two horizons of which one may be missing."""
     rows = scores(spark, sf_dir)
     return rows.select("id", risk_tier("ttf_hours").alias("tier"), sooner("ttf_hours", F.lit(24.0)).alias("nearest"))
+
+
+_MIXED = "CAST(pow(10, event_id % 7) AS BIGINT)"
+
+
+@query(
+    "event_rows_mixed_widths",
+    sql_with(
+        "telemetry event_info",
+        f"""SELECT e.event_id, count(*) AS n, min(t.id) AS first_id, max(t.id) AS last_id FROM telemetry t
+JOIN (SELECT asset_id, event_id, event_start_id, event_start_id + {_MIXED} - 1 AS event_end_id FROM event_info) e
+ON t.asset_id = e.asset_id AND t.id BETWEEN e.event_start_id AND e.event_end_id GROUP BY e.event_id""",
+    ),
+)
+def event_rows_mixed_widths(spark, sf_dir):
+    """Rows of windows that are 1 to a million ids wide, through the index by levels."""
+    width = F.pow(F.lit(10), F.col("event_id") % 7).cast("bigint")
+    events = event_info(spark, sf_dir).select("asset_id", "event_id", "event_start_id", (F.col("event_start_id") + width - 1).alias("event_end_id"))
+    held = intervals.event_rows(telemetry(spark, sf_dir), events, Limits(broadcast_rows=0))
+    return held.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))

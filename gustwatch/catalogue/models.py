@@ -57,7 +57,8 @@ def iforest_scores(spark, sf_dir):
     """Score, flag and normalized score of every row, from a forest per asset."""
     masked = _masked(spark, sf_dir)
     keep = ["train_test", "status_type_id", "if_fit_eligible", "in_anomaly_window"]
-    scored = forest.isolation_scores(masked, SENSORS, _fit_rows(), keep, strict=False)
+    # Assets without an eligible row have no scores; the train split as a fallback is ``add_fit_mask(..., use_split=True)``.
+    scored = forest.isolation_scores(masked, SENSORS, F.col("if_fit_eligible"), keep, strict=False)
     return scaling.minmax(scored, {"if_anomaly_score": "if_anomaly_score_norm"}, F.col("if_fit_eligible"))
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from gustwatch.catalogue.base import CUTOFF, event_info, query, r6, scores, sql_with, telemetry
+from gustwatch.catalogue import models
+from gustwatch.catalogue.base import CUTOFF, SENSORS, event_info, query, r6, scores, sql_with, telemetry
 from gustwatch.catalogue.decisions import ALERT_CTES, _LS
 from gustwatch.catalogue.events import (
     _ANOMALY_STARTS,
@@ -13,10 +16,23 @@ from gustwatch.catalogue.events import (
     _STOPS,
     _semi,
 )
+from gustwatch.catalogue.sequences import GAP_MINUTES, LENGTH
 from gustwatch.functions.expressions import rounded
+from gustwatch.operators import labels
 from gustwatch.plans.alerts import build_alerts
 from gustwatch.plans.features import build_feature_table
+from gustwatch.plans.scores import (
+    FOREST_COLUMNS,
+    HORIZON_COLUMNS,
+    SEQUENCE_COLUMNS,
+    build_forest_scores,
+    build_horizon_scores,
+    build_sequence_scores,
+    require_scores,
+)
+from gustwatch.session import checkpoint_root, materialize
 from gustwatch.settings import FarmSettings
+from gustwatch.sources import published
 
 _DESCRIPTIONS = [
     ("sensor_0", "gearbox oil temperature", "C", "false", "false"),
@@ -99,3 +115,77 @@ def alert_chain(spark, sf_dir):
         "alert_contextual",
         rounded("threshold_used").alias("threshold_used"),
     )
+
+
+_ONCE = """SELECT count(*) AS n, count(DISTINCT id) AS n_keys, true AS again_refused, true AS logged, true AS diagnosed FROM telemetry"""
+
+
+def _published_once(spark, built, columns, diagnostics, rows):
+    """The plan's tables published twice as one run and read back: rows, keys, and what the second try changed."""
+    root = f"{checkpoint_root(spark)}/published-{uuid.uuid4().hex}"
+    first = built.publish(root, "run-1", columns)
+    again = built.publish(root, "run-1", columns)
+    stored = published.read_published(spark, f"{root}/scores")
+    require_scores(stored.drop("run"), rows, columns)
+    log = published.read_published(spark, f"{root}/log")
+    told = all(published.read_published(spark, f"{root}/{d}").count() > 0 for d in diagnostics)
+    children = log.filter("parent is not null and kind = 'metric'").count() > 0
+    return stored.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("id").alias("n_keys"),
+        F.lit(first and not again).alias("again_refused"),
+        F.lit(bool(children)).alias("logged"),
+        F.lit(bool(told)).alias("diagnosed"),
+    )
+
+
+@query("forest_scores", sql_with("telemetry", _ONCE))
+def forest_scores(spark, sf_dir):
+    """The forest's score table with separation and flag rates, published under one run."""
+    events = event_info(spark, sf_dir)
+    rows = materialize(models._masked(spark, sf_dir))
+    built = build_forest_scores(rows, events, SENSORS, strict=False)
+    return _published_once(spark, built, FOREST_COLUMNS, ["separation", "flag_rates"], rows)
+
+
+@query("sequence_scores", sql_with("telemetry", _ONCE))
+def sequence_scores(spark, sf_dir):
+    """The sequence model's score table with losses per step and errors per feature, published under one run."""
+    rows = materialize(models._masked(spark, sf_dir))
+    built = build_sequence_scores(rows, SENSORS, LENGTH, GAP_MINUTES, components=3)
+    return _published_once(spark, built, SEQUENCE_COLUMNS, ["by_feature", "history"], rows)
+
+
+@query("horizon_table", sql_with("telemetry", _ONCE))
+def horizon_table(spark, sf_dir):
+    """The horizon model's score table with errors of events left out and contributions, published under one run."""
+    labelled, _ = models._horizon_rows(spark, sf_dir)
+    rows = materialize(labels.add_fit_mask(labelled, event_info(spark, sf_dir), FarmSettings(fit_cutoff=CUTOFF)))
+    built = build_horizon_scores(rows, models._FEATURES, folds=models.LOEO_FOLDS)
+    return _published_once(spark, built, HORIZON_COLUMNS, ["left_out", "contributions"], rows)
+
+
+@query(
+    "published_runs",
+    sql_with(
+        "telemetry",
+        """SELECT run, count(*) AS n, CAST(count(sensor_1_avg) AS BIGINT) AS with_sensor FROM (
+  SELECT CASE WHEN train_test = 'train' THEN 'first' ELSE 'second' END AS run, CASE WHEN train_test <> 'train' THEN sensor_1_avg END AS sensor_1_avg
+  FROM telemetry) GROUP BY run""",
+    ),
+)
+def published_runs(spark, sf_dir):
+    """Two runs, each tried twice, and one that fails its check: every row once, columns united, nothing of the failed one."""
+    rows, path = telemetry(spark, sf_dir), f"{checkpoint_root(spark)}/published-{uuid.uuid4().hex}"
+
+    def refuse(written):
+        raise ValueError("withheld")
+
+    for _ in range(2):
+        published.publish(rows.filter("train_test = 'train'").drop("sensor_1_avg"), path, "first")
+        published.publish(rows.filter("train_test <> 'train'"), path, "second")
+    try:
+        published.publish(rows, path, "third", check=refuse)
+    except ValueError:
+        pass
+    return published.read_published(spark, path).groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.count("sensor_1_avg").alias("with_sensor"))

@@ -48,26 +48,69 @@ def event_rows(rows: DataFrame, events: DataFrame, limits: Limits = LIMITS) -> D
         ranged = events.withColumnRenamed("asset_id", "_asset")
         inside = (F.col("asset_id") == F.col("_asset")) & _inside(F.col("id"))
         return rows.join(F.broadcast(ranged), inside).drop("_asset")
-    return _bucketed_event_rows(rows, events)
+    return _indexed_event_rows(rows, events)
 
 
 def _inside(position: Column) -> Column:
     return position.between(F.col(_RANGE[0]), F.col(_RANGE[1]))
 
 
-def _bucketed_event_rows(rows: DataFrame, events: DataFrame) -> DataFrame:
-    """Many events: equi-join on (asset, id bucket), then the exact range test.
+#: Blocks of one level of the index are 2 ** _BITS times as wide as those of the level below.
+_BITS = 4
 
-    Buckets are as wide as the mean window, so all windows together lie in at
-    most about twice as many buckets as there are events, however long one is.
-    Hot buckets of the join are split by adaptive execution.
+
+def _levels(events: DataFrame) -> int:
+    """Levels that the widest window needs."""
+    widest = events.agg(F.max(F.col(_RANGE[1]) - F.col(_RANGE[0]) + 1)).first()[0] or 1
+    return max(1, -(-max(1, widest).bit_length() // _BITS))
+
+
+def window_blocks(events: DataFrame, levels: int) -> DataFrame:
+    """``events`` once per aligned block of ids that their window is made of: ``_level`` and ``_block``, disjoint, widest first.
+
+    At each level a window leaves less than one block of the next level over
+    on either side, so it has at most ``2 * (2 ** _BITS - 1)`` blocks there,
+    however long it is.
+    """
+
+    def bounds(level):
+        # The blocks of the level that lie in the window: from the first (included) to the last (left out).
+        first = -F.shiftright(-F.col(_RANGE[0]), _BITS * level)
+        return first, F.shiftright(F.col(_RANGE[1]) + 1, _BITS * level)
+
+    def some(first, end):
+        return F.when(first < end, F.sequence(first, end - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def placed(level):
+        return lambda block: F.struct(F.lit(level).alias("_level"), block.alias("_block"))
+
+    parts = []
+    for level in range(levels):
+        first, end = bounds(level)
+        over_first, over_end = bounds(level + 1)
+        wide = (over_first < over_end) if level + 1 < levels else F.lit(False)
+        edges = F.concat(some(first, F.shiftleft(over_first, _BITS)), some(F.shiftleft(over_end, _BITS), end))
+        blocks = F.when(wide, edges).otherwise(some(first, end))
+        # A level below the widest one only has what the levels above leave over.
+        parts.append(F.transform(blocks, placed(level)))
+    return events.filter(F.col(_RANGE[0]) <= F.col(_RANGE[1])).select("*", F.explode(F.concat(*parts)).alias("_b")).select("*", "_b.*").drop("_b")
+
+
+def _indexed_event_rows(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """Many events: windows as aligned blocks of ids, a row probes one block per level, and every match is a hit.
+
+    Long and short windows may be mixed freely: a row meets its hits and one
+    empty probe per level at most. Only keys are probed; the rows' other
+    columns come back by an equi-join. Hot keys of the joins are split by
+    adaptive execution.
     """
-    length = F.avg(F.col(_RANGE[1]) - F.col(_RANGE[0]) + 1)
-    width = max(1, int(events.agg(length).first()[0] or 1))
-    start, end = (F.floor(F.col(c) / F.lit(width)).cast("bigint") for c in _RANGE)
-    bucketed = events.filter(F.col(_RANGE[0]) <= F.col(_RANGE[1])).withColumn("_bucket", F.explode(F.sequence(start, end)))
-    keyed = rows.withColumn("_bucket", F.floor(F.col("id") / F.lit(width)).cast("bigint"))
-    return keyed.join(bucketed, ["asset_id", "_bucket"]).filter(_inside(F.col("id"))).drop("_bucket")
+    ranged = events.withColumns({c: F.col(c).cast("bigint") for c in _RANGE})
+    levels = _levels(ranged)
+    probes = F.explode(F.array(*[F.struct(F.lit(k).alias("_level"), F.shiftright(F.col("id").cast("bigint"), _BITS * k).alias("_block")) for k in range(levels)]))
+    keys = rows.select("asset_id", "id").distinct().select("asset_id", "id", probes.alias("_p")).select("asset_id", "id", "_p.*")
+    hits = keys.join(window_blocks(ranged, levels), ["asset_id", "_level", "_block"]).drop("_level", "_block")
+    found = rows.join(hits, ["asset_id", "id"])
+    return found.select(*rows.columns, *[F.col(c).cast(events.schema[c].dataType).alias(c) for c in events.columns if c != "asset_id"])
 
 
 def merged_windows(events: DataFrame, limits: Limits = LIMITS) -> DataFrame:

@@ -15,6 +15,7 @@ from gustwatch.operators.ensemble import fault_type_of
 from gustwatch.operators.intervals import window_labels
 from gustwatch.operators.oversample import SMALL_CLASS, oversample
 from gustwatch.operators.supervised import EVENT_TREES, FAULT_TREES
+from gustwatch.plans.scores import Scored
 from gustwatch.session import materialize
 from gustwatch.settings import KEY, LIMITS, Limits
 from gustwatch.sources.tables import run_rows
@@ -35,6 +36,10 @@ class ClassifierScores:
     log: DataFrame
     threshold: float
 
+    def publish(self, root: str, run: str) -> bool:
+        """Scores, log, folds and sweep below ``root`` as ``run``; False when the run was published before."""
+        return Scored(self.scores, self.log, {"folds": self.folds, "sweep": self.sweep}).publish(root, run, SCORE_COLUMNS)
+
 
 def build_classifier_scores(
     rows: DataFrame,

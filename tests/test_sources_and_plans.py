@@ -15,7 +15,7 @@ from gustwatch.plans.alerts import ALERT_COLUMNS, build_alerts
 from gustwatch.plans.features import build_feature_table
 from gustwatch.session import checkpoint_root, fits, materialize
 from gustwatch.settings import FEATURE_SUFFIXES, FarmSettings, Limits
-from gustwatch.sources import tables
+from gustwatch.sources import published, tables
 
 
 def test_csv_with_and_without_types(spark, tmp_path):
@@ -267,3 +267,27 @@ def test_every_event_is_left_out_once(spark, monkeypatch):
     folds = models.loeo_rmse(spark, "/root/testdata/sf0.001").collect()
     assert events > 12 and 10 < len(folds) <= models.LOEO_FOLDS
     assert sum(r["n"] for r in folds) == learned.count() and sorted(r["n"] for r in folds) == sorted(held)
+
+
+def test_published_runs(spark, tmp_path):
+    rows, path = spark.range(10).select("id"), str(tmp_path / "table")
+    assert published.published(spark, path) == []
+    with pytest.raises(ValueError, match="nothing published"):
+        published.read_published(spark, path)
+    assert published.publish(rows, path, "a") and not published.publish(rows.filter("id < 3"), path, "a")
+    assert published.publish(rows.withColumn("more", F.lit(1)), path, "b")
+    found = published.read_published(spark, path)
+    assert found.count() == 20 and found.filter("run = 'a' and more is null").count() == 10
+
+    def refuse(written):
+        assert written.count() == 10
+        raise RuntimeError("withheld")
+
+    with pytest.raises(RuntimeError, match="withheld"):
+        published.publish(rows, path, "c", check=refuse)
+    assert [r["run"] for r in published.published(spark, path)] == ["a", "b"]
+    # Another writer names its run first: this one takes the next version and keeps both.
+    count = len(published._versions(spark, path))
+    assert not published._create(spark, f"{path}/_versions/{count - 1:012d}.json", "[]")
+    assert published.publish(rows.filter("id < 4"), path, "d", mode="overwrite")
+    assert published.read_published(spark, path).count() == 4
