@@ -227,6 +227,7 @@ def test_model_queries_train_with_the_default_trees(monkeypatch):
     for name in ("cross_validate", "fit_event_model", "fit_fault_model", "fit_horizon_model", "leave_event_out"):
         spy(supervised, name)
     spy(model_checks, "build_classifier_scores")
+    monkeypatch.setattr(supervised, "positive_weight", lambda _: 1.0)
     frame = MagicMock()
     for name in ("_folded", "_featured", "event_info"):
         monkeypatch.setattr(models, name, lambda *_: frame)
