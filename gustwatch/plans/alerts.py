@@ -12,6 +12,7 @@ from gustwatch.operators.intervals import normalize_events, window_labels
 from gustwatch.session import materialize
 from gustwatch.settings import KEY, LIMITS, META_COLUMNS, Limits
 
+# Columns of the alert table.
 ALERT_COLUMNS = (
     *KEY,
     "train_test",
