@@ -18,6 +18,8 @@ from gustwatch.settings import CONTAMINATIONS, FLAG_PERCENTILE, KEY, LIMITS, Lim
 
 TREES = 100
 SAMPLE = 256
+#: Rows that walk all trees at once.
+SLICE = 4096
 #: Nodes of all assets together that one executor may hold; above it rows and models meet in groups.
 BROADCAST_NODES = 500_000
 
@@ -130,8 +132,12 @@ class FlatForest:
         self.normal = mean_path(np.minimum(sample, models.fit_rows.to_numpy()))
 
     def score(self, assets: pd.Series, values: np.ndarray) -> np.ndarray:
-        """Anomaly score in (0, 1); NaN for an asset without a model."""
+        """Anomaly score in (0, 1); NaN for an asset without a model. Walked by slices of rows, so that the work arrays stay small."""
         known = self.assets.get_indexer(assets)
+        parts = [self._walk(known[i : i + SLICE], values[i : i + SLICE]) for i in range(0, len(values), SLICE)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _walk(self, known: np.ndarray, values: np.ndarray) -> np.ndarray:
         place = np.maximum(known, 0)
         node = self.roots[place]
         rows = np.arange(len(values))[:, None]
