@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustwatch.llm.common import for_python, whole
+from gustwatch.llm.common import Scratch, for_python, whole
 from gustwatch.session import checkpoint_root, materialize
 
 #: A perfect difference set: the differences of its 12 elements are 1 to 132, modulo 133, each once. Fixed values.
@@ -51,8 +51,10 @@ class Passages:
 
     width: int = 200
     unit_bytes: int = 4 << 20
-    #: Text per range of names; ranges are 256 at least, so that a name without its range has 7 bytes.
-    range_bytes: int = 16 << 20
+    #: Text per range of names at most; ranges are 256 at least, so that a name without its range has 7 bytes.
+    range_bytes: int = 32 << 20
+    #: Text per bucket of the unit table, and so per task of both exchanges.
+    bucket_bytes: int = 128 << 20
 
 
 PASSAGES = Passages()
@@ -91,18 +93,25 @@ class Namer:
         return out
 
 
-def pack(names: np.ndarray, range_bits: int) -> bytes:
-    """Sorted names of one range without the range's bits, byte plane by byte plane from the top: the first planes compress."""
-    planes = (names << np.uint64(range_bits)).astype(">u8").view(np.uint8).reshape(-1, 8)
-    return planes[:, : 8 - range_bits // 8].T.tobytes()
+def range_bits(total: int, how: Passages) -> int:
+    """Bits that number the ranges of ``total`` bytes of text: one more whenever the text doubles."""
+    bits = 8
+    while (total >> bits) > how.range_bytes:
+        bits += 1
+    return bits
 
 
-def unpack(packed: bytes, range_bits: int) -> np.ndarray:
-    """What :func:`pack` packed, with the range's bits gone."""
-    planes = 8 - range_bits // 8
-    data = np.frombuffer(packed, np.uint8).reshape(planes, -1)
+def pack(names: np.ndarray, bits: int) -> bytes:
+    """Sorted names of one range without the whole bytes that it fixes, byte plane by byte plane from the top: the first compress."""
+    return names.astype(">u8").view(np.uint8).reshape(-1, 8)[:, bits // 8 :].T.tobytes()
+
+
+def unpack(packed: bytes, bits: int) -> np.ndarray:
+    """What :func:`pack` packed, with the range's whole bytes 0."""
+    fixed = bits // 8
+    data = np.frombuffer(packed, np.uint8).reshape(8 - fixed, -1)
     full = np.zeros((data.shape[1], 8), np.uint8)
-    full[:, :planes] = data.T
+    full[:, fixed:] = data.T
     return full.view(">u8").ravel().astype(np.uint64)
 
 
@@ -167,19 +176,19 @@ class Unit:
         return out
 
 
-def _ranges(names: np.ndarray, range_bits: int) -> Iterator[tuple[int, np.ndarray]]:
+def _ranges(names: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """Sorted distinct names cut into their ranges."""
-    number = (names >> np.uint64(64 - range_bits)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(number)) + 1
-    for piece in np.split(names, cuts) if len(names) else []:
-        yield int(piece[0] >> np.uint64(64 - range_bits)), piece
+    number = (names >> np.uint64(64 - bits)).astype(np.int64)
+    firsts = np.flatnonzero(np.diff(number, prepend=-1))
+    for a, b in zip(firsts.tolist(), [*firsts[1:].tolist(), len(names)], strict=True) if len(names) else ():
+        yield int(number[a]), names[a:b]
 
 
-def _messages(unit: int, kinds: dict[str, np.ndarray], range_bits: int) -> list[tuple[int, int, str, bytes]]:
+def _messages(unit: int, kinds: dict[str, np.ndarray], bits: int) -> list[tuple[int, int, str, bytes]]:
     return [
-        (unit, number, kind, pack(piece, range_bits))
+        (unit, number, kind, pack(piece, bits))
         for kind, names in kinds.items()
-        for number, piece in _ranges(np.unique(names), range_bits)
+        for number, piece in _ranges(np.unique(names), bits)
     ]
 
 
@@ -187,11 +196,11 @@ _MESSAGE = "unit long, number long, kind string, names binary"
 _ANSWER = "unit long, number long, kind string, repeated binary, first binary"
 
 
-def _compare(range_bits: int):
+def _compare(bits: int):
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         """Sort the names of one range and kind and compare neighbours: is a name sent by two units, and who is the first?"""
         frame = frame.sort_values("unit")
-        lists = [unpack(n, range_bits) for n in frame["names"]]
+        lists = [unpack(n, bits) for n in frame["names"]]
         sizes = [len(n) for n in lists]
         names = np.concatenate(lists)
         order = np.argsort(names, kind="stable")
@@ -214,24 +223,24 @@ def _compare(range_bits: int):
     return compare
 
 
-def _exchange(messages: DataFrame, range_bits: int) -> DataFrame:
+def _exchange(messages: DataFrame, bits: int, scratch: Scratch) -> DataFrame:
     """Answers per unit, written: unit, answers (an array of number, kind, repeated, first)."""
-    answers = messages.groupBy("number", "kind").applyInPandas(_compare(range_bits), _ANSWER)
-    return materialize(
+    answers = messages.groupBy("number", "kind").applyInPandas(_compare(bits), _ANSWER)
+    return scratch.write(
         answers.groupBy("unit").agg(F.collect_list(F.struct("number", "kind", "repeated", "first")).alias("answers"))
     )
 
 
-def _known(names: np.ndarray, kind: str, answers: list[dict], range_bits: int, field: str = "repeated") -> np.ndarray:
+def _known(names: np.ndarray, kind: str, answers: list[dict], bits: int, field: str = "repeated") -> np.ndarray:
     """For each of ``names`` the bit of the answer; a name twice in the unit counts as repeated without asking."""
     unique, back, counts = np.unique(names, return_inverse=True, return_counts=True)
     told = {a["number"]: a[field] for a in answers if a["kind"] == kind}
-    bits = np.zeros(len(unique), bool)
+    told_bits = np.zeros(len(unique), bool)
     at = 0
-    for number, piece in _ranges(unique, range_bits):
-        bits[at : at + len(piece)] = np.unpackbits(np.frombuffer(told[number], np.uint8))[: len(piece)]
+    for number, piece in _ranges(unique, bits):
+        told_bits[at : at + len(piece)] = np.unpackbits(np.frombuffer(told[number], np.uint8))[: len(piece)]
         at += len(piece)
-    return bits[back] | (counts > 1)[back] if field == "repeated" else bits[back]
+    return told_bits[back] | (counts > 1)[back] if field == "repeated" else told_bits[back]
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -248,40 +257,41 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 def _gather(how: Passages):
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Units of whole documents, numbered by partition and turn."""
-        schema = (["unit", "ids", "texts", "bytes"], [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.int64()])
         turn = TaskContext.get().partitionId() << 32
-        ids: list[int | None] = []
+        ids: list = []
         texts: list[bytes] = []
         size = 0
         for batch in batches:
+            schema = (["unit", "ids", "texts"], [pa.int64(), pa.list_(batch.column(0).type), pa.list_(pa.binary())])
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 if ids and size + len(data) > how.unit_bytes:
-                    yield _batch([(turn, ids, texts, size)], *schema)
+                    yield _batch([(turn, ids, texts)], *schema)
                     ids, texts, size, turn = [], [], 0, turn + 1
                 ids.append(doc_id)
                 texts.append(data)
                 size += len(data)
         if ids:
-            yield _batch([(turn, ids, texts, size)], *schema)
+            yield _batch([(turn, ids, texts)], *schema)
 
     return gather
 
 
-def _bucketed(units: DataFrame, spark: SparkSession, buckets: int) -> tuple[DataFrame, str]:
+def _bucketed(units: DataFrame, spark: SparkSession, buckets: int, scratch: Scratch) -> tuple[DataFrame, str]:
     """``units`` written as a table bucketed by unit, so that answers come to the texts and no text is shuffled."""
     name = f"gw_units_{uuid.uuid4().hex}"
     path = f"{checkpoint_root(spark)}/{name}"
+    scratch.paths.append(path)
     units.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "unit").saveAsTable(name)
     return spark.table(name), name
 
 
-def _send_samples(how: Passages, range_bits: int):
+def _send_samples(how: Passages, bits: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             unit = Unit(row["texts"], how)
             copies = unit.copies()
-            yield _sent(_messages(row["unit"], {"sample": unit.sampled()[1], "copy": copies[copies > 0]}, range_bits))
+            yield _sent(_messages(row["unit"], {"sample": unit.sampled()[1], "copy": copies[copies > 0]}, bits))
 
     return send
 
@@ -290,7 +300,7 @@ def _sent(messages: list[tuple]) -> pa.RecordBatch:
     return _batch(messages, ["unit", "number", "kind", "names"], [pa.int64(), pa.int64(), pa.string(), pa.binary()])
 
 
-def _second(row: dict, how: Passages, range_bits: int) -> tuple[Unit, np.ndarray, np.ndarray, np.ndarray]:
+def _second(row: dict, how: Passages, bits: int) -> tuple[Unit, np.ndarray, np.ndarray, np.ndarray]:
     """The unit, whether each text is repeated as a whole, and the merged starts with their names."""
     unit, answers = Unit(row["texts"], how), row["answers"] or []
     copies = unit.copies()
@@ -298,37 +308,38 @@ def _second(row: dict, how: Passages, range_bits: int) -> tuple[Unit, np.ndarray
     gone, left_out = np.zeros(len(copies), bool), np.zeros(len(copies), bool)
     if whole_names.any():
         held = copies[whole_names]
-        gone[whole_names] = _known(held, "copy", answers, range_bits)
+        gone[whole_names] = _known(held, "copy", answers, bits)
         # One of equal texts stands for all: the first of the first unit that has it.
-        elsewhere = ~_known(held, "copy", answers, range_bits, "first")
+        elsewhere = ~_known(held, "copy", answers, bits, "first")
         again = np.ones(len(held), bool)
         again[np.unique(held, return_index=True)[1]] = False
         left_out[whole_names] = elsewhere | again
     at, names = unit.sampled()
-    starts, named = unit.merged(at, _known(names, "sample", answers, range_bits), left_out)
+    starts, named = unit.merged(at, _known(names, "sample", answers, bits), left_out)
     return unit, gone, starts, named
 
 
-def _send_merged(how: Passages, range_bits: int):
+def _send_merged(how: Passages, bits: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            yield _sent(_messages(row["unit"], {"start": _second(row, how, range_bits)[3]}, range_bits))
+            yield _sent(_messages(row["unit"], {"start": _second(row, how, bits)[3]}, bits))
 
     return send
 
 
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_RESULT = ("n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string")
 
 
-def _finish(how: Passages, range_bits: int):
+def _finish(how: Passages, bits: int):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _RESULT.split(", ")]
-        types = [pa.int64()] * 4 + [pa.string()]
-        for row in _rows(batches):
-            unit, gone, starts, named = _second(row, how, range_bits)
-            told = _known(named, "start", row["merged"] or [], range_bits)
-            results = unit.results(starts[told], gone)
-            yield _batch([(i, *r) for i, r in zip(row["ids"], results, strict=True)], names, types)
+        names = ["doc_id", *[c.split()[0] for c in _RESULT]]
+        for batch in batches:
+            types = [batch.schema.field("ids").type.value_type, pa.int64(), pa.int64(), pa.int64(), pa.string()]
+            for row in _rows(iter([batch])):
+                unit, gone, starts, named = _second(row, how, bits)
+                told = _known(named, "start", row["merged"] or [], bits)
+                results = unit.results(starts[told], gone)
+                yield _batch([(i, *r) for i, r in zip(row["ids"], results, strict=True)], names, types)
 
     return finish
 
@@ -340,7 +351,11 @@ def remove_repeats(docs: DataFrame, how: Passages = PASSAGES) -> DataFrame:
     anywhere else in the texts; strings never cross documents. Every copy goes,
     judged on the texts as they are. Null and empty texts have no bytes, texts
     shorter than ``width`` lose none; repeated rows are copies of each other;
-    null ids keep their rows. No rows give no rows.
+    null ids keep their rows, and ids keep their type. No rows give no rows.
+
+    The number of ranges doubles with the text, so that a task that compares
+    has the names of ``range_bytes`` of text at any size; a unit sends a message
+    a range. Tables of units and answers are dropped before the result returns.
 
     Equal texts are settled as a whole in the first exchange and take part in
     the second through one of them.
@@ -348,17 +363,21 @@ def remove_repeats(docs: DataFrame, how: Passages = PASSAGES) -> DataFrame:
     spark = for_python(docs.sparkSession)
     # A row of the unit table has some MB.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    gathered = read.mapInArrow(_gather(how), "unit long, ids array<long>, texts array<binary>, bytes bigint")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    units, _ = _bucketed(gathered, spark, buckets)
-    total = units.agg(F.sum("bytes")).first()[0] or 0
-    range_bits = 8
-    while (total >> range_bits) > how.range_bytes:
-        range_bits += 8
-
-    samples = _exchange(units.select("unit", "texts").mapInArrow(_send_samples(how, range_bits), _MESSAGE), range_bits)
-    answered = units.select("unit", "ids", "texts").join(samples, "unit", "left")
-    merged = _exchange(answered.select("unit", "texts", "answers").mapInArrow(_send_merged(how, range_bits), _MESSAGE), range_bits)
-    last = answered.join(merged.withColumnRenamed("answers", "merged"), "unit", "left")
-    return last.select("ids", "texts", "answers", "merged").mapInArrow(_finish(how, range_bits), _RESULT)
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    read = docs.select("doc_id", whole().alias("text"))
+    total = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = range_bits(total, how)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1, -(-total // how.bucket_bytes))
+    gathered = read.mapInArrow(_gather(how), f"unit long, ids array<{id_type}>, texts array<binary>")
+    scratch = Scratch(spark)
+    units, name = _bucketed(gathered, spark, buckets, scratch)
+    try:
+        samples = _exchange(units.select("unit", "texts").mapInArrow(_send_samples(how, bits), _MESSAGE), bits, scratch)
+        answered = units.join(samples, "unit", "left")
+        sent = answered.select("unit", "texts", "answers").mapInArrow(_send_merged(how, bits), _MESSAGE)
+        merged = _exchange(sent, bits, scratch).withColumnRenamed("answers", "merged")
+        last = answered.join(merged, "unit", "left").select("ids", "texts", "answers", "merged")
+        return materialize(last.mapInArrow(_finish(how, bits), ", ".join([f"doc_id {id_type}", *_RESULT])))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        scratch.drop()
