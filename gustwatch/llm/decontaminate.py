@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gustwatch.llm.common import for_python, whole, words
+from gustwatch.session import materialize
 
 WINDOW = 10
 #: Words of test items in one automaton (a few hundred MB in a worker at most); more items are scanned block by block.
 BLOCK_WORDS = 500_000
 
-_SCHEMA = "n_words long, hits array<int>, items array<long>"
+_SCHEMA = "n_words long, hits array<int>, items array<string>"
 _WORD_PLACES = re.compile(r"[0-9A-Za-z\u0080-\U0010ffff]+")
 
 
@@ -27,11 +28,11 @@ class Matcher:
     the automaton has a node per word of a window, not per letter.
     """
 
-    def __init__(self, items: list[tuple[int | None, str]], width: int = WINDOW) -> None:
+    def __init__(self, items: list[tuple[str | None, str]], width: int = WINDOW) -> None:
         import ahocorasick
 
         self.numbers: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], set[int | None]] = {}
+        windows: dict[tuple[int, ...], set[str | None]] = {}
         for item, text in items:
             known = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words(text or "")]
             for at in range(max(1, len(known) - width + 1) if known else 0):
@@ -43,14 +44,14 @@ class Matcher:
         if windows:
             self.automaton.make_automaton()
 
-    def scan(self, text: str) -> tuple[int, list[int], set[int | None]]:
+    def scan(self, text: str) -> tuple[int, list[int], set[str | None]]:
         """Number of words, hit stretches as first and end word in turn (merged), and the items found."""
         found = words(text)
         if self.empty or not found:
             return len(found), [], set()
         number = self.numbers.get
         spans: list[int] = []
-        owners: set[int | None] = set()
+        owners: set[str | None] = set()
         stretches = sorted(
             ((end - size + 1, end + 1, who) for end, (size, who) in self.automaton.iter(tuple([number(w, 0) for w in found]))),
             key=lambda s: s[:2],
@@ -64,11 +65,11 @@ class Matcher:
         return len(found), spans, owners
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, str]]]:
     """The items, in blocks of bounded size; the driver holds one block at a time."""
-    block: list[tuple[int | None, str]] = []
+    block: list[tuple[str | None, str]] = []
     size = 0
-    for row in benchmark.select(F.col("item_id").cast("long"), whole().alias("text")).toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("string"), whole().alias("text")).toLocalIterator():
         many = len(row["text"]) // 2 + 1
         if block and size + many > BLOCK_WORDS:
             yield block
@@ -78,7 +79,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
     yield block
 
 
-def _scanner(items: list[tuple[int | None, str]], width: int):
+def _scanner(items: list[tuple[str | None, str]], width: int):
     @F.pandas_udf(_SCHEMA)
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(items, width)
@@ -113,21 +114,26 @@ def add_hits(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, out: st
     """Add ``out``: struct of n_words, hits (first and end word of each hit stretch in turn) and items (sorted ids).
 
     All columns and rows of ``docs`` stay, in a map over its partitions without
-    shuffle. Null or empty text has no words; items without words match
-    nothing; items with a null id mark words but cannot be named. An empty
-    ``benchmark`` hits nothing. A benchmark beyond ``BLOCK_WORDS`` is scanned
-    in blocks whose stretches are united afterwards.
+    shuffle. Item ids are strings, sorted as such. Null or empty text has no
+    words; items without words match nothing; items with a null id mark words
+    but cannot be named. An empty ``benchmark`` hits nothing. A benchmark beyond
+    ``BLOCK_WORDS`` is scanned in blocks, one pass each: what a pass found is
+    written before the next block is fetched, so that neither the driver nor a
+    task ever holds two blocks.
     """
     for_python(docs.sparkSession)
-    blocks = [_scanner(items, width)(whole()) for items in _blocks(benchmark)]
-    if len(blocks) == 1:
-        return docs.withColumn(out, blocks[0])
-    parts = [f"{out}_{k}" for k in range(len(blocks))]
-    scanned = docs.withColumns(dict(zip(parts, blocks, strict=True)))
-    united = _united(*[F.col(p)["hits"] for p in parts])
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(p)["items"] for p in parts]))))
-    whole_struct = F.struct(F.col(parts[0])["n_words"].alias("n_words"), united.alias("hits"), items.alias("items"))
-    return scanned.withColumn(out, whole_struct).drop(*parts)
+    blocks = _blocks(benchmark)
+    marked = docs.withColumn(out, _scanner(next(blocks), width)(whole()))
+    more = f"{out}_more"
+    for items in blocks:
+        both = materialize(marked).withColumn(more, _scanner(items, width)(whole()))
+        united = F.struct(
+            F.col(out)["n_words"].alias("n_words"),
+            _united(F.col(out)["hits"], F.col(more)["hits"]).alias("hits"),
+            F.array_sort(F.array_union(F.col(out)["items"], F.col(more)["items"])).alias("items"),
+        )
+        marked = both.withColumn(out, united).drop(more)
+    return marked
 
 
 def hit_words(hits: Column) -> Column:

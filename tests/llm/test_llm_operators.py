@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import pytest
-from llm_frames import PROSE, SCHEMA, SENTENCES
+from llm_frames import PROSE, SCHEMA, SENTENCES, clashing
 from pyspark.sql import functions as F
 
 from gustwatch.llm import components, decontaminate, license_scan, near_duplicates, pii, quality_classifier
@@ -322,10 +322,24 @@ def test_benchmark_blocks_agree(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 30)
     several = [tuple(r["__hits"]) for r in decontaminate.add_hits(docs, items).orderBy("doc_id").collect()]
     assert one == several
-    assert one[0][2] == [1, 2, 3, 4] and one[1][1] == []
+    assert one[0][2] == ["1", "2", "3", "4"] and one[1][1] == []
     assert decontaminate.places("The Lazy, dog ran", [1, 3]) == [(4, 13)]
 
 
+def test_benchmark_ids_are_strings_and_blocks_come_one_by_one(spark, monkeypatch):
+    items = spark.createDataFrame([("b/2", "lazy dog"), ("b/10", "lazy dog"), (None, "quick brown"), ("c", "word7 follows")], "item_id string, text string")
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 1)
+    blocks, written = [], []
+    scanner, write = decontaminate._scanner, decontaminate.materialize
+    monkeypatch.setattr(decontaminate, "_scanner", lambda found, width: blocks.append((len(found), len(written))) or scanner(found, width))
+    monkeypatch.setattr(decontaminate, "materialize", lambda df: written.append(1) or write(df))
+    docs = clashing(_docs(spark, ["The LAZY dog, a quick brown one", "nothing here", None]))
+    found = [tuple(r["__hits"]) for r in decontaminate.add_hits(docs, items).orderBy("doc_id").collect()]
+    assert found == [(7, [1, 3, 4, 6], ["b/10", "b/2"]), (2, [], []), (0, [], [])]
+    # Each block is fetched when what the blocks before it found has been written.
+    assert blocks == [(1, 0), (1, 1), (1, 2), (1, 3)]
+
+
 def test_classifier_learns_held_out(spark):
     rng = random.Random(4)
     vocabulary = [f"w{k}" for k in range(300)]
