@@ -25,6 +25,12 @@ def _q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+#: Links as the SQL reads them: plain patterns, without comments, scripts or lists of words.
+_LINKS = (
+    r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)",
+    r"(?is)<link\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)[^>]*?\brel\s*=\s*[\"']?canonical\b",
+    r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)",
+)
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 _HOST = (
     f"coalesce(translate(regexp_extract(url, {_q(url_filter._PARTS)}, 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
@@ -35,7 +41,7 @@ _FORM = f"""CASE WHEN host = '' THEN url ELSE host || regexp_replace(path, '(?:/
 _KEPT = f"""array_to_string(list_filter(string_split(regexp_extract(url, {_q(url_filter._QUERY)}, 1), '&'),
     lambda q: q <> '' AND NOT regexp_matches(q, {_q(url_filter._TRACKING)})), '&')"""
 _TARGETS = " || ".join(
-    f"regexp_extract_all(coalesce(html, ''), {_q(p)}, 1)" for p in (*url_filter._CANONICAL, url_filter._REFRESH)
+    f"regexp_extract_all(coalesce(html, ''), {_q(p)}, 1)" for p in _LINKS
 )
 SQL = f"""
 WITH RECURSIVE rules(h, p, d) AS (VALUES {_RULE_ROWS}),

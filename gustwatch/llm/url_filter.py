@@ -11,15 +11,11 @@ from gustwatch.session import materialize
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _QUERY = r"(?s)^[^?#]*\?([^#]*)"
 _TRACKING = r"^(?:utm_[a-z]+|ref|fbclid|gclid)(?:=|\z)"
-_CANONICAL = (
-    r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)",
-    r"(?is)<link\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)[^>]*?\brel\s*=\s*[\"']?canonical\b",
-)
-_REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
-
-# The same with the attributes in the other order.
-_REFRESH_AFTER = r"(?is)<meta\b[^>]*\burl\s*=\s*[\"']?([^\"'\s>]+)[^>]*?\bhttp-equiv\s*=\s*[\"']?refresh\b"
-_BASE = r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+#: Comments, scripts and styles hold no links; one that is never closed reaches to the end.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
+#: A name and its value. Attributes are read one after the other, so that text inside a value is none.
+_ATTRIBUTE = r"([^\s\"'>/=]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+_REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s]+)"
 _AMPERSAND = r"(?i)&(?:amp|#0*38|#x0*26);"
 _ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
@@ -82,18 +78,45 @@ def resolved(target: Column, base: Column) -> Column:
     )
 
 
+def _tags(html: Column, name: str) -> Column:
+    """The tags of a name; a tag ends at its first ``>``."""
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<{name}(?=[\s/])[^>]*>"), F.lit(0))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of the first attribute of this very name, without quotes; null if there is none."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1)), F.lower)
+    values = F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(2))
+    return F.regexp_replace(F.get(values, F.array_position(names, F.lit(name)).cast("int") - 1), r"^[\"']|[\"']\z", "")
+
+
 def link_targets(url: Column, html: Column) -> Column:
-    """Targets of canonical links and refresh redirects as absolute urls, relative ones seen from the page or its base href."""
+    """Targets of canonical links and refresh redirects as absolute urls, relative ones seen from the page or its base href.
+
+    ``rel`` is a list of words, of which one is canonical. Comments, scripts
+    and styles are cut out first.
+    """
 
     def decoded(value: Column) -> Column:
         return F.regexp_replace(value, _AMPERSAND, "&")
 
-    found = F.concat(*[F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in (*_CANONICAL, _REFRESH, _REFRESH_AFTER)])
-    named = decoded(F.regexp_extract(html, _BASE, 1))
-    base = F.when(named == "", url).otherwise(F.coalesce(resolved(named, url), url))
-    # The base is bound once, so that a page with many links is not searched for it again and again.
-    targets = F.flatten(F.transform(F.array(base), lambda b: F.transform(found, lambda t: resolved(decoded(t), b))))
+    def in_page(page: Column) -> Column:
+        canonical = F.filter(
+            _tags(page, "link"), lambda t: F.array_contains(F.split(F.lower(_attribute(t, "rel")), r"\s+"), F.lit("canonical"))
+        )
+        refresh = F.filter(_tags(page, "meta"), lambda t: F.lower(F.trim(_attribute(t, "http-equiv"))) == "refresh")
+        found = F.concat(
+            F.transform(canonical, lambda t: F.trim(_attribute(t, "href"))),
+            F.transform(refresh, lambda t: F.regexp_extract(_attribute(t, "content"), _REFRESH_URL, 1)),
+        )
+        named = decoded(F.get(F.filter(F.transform(_tags(page, "base"), lambda t: _attribute(t, "href")), F.isnotnull), F.lit(0)))
+        base = F.when(F.coalesce(named, F.lit("")) == "", url).otherwise(F.coalesce(resolved(named, url), url))
+        # The base is bound once, so that a page with many links is not searched for it again and again.
+        seen = F.filter(found, lambda t: F.coalesce(t, F.lit("")) != "")
+        return F.flatten(F.transform(F.array(base), lambda b: F.transform(seen, lambda t: resolved(decoded(t), b))))
+
     linked = html.rlike(r"(?i)\bcanonical\b|\bhttp-equiv\b")
+    targets = F.flatten(F.transform(F.array(F.regexp_replace(html, _HIDDEN, " ")), in_page))
     return F.when(linked, F.array_compact(targets)).otherwise(F.array().cast("array<string>"))
 
 
@@ -123,17 +146,19 @@ def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFr
     return spark.createDataFrame(rules, "host string, path string, verdict string")
 
 
-def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", spelling: bool = True) -> DataFrame:
     """One row per row of ``pages`` (id, url, html): id, host, path, rule, verdict.
 
     A page with a fitting rule has that rule's verdict. Others take the verdict
     of their aliases: urls of one canonical form, and forms joined by canonical
     links or refresh redirects, make a component; it is allowed if a rule
     allows any of its urls, else blocked if a rule blocks one, else allowed.
+    Without ``spelling`` a url is its own form, so that only links join urls.
     Null urls have empty host and path, no aliases, and are allowed; null html
     has no links; repeated rows and null ids keep their rows. Pages are read
     once; only urls are shuffled, after removal of repeats.
     """
+    form = canonical_form if spelling else lambda url: url
     read = materialize(
         pages.select(
             F.col(id_col).alias("id"),
@@ -142,13 +167,13 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id") -> DataFr
         )
     )
     links = read.where(F.col("url").isNotNull()).select("url", F.explode("targets").alias("target"))
-    forms = links.select(canonical_form(F.col("url")).alias("a"), canonical_form(F.col("target")).alias("b"))
+    forms = links.select(form(F.col("url")).alias("a"), form(F.col("target")).alias("b"))
     linked = components(forms.distinct())
     urls = (
         read.select("url").unionByName(links.select(F.col("target").alias("url"))).where(F.col("url").isNotNull()).distinct()
     )
     ruled = materialize(
-        urls.join(matched_rules(urls, rules), "url", "left").select("url", canonical_form(F.col("url")).alias("node"), "rule", "verdict")
+        urls.join(matched_rules(urls, rules), "url", "left").select("url", form(F.col("url")).alias("node"), "rule", "verdict")
     )
     grouped = ruled.join(linked, "node", "left").withColumn("alias", F.coalesce("component", "node"))
     verdicts = grouped.groupBy("alias").agg(

@@ -357,3 +357,35 @@ def test_classifier_learns_held_out(spark):
     assert np.mean(held) > 0.95
     assert 0.25 <= model.temperature <= 8
     assert quality_classifier.fit(docs, known.where("label = 1")) is None
+
+
+def test_links_are_tags_with_their_own_attributes(spark):
+    from pyspark.sql import functions as F
+
+    cases = [
+        ("<!-- <link rel=canonical href='http://x.org/a'> -->", []),
+        ("<script>var s = \"<link rel='canonical' href='http://x.org/a'>\";</script>", []),
+        ("<STYLE>/* <link rel=canonical href=http://x.org/a> */", []),
+        ("<link rel=canonical data-href='http://x.org/a'>", []),
+        ("<link rel='canonical-old' href='http://x.org/a'>", []),
+        ("<link title='rel=canonical' href='http://x.org/a' rel=next>", []),
+        ("<links rel=canonical href='http://x.org/a'>", []),
+        ("<link rel=canonical href=''>", []),
+        ("<meta http-equiv=refresh content='5'> <link rel=canonical>", []),
+        ("<link rel='alternate canonical' href='http://x.org/a'>", ["http://x.org/a"]),
+        ("<link HREF=\"http://x.org/a\"\n REL = \"Canonical\" />", ["http://x.org/a"]),
+        ("<!-- a --><link data-href=b href=http://x.org/a rel=canonical><!-- c", ["http://x.org/a"]),
+        ("<meta content=\"0; URL='http://x.org/a'\" http-equiv=\"Refresh\">", ["http://x.org/a"]),
+        ("<script>1</script><base target=_top href='/d/'><link rel=canonical href=a><script>2</script>", ["http://h.org/d/a"]),
+    ]
+    pages = spark.createDataFrame([(k, "http://h.org/p", h) for k, (h, _) in enumerate(cases)], "k int, url string, html string")
+    found = {r["k"]: r["t"] for r in pages.select("k", url_filter.link_targets(F.col("url"), F.col("html")).alias("t")).collect()}
+    assert [found[k] for k in range(len(cases))] == [t for _, t in cases]
+
+
+def test_spelling_is_a_parameter(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/es/", None), (2, "http://a.net/es.html?ref=z", None)], "page_id long, url string, html string")
+    rules = url_filter.rule_table(spark, [("net", "/es/", "block")])
+    verdicts = lambda **how: {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, rules, **how).collect()}
+    assert verdicts() == {1: "block", 2: "block"}
+    assert verdicts(spelling=False) == {1: "block", 2: "allow"}
