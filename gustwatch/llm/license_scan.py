@@ -83,6 +83,42 @@ NOTICES: tuple[Notice, ...] = (
         "this is free and unencumbered software released into the public domain",
         "free and unencumbered software released into the public domain",
     ),
+    Notice(
+        "mit",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "shall be included in all copies or substantial portions of the software",
+    ),
+    Notice(
+        "apache-2",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "you may not use this file except in compliance with the license",
+    ),
+    Notice(
+        "bsd-3",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission",
+        "may be used to endorse or promote products derived from this software",
+    ),
+    Notice(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+        "distribute this software for any purpose with or without fee is hereby granted",
+    ),
+    Notice(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable",
+        "in no event will the authors be held liable",
+    ),
+    Notice("bsl-1", "distributed under the boost software license version 1 0", "boost software license version 1 0"),
+    Notice("epl-2", "made available under the terms of the eclipse public license 2 0", "eclipse public license 2 0"),
+    Notice("cc-by-nc-sa", "licensed under cc by nc sa 4 0", "cc by nc sa"),
+    Notice("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
+    Notice(
+        "gfdl",
+        "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license",
+        "gnu free documentation license",
+    ),
+    Notice("odbl", "this database is made available under the open database license", "open database license"),
 )
 
 
@@ -99,13 +135,10 @@ def rarity(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES) -> dict[str,
     return {word: math.log((1 + total) / (1 + counted.get(word, 0))) for word in known}
 
 
-def anchors(notices: tuple[Notice, ...], idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
-    """The index: for each phrase its rarest word, and from that word the postings (notice, place in the phrase)."""
-    index: dict[str, list[tuple[int, int]]] = {}
-    for number, notice in enumerate(notices):
-        place = max(range(len(notice.key)), key=lambda i: (idf.get(notice.key[i], math.inf), -i))
-        index.setdefault(notice.key[place], []).append((number, place))
-    return index
+def look_ups(notices: tuple[Notice, ...], idf: dict[str, float]) -> list[list[tuple[str, int]]]:
+    """For each notice the two places of its key phrase with the rarest words, as (word, place); one place if the phrase is one word."""
+    ordered = [sorted(range(len(n.key)), key=lambda i, n=n: (-idf.get(n.key[i], math.inf), i)) for n in notices]
+    return [[(n.key[i], i) for i in (places * 2)[:2]] for n, places in zip(notices, ordered, strict=True)]
 
 
 def scan_licenses(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES) -> DataFrame:
@@ -113,46 +146,54 @@ def scan_licenses(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES) -> Dat
 
     ``places`` is an array of (start, notice, share): where a notice's key
     phrase stands word by word (words from 0), and the share of the whole
-    notice's words that stand at their places around it. Every place is found:
-    it holds the phrase's rarest word, each occurrence of which is looked up in
-    the index, turned into a start by its relative position and then verified.
-    Rarity comes from all of ``docs``, so it decides which word is looked up,
-    never what is found. Null and empty texts have no words; repeated rows and
-    null ids keep their rows. No join, no shuffle but the count of a few words.
+    notice's words that stand at their places around it.
+
+    Of each file, the licence words that it holds are taken. A notice is open
+    while the file holds every word of its key phrase, the rarest asked first.
+    The file's places of an open notice's two rarest words, each less its place
+    in the phrase, are its postings as starts; starts in both are candidates,
+    and the phrase is then verified word by word. Every place is found, since
+    it holds both words. Rarity comes from all of ``docs``; it decides which
+    words are looked up and how many candidates have to be verified, never what
+    is found. Null and empty texts have no words; repeated rows and null ids
+    keep their rows. No join, no shuffle but the count of a few words.
     """
-    index = anchors(notices, rarity(docs, notices))
-    posting = "array<struct<notice:int,place:int>>"
-    postings = F.create_map(
-        *[
-            column
-            for word, found in sorted(index.items())
-            for column in (
-                F.lit(word),
-                F.array(*[F.struct(F.lit(n).alias("notice"), F.lit(p).alias("place")) for n, p in found]).cast(posting),
-            )
-        ]
-    )
+    rare = look_ups(notices, rarity(docs, notices))
     keys = F.array(*[F.array(*map(F.lit, n.key)) for n in notices])
     texts = F.array(*[F.array(*map(F.lit, n.words)) for n in notices])
     offsets = F.array(*[F.lit(n.offset) for n in notices])
-    rare = F.lit(sorted(index))
+    numbers = F.array(*[F.lit(i) for i in range(len(notices))])
+    word = [F.array(*[F.lit(pair[k][0]) for pair in rare]) for k in range(2)]
+    place = [F.array(*[F.lit(pair[k][1]) for pair in rare]) for k in range(2)]
+    known = F.lit(sorted({w for n in notices for w in n.key}))
 
     cut = docs.select("doc_id", _words(whole()).alias("__w"))
-    # Only texts with a rare word are walked word by word.
-    numbered = F.filter(
-        F.transform("__w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains(rare, x["w"])
+    held = cut.withColumn("__held", F.array_intersect("__w", known))
+    opened = held.withColumn(
+        "__open",
+        F.filter(
+            numbers,
+            lambda n: F.array_contains("__held", F.get(word[0], n)) & (F.size(F.array_except(F.get(keys, n), F.col("__held"))) == 0),
+        ),
     )
-    looked_up = cut.withColumn(
-        "__r", F.when(F.arrays_overlap("__w", rare), numbered).otherwise(F.array().cast("array<struct<w:string,i:int>>"))
+    wanted = F.flatten(F.transform("__open", lambda n: F.array(F.get(word[0], n), F.get(word[1], n))))
+    asked = opened.withColumn("__q", F.array_distinct(wanted))
+    # Only texts with an open notice are walked word by word.
+    postings = F.filter(
+        F.transform("__w", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: F.array_contains("__q", x["w"])
     )
-    candidates = looked_up.withColumn(
+    posted = asked.withColumn("__r", F.when(F.size("__q") > 0, postings).otherwise(F.array().cast("array<struct<w:string,i:int>>")))
+
+    def starts(n: Column, k: int) -> Column:
+        return F.transform(F.filter("__r", lambda x: x["w"] == F.get(word[k], n)), lambda x: x["i"] - F.get(place[k], n))
+
+    candidates = posted.withColumn(
         "__c",
         F.flatten(
             F.transform(
-                "__r",
-                lambda x: F.transform(
-                    F.element_at(postings, x["w"]),
-                    lambda p: F.struct((x["i"] - p["place"]).alias("start"), p["notice"].alias("notice")),
+                "__open",
+                lambda n: F.transform(
+                    F.array_intersect(starts(n, 0), starts(n, 1)), lambda s: F.struct(s.alias("start"), n.alias("notice"))
                 ),
             )
         ),
