@@ -38,6 +38,10 @@ class Disclosure:
     term, and when that share is at least two to the ``min_bits`` times the
     share of the entity among all texts (pointwise information); from
     ``remove`` on it is removed instead of generalised.
+
+    More than ``max_terms`` such terms of one entity are no name but a wording
+    that its texts share. They disclose it only when ``min_texts`` of these
+    texts are independent: near copies of each other count as one.
     """
 
     reach: int | None = None
@@ -46,6 +50,7 @@ class Disclosure:
     remove: float = 0.9
     min_bits: float = 1.0
     min_letters: int = 4
+    max_terms: int = 3
     #: Bits of the fixed-size filter that texts are tested with before anything is shuffled.
     filter_bits: int = 1 << 22
 
@@ -112,6 +117,25 @@ def _outside(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, in
     return out
 
 
+#: Bands of a text's sketch, of two coordinates each: texts that share half of their shingles meet in one of them at nine in ten.
+_BANDS = 8
+_TURNS = np.random.default_rng(20).integers(1, 2**63, (2, 2 * _BANDS), dtype=np.int64).astype(np.uint64) | np.uint64(1)
+
+
+def _sketch(terms: list[str]) -> list[int]:
+    """MinHash bands over the 3-term shingles of ``terms``; fewer terms are one shingle, none give no bands."""
+    if not terms:
+        return []
+    codes = np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) + 1 for t in terms), np.uint64, len(terms))
+    codes *= np.uint64(0x9E3779B97F4A7C15)
+    if len(codes) < 3:
+        codes = np.concatenate([codes, np.zeros(3 - len(codes), np.uint64)])
+    shingles = codes[:-2] * np.uint64(0xBF58476D1CE4E5B9) + codes[1:-1] * np.uint64(0x94D049BB133111EB) + codes[2:]
+    shingles = np.unique(shingles ^ (shingles >> np.uint64(31)))
+    least = np.array([((shingles * a + b) >> np.uint64(8)).min() for a, b in _TURNS.T])
+    return (least[0::2] * np.uint64(0x9E3779B97F4A7C15) + least[1::2]).view(np.int64).tolist()
+
+
 def _entity(text: str, span: tuple[int, int, int]) -> str:
     return f"{KINDS[span[1]]}:{text[span[0] : span[2]].lower()}"
 
@@ -129,7 +153,7 @@ def _neighbours(text: str, spans: list[tuple[int, int, int]], terms: list[tuple[
 
 _FOUND = (
     "spans array<struct<start:int,kind:int,end:int>>, entities array<string>, "
-    "pairs array<struct<term:string,entity:string>>, outside array<string>, terms array<string>"
+    "pairs array<struct<term:string,entity:string>>, outside array<string>, terms array<string>, sketch array<long>"
 )
 
 
@@ -149,13 +173,36 @@ def _detector(how: Disclosure):
                     [{"term": t, "entity": e} for t, e in sorted(pairs)],
                     sorted({t for _, _, t in outside if len(t) >= how.min_letters}) if how.reach is None else [],
                     sorted(terms),
+                    _sketch([t for _, _, t in outside]),
                 )
             )
-        return pd.DataFrame(rows, columns=["spans", "entities", "pairs", "outside", "terms"])
+        return pd.DataFrame(rows, columns=["spans", "entities", "pairs", "outside", "terms", "sketch"])
 
     return detect
 
 
+#: What one text counts; the numbers from 1 to 15 divide it.
+_ONE = 720_720
+_SALTS = 16
+
+
+def _independent(texts: DataFrame) -> DataFrame:
+    """digest and ``weight`` of ``texts`` (digest, sketch): one text's share of :data:`_ONE` among its near copies.
+
+    A text's near copies are those it meets in the band where it meets most.
+    Bands are counted before they are joined back, under salts, so that a large
+    group of copies is no group of a task.
+    """
+    bands = texts.select("digest", F.posexplode("sketch").alias("band", "code"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
+    shared = bands.groupBy("band", "code").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("*", salts)
+    salted = bands.withColumn("salt", F.pmod(F.xxhash64("digest"), F.lit(_SALTS)).cast("int"))
+    met = salted.join(shared, ["band", "code", "salt"]).groupBy("digest").agg(F.max("n").alias("n"))
+    return texts.select("digest").join(met, "digest", "left").select(
+        "digest", F.floor(F.lit(_ONE) / F.coalesce("n", F.lit(1))).cast("long").alias("weight")
+    )
+
+
 def _bucket(term: str, bits: int) -> int:
     return zlib.crc32(term.encode("utf-8", "surrogatepass")) % bits
 
@@ -205,7 +252,8 @@ def find_personal_data(docs: DataFrame, how: Disclosure = DISCLOSURE) -> DataFra
     among the texts with entities (a lower bound of the second) leave first;
     the rest is turned into a filter of fixed size, so that only their
     occurrences are shuffled and counted exactly. Common terms therefore never
-    travel; pairs are made only of terms and entities that can still pass.
+    travel; pairs are made only of terms and entities that can still pass, and
+    entities that stand in the very same texts are paired as one.
     """
     for_python(docs.sparkSession)
     base = docs.select("doc_id", whole().alias("text")).withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
@@ -213,27 +261,32 @@ def find_personal_data(docs: DataFrame, how: Disclosure = DISCLOSURE) -> DataFra
     n_texts = found.select("digest").distinct().count()
 
     per_text = found.where(F.size("entities") > 0).groupBy("digest").agg(
-        *[F.first(c).alias(c) for c in ("entities", "pairs", "outside", "terms")]
+        *[F.first(c).alias(c) for c in ("entities", "pairs", "outside", "terms", "sketch")]
     )
     per_text = materialize(per_text)
     held_entities = per_text.select("digest", F.explode("entities").alias("entity"))
-    common = held_entities.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_texts")).where(F.col("entity_texts") >= how.min_texts)
+    common = held_entities.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("entity_texts"),
+        *[F.bit_xor(F.xxhash64("digest", F.lit(k))).alias(f"x{k}") for k in range(2)],
+    ).where(F.col("entity_texts") >= how.min_texts)
     local = per_text.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("local"))
     local = local.where(F.col("local") >= how.min_texts)
     can_pass = F.col("entity_texts") >= how.generalise * F.col("local")
     if how.reach is None:
-        entities = materialize(held_entities.join(common, "entity"))
+        # Entities of the very same texts have the same statistics: a list of names and addresses is one of them.
+        alike = F.concat_ws(":", "x0", "x1", "entity_texts").alias("entity")
+        entities = materialize(held_entities.join(common, "entity").select("digest", alike, "entity_texts").distinct())
         most = entities.groupBy("digest").agg(F.max("entity_texts").alias("entity_texts"))
         terms = per_text.select("digest", F.explode("outside").alias("term")).join(most, "digest").join(local, "term").where(can_pass)
         pairs = terms.drop("entity_texts").join(entities, "digest").where(can_pass)
     else:
-        pairs = per_text.select(F.explode("pairs").alias("p")).select("p.*").join(common, "entity").join(local, "term")
+        named = common.select("entity", "entity_texts")
+        pairs = per_text.select("digest", F.explode("pairs").alias("p")).select("digest", "p.*").join(named, "entity").join(local, "term")
     candidates = materialize(
         pairs.groupBy("term", "entity", "entity_texts", "local")
         .agg(F.count(F.lit(1)).alias("near"))
         .where((F.col("near") >= how.min_texts) & (F.col("near") >= how.generalise * F.col("local")))
-        .select("term", "near", "entity_texts")
-        .distinct()
+        .select("term", "entity", "near", "entity_texts")
     )
 
     bits = np.zeros(how.filter_bits, np.uint8)
@@ -253,11 +306,24 @@ def find_personal_data(docs: DataFrame, how: Disclosure = DISCLOSURE) -> DataFra
         F.count(F.lit(1)).alias("texts")
     )
     share = F.col("near") / F.col("texts")
-    telling = materialize(
+    passing = materialize(
         held.join(candidates, "term")
         .where((share >= how.generalise) & (share * n_texts >= 2**how.min_bits * F.col("entity_texts")))
-        .groupBy("term")
-        .agg(F.when(F.max(share) >= how.remove, "remove").otherwise("generalise").alias("action"))
+        .select("term", "entity", share.alias("share"))
+    )
+    wordy = materialize(passing.groupBy("entity").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > how.max_terms).select("entity"))
+    in_texts = pairs.select("digest", "term", "entity").join(passing.join(wordy, "entity", "left_semi"), ["term", "entity"], "left_semi")
+    in_texts = materialize(in_texts)
+    weights = _independent(per_text.select("digest", "sketch").join(in_texts.select("digest").distinct(), "digest", "left_semi"))
+    apart = (
+        in_texts.join(weights, "digest")
+        .groupBy("term", "entity")
+        .agg(F.sum("weight").alias("weight"))
+        .where(F.col("weight") >= _ONE * how.min_texts)
+    )
+    told = passing.join(wordy, "entity", "left_anti").unionByName(passing.join(apart, ["term", "entity"], "left_semi"))
+    telling = materialize(
+        told.groupBy("term").agg(F.when(F.max("share") >= how.remove, "remove").otherwise("generalise").alias("action"))
     )
     terms = (
         occurrences.join(telling, "term")

@@ -238,6 +238,39 @@ def test_a_term_tells_nothing_of_an_entity_that_is_everywhere(spark):
     assert _told(spark, texts) == set()
 
 
+BAKERY = "Our little bakery serves croissants marmalade pretzels cinnamon daily contact info@bakery.org for catering"
+
+
+def _others(n):
+    rng = random.Random(4)
+    return [" ".join("".join(rng.choice("klmorstu") + rng.choice("aeiou") for _ in range(2)) for _ in range(12)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("copies", [4, 40])
+def test_words_of_near_copies_disclose_nothing(spark, copies):
+    others = _others(200)
+    near = [f"{BAKERY} {others[i].split()[0]} {i}" for i in range(copies)]
+    named = [f"{t} Zebedee Quillon {u} mail zeb@corp.org" for t, u in zip(others[50:54], others[60:64], strict=True)]
+    assert _told(spark, near + named + others) == {"Zebedee", "Quillon", "mail"}
+
+
+def test_a_wording_in_independent_texts_discloses(spark):
+    others = _others(200)
+    phrase = "Zebedee Quillon Amaranth Throckmorton Featherstone"
+    texts = [f"{t} {phrase} {u} zeb@corp.org" for t, u in zip(others[50:54], others[60:64], strict=True)]
+    assert _told(spark, texts + others) == set(phrase.split())
+    copies = [f"{others[70]} {phrase} {others[71]} zeb@corp.org {'x' * i}" for i in range(1, 40)]
+    assert _told(spark, copies + others) == set()
+
+
+def test_lists_of_entities_and_terms_are_paired_as_one(spark):
+    others = _others(200)
+    staff = " ".join(f"n{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]} p{i}@x.org" for i in range(100))
+    around = [" ".join(others[60 * k : 60 * k + 50]) for k in range(3)]
+    texts = [f"{text} {staff}" for text in around] + others
+    assert len(_told(spark, texts)) == 100
+
+
 def test_license_places(spark):
     texts = [
         "Released under the MIT License. Again under the mit-license",
@@ -252,6 +285,29 @@ def test_license_places(spark):
     assert rows[1]["places"][0]["share"] == 1.0
 
 
+def test_license_places_against_brute_force(spark):
+    rng = random.Random(9)
+    pool = sorted({w for n in license_scan.NOTICES for w in n.key})
+    texts = []
+    for _ in range(60):
+        parts = [rng.choice([rng.choice(license_scan.NOTICES).text, rng.choice(license_scan.NOTICES).phrase, rng.choice(pool)]) for _ in range(8)]
+        texts.append(" ".join(parts))
+    for row in license_scan.scan_licenses(_docs(spark, texts)).collect():
+        words = texts[row["doc_id"]].split()
+        slow = {
+            (i, k)
+            for i in range(len(words))
+            for k, n in enumerate(license_scan.NOTICES)
+            if words[i : i + len(n.key)] == n.key
+        }
+        assert [(p["start"], p["notice"]) for p in row["places"]] == sorted(slow)
+
+
+def test_license_look_ups_are_the_rarest_words():
+    notices = (license_scan.Notice("x", "a b c", "a b c"), license_scan.Notice("y", "c", "c"))
+    assert license_scan.look_ups(notices, {"a": 0.5, "b": 3.0, "c": 1.0}) == [[("b", 1), ("c", 2)], [("c", 0), ("c", 0)]]
+
+
 def test_redirect_equivalence(spark):
     pages = spark.createDataFrame(
         [
