@@ -16,12 +16,19 @@ class LineRules:
 
     symbols: str = r"[#*$%&|<>!{}\[\]\\^~]"
     max_symbol_share: float = 0.1
-    separators: str = r"(?:[|>»•][^|>»•]*){3,}"
+    #: A line is navigation when it has this many separators, and at most ``separated_words`` words for each.
+    separators: str = r"[|>»•]"
+    min_separators: int = 3
+    separated_words: int = 6
     boilerplate: str = (
         r"(?i)lorem ipsum|enable javascript|cookie policy|privacy policy|terms of (?:use|service)|all rights reserved"
     )
+    #: Longer lines are prose that mentions a phrase of ``boilerplate``.
+    boilerplate_words: int = 25
     #: A line without a closing mark is a heading or menu entry when it has fewer words than this.
     fragment_words: int = 3
+    #: Lines without a closing mark of up to ``menu_words`` words are a menu where three or more of them follow each other.
+    menu_words: int = 5
     closing: str = r"[.!?:;…\"'”’)\]。！？][\x20\x09-\x0D]*\z"
     max_loss: float = 0.5
     min_words: int = 50
@@ -31,14 +38,25 @@ class LineRules:
 RULES = LineRules()
 
 
-def _line_fails(line: Column, rules: LineRules) -> Column:
+def _judged(line: Column, rules: LineRules) -> Column:
+    """The line, whether it fails by itself, and whether it could be an entry of a menu."""
     bare = F.length(F.regexp_replace(line, SPACE, ""))
-    return (
+    words = F.regexp_count(line, F.lit(NO_SPACE))
+    separators = F.regexp_count(line, F.lit(rules.separators))
+    is_open = ~line.rlike(rules.closing)
+    fails = (
         (F.regexp_count(line, F.lit(rules.symbols)) > rules.max_symbol_share * bare)
-        | line.rlike(rules.separators)
-        | line.rlike(rules.boilerplate)
-        | (~line.rlike(rules.closing) & (F.regexp_count(line, F.lit(NO_SPACE)) < rules.fragment_words))
+        | ((separators >= rules.min_separators) & (words <= rules.separated_words * separators))
+        | ((words <= rules.boilerplate_words) & line.rlike(rules.boilerplate))
+        | ((words < rules.fragment_words) & is_open)
     )
+    return F.struct(line.alias("line"), fails.alias("fails"), ((words <= rules.menu_words) & is_open).alias("entry"))
+
+
+def _in_menu(lines: Column, place: Column) -> Column:
+    """Whether the line at ``place`` is an entry among three or more that follow each other."""
+    at = [F.coalesce(F.get(lines, place + k)["entry"], F.lit(False)) for k in range(-2, 3)]
+    return at[2] & ((at[1] & (at[0] | at[3])) | (at[3] & at[4]))
 
 
 def repeated_words(frame: DataFrame, words: str, out: str) -> DataFrame:
@@ -88,9 +106,9 @@ def line_quality(docs: DataFrame, rules: LineRules = RULES) -> DataFrame:
         F.array_remove(F.split("__t", SPACE), "").alias("__w"),
         F.filter(F.split("__t", "\n"), lambda x: x.rlike(NO_SPACE)).alias("__l"),
     )
-    judged = repeated_words(cut, "__w", "n_repeat_words").withColumn(
-        "__ok", F.filter("__l", lambda x: ~_line_fails(x, rules))
-    )
+    lines = repeated_words(cut, "__w", "n_repeat_words").withColumn("__j", F.transform("__l", lambda x: _judged(x, rules)))
+    passed = F.filter("__j", lambda x, i: ~x["fails"] & ~_in_menu(F.col("__j"), i))
+    judged = lines.withColumn("__ok", F.transform(passed, lambda x: x["line"]))
     measured = judged.select(
         "doc_id",
         F.size("__w").cast("long").alias("n_words"),

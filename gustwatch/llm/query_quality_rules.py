@@ -43,16 +43,25 @@ g AS (
 ),
 rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM g WHERE g IS NOT NULL) WHERE c > 1),
 cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep CROSS JOIN (VALUES (0), (1), (2)) v(k) GROUP BY r),
-l AS (
-  SELECT t.*, list_filter(ls, lambda x: NOT (
-      len(regexp_extract_all(x, {_text(RULES.symbols)}))
-        > {RULES.max_symbol_share} * length(regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g'))
-      OR regexp_matches(x, {_text(RULES.separators)})
-      OR regexp_matches(x, {_text(RULES.boilerplate)})
-      OR (NOT regexp_matches(x, {_text(RULES.closing)})
-          AND len(regexp_extract_all(x, {_text(NO_SPACE)})) < {RULES.fragment_words}))) AS ok
+c AS (
+  SELECT t.*, list_transform(ls, lambda x: len(regexp_extract_all(x, {_text(NO_SPACE)}))) AS lw,
+         list_transform(ls, lambda x: len(regexp_extract_all(x, {_text(RULES.separators)}))) AS lp,
+         list_transform(ls, lambda x: NOT regexp_matches(x, {_text(RULES.closing)})) AS lo
   FROM t
 ),
+e AS (SELECT c.*, list_transform(lw, lambda n, i: n <= {RULES.menu_words} AND lo[i]) AS le FROM c),
+x AS (SELECT e.*, list_concat([false, false], le, [false, false]) AS pe FROM e),
+l AS (
+  SELECT x.*, list_filter(ls, lambda y, i: NOT (
+      len(regexp_extract_all(y, {_text(RULES.symbols)}))
+        > {RULES.max_symbol_share} * length(regexp_replace(y, '[\\x20\\x09-\\x0D]+', '', 'g'))
+      OR (lp[i] >= {RULES.min_separators} AND lw[i] <= {RULES.separated_words} * lp[i])
+      OR (lw[i] <= {RULES.boilerplate_words} AND regexp_matches(y, {_text(RULES.boilerplate)}))
+      OR (lw[i] < {RULES.fragment_words} AND lo[i])
+      OR (pe[i] AND pe[i + 1] AND pe[i + 2]) OR (pe[i + 1] AND pe[i + 2] AND pe[i + 3])
+      OR (pe[i + 2] AND pe[i + 3] AND pe[i + 4]))) AS ok
+  FROM x
+),
 m AS (
   SELECT l.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
          CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,

@@ -10,7 +10,7 @@ import pytest
 from llm_frames import PROSE, SCHEMA, SENTENCES, clashing
 from pyspark.sql import functions as F
 
-from gustwatch.llm import components, decontaminate, license_scan, near_duplicates, pii, quality_classifier
+from gustwatch.llm import components, decontaminate, license_scan, near_duplicates, pii, quality_classifier, quality_rules
 from gustwatch.llm import repeated_passages, secret_scan, source_mix, url_filter
 from gustwatch.llm.query_secret_scan import new_ledger
 
@@ -445,3 +445,18 @@ def test_spelling_is_a_parameter(spark):
     verdicts = lambda **how: {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, rules, **how).collect()}
     assert verdicts() == {1: "block", 2: "block"}
     assert verdicts(spelling=False) == {1: "block", 2: "allow"}
+
+
+def _clean(spark, text):
+    row = quality_rules.line_quality(_docs(spark, [text])).first()
+    return row["clean_text"].split("\n") if row["clean_text"] else []
+
+
+def test_lines_fail_as_menus_navigation_and_boilerplate(spark):
+    prose = "A long line of prose that mentions the privacy policy once " + "and goes on for many more words " * 5 + "to its end."
+    barred = "one two three four five six seven | " * 3 + "eight nine ten eleven twelve thirteen fourteen fifteen."
+    menu = ["About our company", "Terms and conditions apply", "Contact the sales team"]
+    assert _clean(spark, "\n".join([prose, *menu, barred])) == [prose, barred]
+    assert _clean(spark, "\n".join([menu[0], prose, menu[1], menu[2]])) == [menu[0], prose, menu[1], menu[2]]
+    assert _clean(spark, "Home | News | Sport | Weather\nRead our privacy policy here.\nhi") == []
+    assert _clean(spark, "\n".join([*menu, "", menu[0]])) == []
