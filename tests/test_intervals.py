@@ -68,3 +68,13 @@ def test_other_id_types(spark):
     assert [(r["id"], r["event_id"]) for r in found.collect()] == [(5, 7)]
     assert found.schema["event_start_id"].dataType == events.schema["event_start_id"].dataType
     assert intervals.event_rows(rows, events.limit(0), MANY).filter(F.lit(True)).count() == 0
+
+
+def test_many_windows_are_never_broadcast(mixed, spark, tmp_path):
+    """Sizes of exploded windows and probes are not known to the planner, which took them for as small as the files."""
+    stored = []
+    for name, df in zip(("rows", "events"), mixed):
+        df.write.parquet(str(tmp_path / name))
+        stored.append(spark.read.parquet(str(tmp_path / name)))
+    plan = intervals.event_rows(*stored, MANY)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Broadcast" not in plan
