@@ -16,7 +16,7 @@ from gustwatch.operators.ordered import Ordered
 from gustwatch.operators.percentiles import exact_percentiles, percentile_column
 from gustwatch.operators.scaling import minmax, scaler_stats, standard_scale
 from gustwatch.operators.sequences import ORDER, segment_rows
-from gustwatch.session import materialize, spread
+from gustwatch.session import materialize, row_by_row, spread
 from gustwatch.settings import LIMITS, Limits
 
 #: Values of the windows that a task holds at once while fitting (32 MB).
@@ -42,53 +42,72 @@ class SequenceModel:
         return (missed**2).reshape(len(windows), self.length, len(self.features)).mean(axis=1)
 
 
-_PARTIAL = "_copied boolean, slot int, n long, sums binary, products binary"
+_PACK = "_copied boolean, values binary, starts binary"
+_PARTIAL = "slot int, n long, sums binary, products binary"
 
 
-def _window_sums(names: Sequence[str], length: int, mean: np.ndarray | None, basis: np.ndarray | None):
-    """Sums over the windows in use: their number, their values, and with ``basis`` covariance times basis."""
+def _packs(names: Sequence[str], length: int):
+    """The rows of each batch behind the ``length - 1`` rows before them, and the first rows of the windows in use."""
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        width = length * len(names)
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before = np.zeros((length - 1, len(names)))
-        n, sums = 0, np.zeros(width)
-        products = np.zeros((width, 0 if basis is None else basis.shape[1]))
         for batch in batches:
             values = np.concatenate([before, batch[list(names)].to_numpy(dtype=float)])
             used = np.flatnonzero(batch["_use"].to_numpy(dtype=bool))
-            cut = np.lib.stride_tricks.sliding_window_view(values, length, axis=0) if len(batch) else None
-            at_once = max(1, _VALUES_AT_ONCE // width)
-            for start in range(0, len(used), at_once):
-                windows = cut[used[start : start + at_once]].transpose(0, 2, 1).reshape(-1, width)
-                n, sums = n + len(windows), sums + windows.sum(axis=0)
-                if basis is not None:
-                    centred = windows - mean
-                    products += centred.T @ (centred @ basis)
+            if len(used):
+                yield pd.DataFrame({"_copied": [False], "values": [values.tobytes()], "starts": [used.astype(np.int64).tobytes()]})
             before = values[len(values) - length + 1 :]
-        slot = TaskContext.get().partitionId() % _SLOTS
-        yield pd.DataFrame(
-            {"_copied": [False], "slot": [slot], "n": [n], "sums": [sums.tobytes()], "products": [products.tobytes()]}
-        )
 
-    return add
+    return pack
+
 
+def _packed(rows: Ordered, names: Sequence[str], length: int) -> DataFrame:
+    """Windows in use as written arrays, so that no pass has to sort the rows again."""
 
-def _added(rows: Ordered, names: Sequence[str], length: int, mean=None, basis=None) -> tuple[int, np.ndarray, np.ndarray]:
     def step(part: DataFrame, window) -> DataFrame:
         used = part.withColumn("_use", F.col("_use") & ~F.col("_copied")) if "_copied" in part.columns else part
         arranged = spread(used, *rows.groups).sortWithinPartitions(*rows.groups, *ORDER)
-        return arranged.mapInPandas(_window_sums(names, length, mean, basis), _PARTIAL)
+        return arranged.mapInPandas(_packs(names, length), _PACK)
+
+    return materialize(rows.lookback(length, step).df.select("values", "starts"))
+
+
+def _window_sums(features: int, length: int, mean: np.ndarray | None, basis: np.ndarray | None):
+    """Sums over the windows in use: their number, their values, and with ``basis`` covariance times basis."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        width = length * features
+        n, sums = 0, np.zeros(width)
+        products = np.zeros((width, 0 if basis is None else basis.shape[1]))
+        at_once = max(1, _VALUES_AT_ONCE // width)
+        for batch in batches:
+            for packed, starts in zip(batch["values"], batch["starts"], strict=True):
+                cut = np.lib.stride_tricks.sliding_window_view(np.frombuffer(packed).reshape(-1, features), length, axis=0)
+                used = np.frombuffer(starts, np.int64)
+                for start in range(0, len(used), at_once):
+                    windows = cut[used[start : start + at_once]].transpose(0, 2, 1).reshape(-1, width)
+                    n, sums = n + len(windows), sums + windows.sum(axis=0)
+                    if basis is not None:
+                        centred = windows - mean
+                        products += centred.T @ (centred @ basis)
+        slot = TaskContext.get().partitionId() % _SLOTS
+        yield pd.DataFrame({"slot": [slot], "n": [n], "sums": [sums.tobytes()], "products": [products.tobytes()]})
+
+    return add
+
 
+def _added(packs: DataFrame, features: int, length: int, mean=None, basis=None) -> tuple[int, np.ndarray, np.ndarray]:
     def total(frame: pd.DataFrame) -> pd.DataFrame:
         parts = {c: np.sum([np.frombuffer(x) for x in frame[c]], axis=0).tobytes() for c in ("sums", "products")}
         return pd.DataFrame({"n": [int(frame["n"].sum())], **{c: [v] for c, v in parts.items()}})
 
-    partial = rows.lookback(length, step).df
-    summed = partial.select("slot", "n", "sums", "products").groupBy("slot").applyInPandas(total, "n long, sums binary, products binary")
-    n, sums, products = 0, np.zeros(length * len(names)), 0.0
-    for row in summed.toLocalIterator():
-        n, sums = n + row["n"], sums + np.frombuffer(row["sums"])
-        products = products + np.frombuffer(row["products"]).reshape(length * len(names), -1)
+    partial = packs.mapInPandas(_window_sums(features, length, mean, basis), _PARTIAL)
+    summed = partial.groupBy("slot").applyInPandas(total, "n long, sums binary, products binary")
+    n, sums, products = 0, np.zeros(length * features), 0.0
+    with row_by_row(packs.sparkSession):
+        for row in summed.toLocalIterator():
+            n, sums = n + row["n"], sums + np.frombuffer(row["sums"])
+            products = products + np.frombuffer(row["products"]).reshape(length * features, -1)
     return n, sums, products
 
 
@@ -130,21 +149,22 @@ def fit_sequence_model(
         raise ValueError("no window of eligible rows to fit on")
     early = at <= F.lit(last[percentile_column(100 * fit_share)])
     rows = written.with_rows(written.df.withColumn("_use", F.col("_use") & early))
-    n, sums, _ = _added(rows, features, length)
+    packs = _packed(rows, features, length)
+    n, sums, _ = _added(packs, len(features), length)
     mean = sums / n
     kept = min(components, width)
     # A few columns more than are kept make the iteration settle sooner.
     columns = min(width, kept + 4)
     basis = np.linalg.qr(np.random.default_rng(0).normal(size=(width, columns)))[0]
     for _ in range(passes):
-        products = _added(rows, features, length, mean, basis)[2]
+        products = _added(packs, len(features), length, mean, basis)[2]
         following = np.linalg.qr(products)[0]
         moved = following - basis @ (basis.T @ following)
         if np.abs(moved).max() < 1e-9 or columns == width:
             break
         basis, products = following, None
     if products is None:
-        products = _added(rows, features, length, mean, basis)[2]
+        products = _added(packs, len(features), length, mean, basis)[2]
     values, turned = np.linalg.eigh((basis.T @ products + products.T @ basis) / 2)
     found = basis @ turned[:, np.argsort(-values)[:kept]]
     return SequenceModel(tuple(features), length, max_gap_minutes, stats, mean, found)

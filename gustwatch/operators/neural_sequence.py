@@ -3,7 +3,7 @@
 A window goes to a code of a few numbers through a linear map plus a hidden
 layer, and back the same way. Training starts from the principal components,
 where the hidden layers add nothing, and takes synchronous steps: each is one
-Spark job over blocks of rows, whose tasks cut windows as views, and return
+Spark job over packs of blocks, whose tasks cut windows as views, and return
 loss and gradient sums of the size of the model. The latest fifth of the
 windows is not learned from; when its loss has not fallen for ``patience``
 steps, the best weights so far are kept. All windows take part in every step,
@@ -25,7 +25,7 @@ from gustwatch.operators.autoencoder import SequenceModel, fit_sequence_model
 from gustwatch.operators.percentiles import exact_percentiles, percentile_column
 from gustwatch.operators.scaling import standard_scale
 from gustwatch.operators.sequences import sequence_blocks
-from gustwatch.session import materialize
+from gustwatch.session import materialize, row_by_row
 from gustwatch.settings import LIMITS, Limits
 
 _VALUES_AT_ONCE = 1 << 22
@@ -120,17 +120,44 @@ class NonlinearModel(SequenceModel):
         return ((self.weights.rebuilt(x) - x) ** 2).reshape(len(x), self.length, len(self.features)).mean(axis=1)
 
 
-def _windows(row: dict, width: int, length: int, mean: np.ndarray, cut: float) -> Iterator[tuple[bool, np.ndarray]]:
-    """Eligible windows of a block, less the mean, a bounded number at once; whether they are learned from."""
-    used = [w for w in row["windows"] if w["trainable"]]
-    if not used:
-        return
-    views = np.lib.stride_tricks.sliding_window_view(np.array(row["values"], float).reshape(-1, width), length, axis=0)
-    ends = np.array([w["at"] for w in used]) - length + 1
-    early = np.array([w["row"]["at"] for w in used]) <= cut
+#: Rows of a pack, a bounded number of values (8 MB at most, if no block is larger).
+_PACK_VALUES = 1 << 20
+_PACK = "values binary, learned binary, held binary"
+
+
+def _packs(width: int, length: int, cut: float) -> Callable:
+    """Blocks put together: their rows' values one after the other, and the first rows of the windows to learn from and to hold."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        values, starts, size = [], ([], []), 0
+
+        def packed() -> pd.DataFrame:
+            learned, held = (np.array(s, np.int64).tobytes() for s in starts)
+            return pd.DataFrame({"values": [np.concatenate(values).tobytes()], "learned": [learned], "held": [held]})
+
+        for batch in batches:
+            for block, windows in zip(batch["values"], batch["windows"], strict=True):
+                first = size // width - length + 1
+                for w in windows:
+                    if w["trainable"]:
+                        starts[w["row"]["at"] > cut].append(first + w["at"])
+                values.append(np.asarray(block, np.float64))
+                size += len(block)
+                if size >= _PACK_VALUES:
+                    yield packed()
+                    values, starts, size = [], ([], []), 0
+        if size:
+            yield packed()
+
+    return pack
+
+
+def _windows(row: dict, width: int, length: int, mean: np.ndarray) -> Iterator[tuple[bool, np.ndarray]]:
+    """Eligible windows of a pack, less the mean, a bounded number at once; whether they are learned from."""
+    views = np.lib.stride_tricks.sliding_window_view(np.frombuffer(row["values"]).reshape(-1, width), length, axis=0)
     at_once = max(1, _VALUES_AT_ONCE // (width * length))
     for learned in (True, False):
-        some = ends[early == learned]
+        some = np.frombuffer(row["learned" if learned else "held"], np.int64)
         for i in range(0, len(some), at_once):
             yield learned, views[some[i : i + at_once]].transpose(0, 2, 1).reshape(-1, width * length) - mean
 
@@ -138,13 +165,13 @@ def _windows(row: dict, width: int, length: int, mean: np.ndarray, cut: float) -
 _SUMS = "slot int, sums binary"
 
 
-def _sums(weights: Weights, width: int, length: int, mean: np.ndarray, cut: float) -> Callable:
+def _sums(weights: Weights, width: int, length: int, mean: np.ndarray) -> Callable:
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Number and loss of learned windows, the same of held ones, then the gradient.
         sums = np.zeros(4 + weights.flat().size)
         for batch in batches:
             for row in batch.to_dict("records"):
-                for learned, x in _windows(row, width, length, mean, cut):
+                for learned, x in _windows(row, width, length, mean):
                     if learned:
                         loss, gradient = weights.gradient(x)
                         sums[4:] += gradient
@@ -161,8 +188,8 @@ def _total(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slot": [int(frame["slot"].iloc[0])], "sums": [np.sum([np.frombuffer(x) for x in frame["sums"]], axis=0).tobytes()]})
 
 
-def _step(blocks: DataFrame, weights: Weights, width: int, length: int, mean: np.ndarray, cut: float) -> np.ndarray:
-    partial = blocks.mapInPandas(_sums(weights, width, length, mean, cut), _SUMS)
+def _step(packs: DataFrame, weights: Weights, width: int, length: int, mean: np.ndarray) -> np.ndarray:
+    partial = packs.mapInPandas(_sums(weights, width, length, mean), _SUMS)
     added = partial.groupBy("slot").applyInPandas(_total, _SUMS)
     total = np.zeros(4 + weights.flat().size)
     for row in added.toLocalIterator():
@@ -188,13 +215,16 @@ def fit_nonlinear_model(
     ends = blocks.select(F.explode("windows").alias("w")).filter("w.trainable").select(F.col("w.row.at").alias("at"))
     share = 100 * training.fit_share
     cut = exact_percentiles(ends, "at", [share], limits=limits).first()[percentile_column(share)]
+    # Every step reads the windows: as arrays of many blocks, not as rows of nested lists.
+    packs = materialize(blocks.select("values", "windows").mapInPandas(_packs(len(features), length, cut), _PACK))
 
     weights = Weights.start(linear.components, training.hidden, training.seed)
     flat = weights.flat()
     first, second = np.zeros_like(flat), np.zeros_like(flat)
     best, best_loss, since, history = flat, np.inf, 0, []
     for step in range(1, training.steps + 2):
-        sums = _step(blocks, weights.like(flat), len(features), length, linear.mean, cut)
+        with row_by_row(df.sparkSession):
+            sums = _step(packs, weights.like(flat), len(features), length, linear.mean)
         n, loss, held, held_loss = sums[:4]
         loss, held_loss = loss / n, held_loss / held if held else loss / n
         history.append((loss, held_loss))

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gustwatch.operators import autoencoder, sequences
+from gustwatch.operators import autoencoder, neural_sequence, sequences
 from gustwatch.operators.neural_sequence import Training, Weights, fit_nonlinear_model
 from gustwatch.settings import Limits
 
@@ -105,3 +105,23 @@ def test_blocks_at_full_length_stay_below_twice_the_rows(spark):
     blocks = sequences.sequence_blocks(df, ["a"], 144, 15, keep=["id"])
     stored, windows = blocks.agg(F.sum(F.size("values")), F.sum(F.size("windows"))).first()
     assert windows == 3000 - 143 and stored < 2 * 3000
+
+
+def test_steps_read_packs_and_sort_nothing(circle, monkeypatch):
+    """Passes and steps read arrays written once: no pass sorts the rows or takes nested lists apart again."""
+    plans = []
+
+    def watch(module, name):
+        own = getattr(module, name)
+
+        def watched(df, *more, **named):
+            plans.append((df.dtypes, df._jdf.queryExecution().executedPlan().toString()))
+            return own(df, *more, **named)
+
+        monkeypatch.setattr(module, name, watched)
+
+    watch(autoencoder, "_added")
+    watch(neural_sequence, "_step")
+    fit_nonlinear_model(circle, NAMES, 2, 15, components=2, training=Training(hidden=4, steps=2))
+    assert len(plans) > 4
+    assert all({t for _, t in types} == {"binary"} and "Sort" not in plan and "Exchange" not in plan for types, plan in plans)
