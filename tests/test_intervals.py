@@ -78,3 +78,17 @@ def test_many_windows_are_never_broadcast(mixed, spark, tmp_path):
         stored.append(spark.read.parquet(str(tmp_path / name)))
     plan = intervals.event_rows(*stored, MANY)._jdf.queryExecution().executedPlan().toString()
     assert "Join" in plan and "Broadcast" not in plan
+
+
+def test_windows_as_wide_as_ids_can_be(spark, monkeypatch):
+    """What a window costs follows from its rows: no span of ids is too wide, and long lists are made in parts."""
+    monkeypatch.setattr(intervals, "_LISTED", 2, raising=False)
+    most = 2**63 - 1
+    rows = [(1, i) for i in (-most, -5, 0, 0, 7, most)] + [(2, 3), (None, 0), (1, None)]
+    windows = [(1, 10, -most, most), (1, 11, 0, 0), (1, 11, 0, 0), (1, 12, 8, most - 1), (2, 13, 4, 3), (None, 14, 0, 0), (3, 15, 0, 9)]
+    df = spark.createDataFrame(rows, "asset_id long, id long")
+    events = spark.createDataFrame(windows, "asset_id long, event_id long, event_start_id long, event_end_id long")
+    found = [(r["id"], r["event_id"]) for r in intervals.event_rows(df, events, MANY).collect()]
+    assert sorted(found) == sorted([(i, 10) for a, i in rows if a == 1 and i is not None] + [(0, 11)] * 4)
+    hot = intervals.event_rows(df, events, Limits(broadcast_rows=0, task_rows=2))
+    assert sorted((r["id"], r["event_id"]) for r in hot.collect()) == sorted(found)
