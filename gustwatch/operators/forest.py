@@ -1,4 +1,4 @@
-"""Isolation forest per asset: fitted on a small hashed sample, scored where the rows are."""
+"""Isolation forest per asset: fitted on a small hashed sample, scored where the rows are, or in the same pass."""
 
 from __future__ import annotations
 
@@ -83,6 +83,18 @@ def _features(df: DataFrame, features: Sequence[str]) -> Column:
     return F.array(*[F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features])
 
 
+def _uniform(seed: int) -> Column:
+    """Number in [0, 1) that a row is drawn by."""
+    return F.pmod(F.xxhash64(F.lit(seed), "asset_id", "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def _asset_trees(asset: int, values: np.ndarray, trees: int, sample: int, seed: int):
+    """Trees of one asset on its drawn rows, in the order of their ids."""
+    size = min(sample, len(values))
+    depth = max(1, ceil(log2(max(2, size))))
+    return grow_trees(values, trees, size, depth, np.random.default_rng([seed, asset & 0xFFFFFFFF]))
+
+
 def fit_forest(
     df: DataFrame,
     features: Sequence[str],
@@ -100,16 +112,12 @@ def fit_forest(
     fit = df.filter(mask).select("asset_id", "id", _features(df, features).alias("x"))
     sizes = sized(fit.groupBy("asset_id").agg(F.count(F.lit(1)).alias("fit_rows")))
     share = F.lit(float(trees * sample)) / F.col("fit_rows")
-    uniform = F.pmod(F.xxhash64(F.lit(seed), "asset_id", "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    pool = fit.join(sizes, "asset_id").filter(uniform < share)
+    pool = fit.join(sizes, "asset_id").filter(_uniform(seed) < share)
 
     def grow(pool_rows: pd.DataFrame) -> pd.DataFrame:
         asset, total = int(pool_rows.asset_id.iloc[0]), int(pool_rows.fit_rows.iloc[0])
         values = np.stack(pool_rows.sort_values("id").x.to_numpy())
-        size = min(sample, len(values))
-        depth = max(1, ceil(log2(max(2, size))))
-        rng = np.random.default_rng([seed, asset & 0xFFFFFFFF])
-        model = (asset, total, list(range(trees)), *grow_trees(values, trees, size, depth, rng))
+        model = (asset, total, list(range(trees)), *_asset_trees(asset, values, trees, sample, seed))
         return pd.DataFrame([model], columns=[part.split()[0] for part in MODEL_SCHEMA.split(", ")])
 
     return spread(pool, "asset_id").groupBy("asset_id").applyInPandas(grow, MODEL_SCHEMA)
@@ -131,9 +139,24 @@ class FlatForest:
         self.depth = max(1, ceil(log2(max(2, sample))))
         self.normal = mean_path(np.minimum(sample, models.fit_rows.to_numpy()))
 
+    @classmethod
+    def of_asset(cls, fit_rows: int, trees: int, grown: Sequence[np.ndarray], sample: int) -> FlatForest:
+        """The model of one asset, number 0, from what ``grow_trees`` gave."""
+        forest = cls.__new__(cls)
+        forest.roots = np.arange(trees)[None, :]
+        forest.feature, forest.threshold, forest.left, forest.right, forest.path = grown
+        used = min(sample, fit_rows)
+        # No tree is deeper than its rows allow.
+        forest.depth = max(1, ceil(log2(max(2, used))))
+        forest.normal = mean_path(np.array([used]))
+        return forest
+
     def score(self, assets: pd.Series, values: np.ndarray) -> np.ndarray:
         """Anomaly score in (0, 1); NaN for an asset without a model. Walked by slices of rows, so that the work arrays stay small."""
-        known = self.assets.get_indexer(assets)
+        return self.walk(self.assets.get_indexer(assets), values)
+
+    def walk(self, known: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Scores of rows whose models are given by number, -1 for none."""
         parts = [self._walk(known[i : i + SLICE], values[i : i + SLICE]) for i in range(0, len(values), SLICE)]
         return np.concatenate(parts) if parts else np.zeros(0)
 
@@ -195,6 +218,51 @@ def score_forest(
     return spread(placed, *by).groupBy(*by).cogroup(spread(copied, *by).groupBy(*by)).applyInPandas(score_group, schema)
 
 
+def fit_and_score(df: DataFrame, features: Sequence[str], fit: str, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> DataFrame:
+    """``df`` with column ``if_raw_score``, the same as by ``fit_forest`` on the rows marked ``fit`` and ``score_forest``.
+
+    For assets whose rows one task may hold: rows come sorted by asset, and each asset's forest is grown, walked and
+    forgotten in turn. A forest is many times as large as the rows of a small asset, and is neither written nor moved.
+    """
+    inputs = [f"_x{i}" for i in range(len(features))]
+    schema = T.StructType([*df.schema.fields, T.StructField("if_raw_score", T.DoubleType())])
+    names = df.columns
+    values = [F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(x) for c, x in zip(features, inputs)]
+    rows = spread(df.select("*", *values, _uniform(seed).alias("_u")), "asset_id").sortWithinPartitions("asset_id", "id")
+
+    def asset_scores(asset: int, x: np.ndarray, marked: np.ndarray, drawn: np.ndarray) -> np.ndarray:
+        total = int(marked.sum())
+        pool = marked & (drawn < trees * sample / total) if total else marked
+        if not pool.any():
+            return np.full(len(x), np.nan)
+        grown = _asset_trees(asset, x[pool], trees, sample, seed)
+        return FlatForest.of_asset(total, trees, grown, sample).walk(np.zeros(len(x), np.int64), x)
+
+    def scored(part: pd.DataFrame) -> pd.DataFrame:
+        assets = part.asset_id.to_numpy()
+        x, marked, drawn = part[inputs].to_numpy(np.float64), part[fit].to_numpy(bool), part._u.to_numpy()
+        bounds = np.concatenate([[0], np.flatnonzero(assets[1:] != assets[:-1]) + 1, [len(part)]])
+        each = [asset_scores(int(assets[a]), x[a:b], marked[a:b], drawn[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+        return part[names].assign(if_raw_score=np.concatenate(each))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            # The last asset of a batch may go on in the next one.
+            last = batch.asset_id.iloc[-1]
+            first = int((batch.asset_id.to_numpy() != last).sum())
+            if first or (held and held[-1].asset_id.iloc[-1] != last):
+                yield scored(pd.concat([*held, batch.iloc[:first]]))
+                held = []
+            held.append(batch.iloc[first:])
+        if held:
+            yield scored(pd.concat(held))
+
+    return rows.mapInPandas(walk, schema)
+
+
 def choose_offsets(
     scores: DataFrame,
     score: str,
@@ -261,8 +329,18 @@ def isolation_scores(
         unfitted = narrowed.groupBy("asset_id").agg(F.max("_fit").alias("fitted")).filter("not fitted").limit(5).collect()
         if unfitted:
             raise ValueError(f"no rows to fit on for assets {[r.asset_id for r in unfitted]}")
-    models = materialize(fit_forest(narrowed, features, F.col("_fit"), trees, seed=seed))
-    raw = materialize(score_forest(narrowed, models, features, limits=limits).select(*kept, "_fit", "if_raw_score"))
+    # Assets that one task may hold are fitted and scored at once; the forests of others are written and meet their rows in chunks.
+    large = sized(narrowed.groupBy("asset_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limits.python_rows).select("asset_id"))
+    out = [*kept, "_fit", "if_raw_score"]
+    known, split = narrowed.filter("asset_id is not null"), not large.isEmpty()
+    small = known.join(large, "asset_id", "left_anti").select(*narrowed.columns) if split else known
+    scored = fit_and_score(small, features, "_fit", trees, seed=seed).select(*out)
+    scored = scored.unionByName(narrowed.filter("asset_id is null").withColumn("if_raw_score", F.lit(float("nan"))).select(*out))
+    if split:
+        many = materialize(known.join(large, "asset_id", "left_semi").select(*narrowed.columns))
+        models = materialize(fit_forest(many, features, F.col("_fit"), trees, seed=seed))
+        scored = scored.unionByName(score_forest(many, models, features, limits=limits).select(*out))
+    raw = materialize(scored)
     offsets = sized(choose_offsets(raw, "if_raw_score", F.col("_fit"), limits=limits).select("asset_id", "offset"))
     shifted = raw.join(offsets, "asset_id", "left").withColumn(
         "if_anomaly_score", F.col("if_raw_score") - F.col("offset")

@@ -344,6 +344,24 @@ def test_forest_is_the_same_on_any_partitioning_and_by_groups(spark):
     assert len(a) == 300 and 0 < sum(r[1] for r in a) <= 18
 
 
+def test_small_assets_are_fitted_and_scored_in_one_pass(spark, monkeypatch):
+    """As by written models, without writing any, whatever batches assets fall into; rows without an asset stay."""
+    rng = np.random.default_rng(5)
+    made = telemetry(spark, [(i % 7 if i % 50 else None, i, i, 0, float(v)) for i, v in enumerate(rng.normal(size=300))])
+    rows = made.withColumn("_fit", F.coalesce((F.col("id") < 200) & (F.col("asset_id") != 3), F.lit(False)))
+    models = forest.fit_forest(rows, ["s"], F.col("_fit"), trees=10)
+    want = {r["id"]: r["if_raw_score"] for r in forest.score_forest(rows, models, ["s"]).collect()}
+    monkeypatch.setattr(forest, "fit_forest", None)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        found = forest.fit_and_score(rows.filter("asset_id is not null"), ["s"], "_fit", trees=10).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(found) == 294 and all(r["if_raw_score"] == (x if (x := want[r["id"]]) is None else pytest.approx(x, rel=1e-12)) for r in found)
+    assert forest.isolation_scores(rows.drop("_fit"), ["s"], F.col("id") < 200, trees=10, strict=False).count() == 300
+
+
 def test_asset_without_rows_to_fit_on(spark):
     rows = telemetry(spark, [(i % 2, i, i, 0, float(i)) for i in range(40)])
     mask = F.col("asset_id") == 0
