@@ -155,3 +155,13 @@ def test_global_order(spark):
         total += values[k]
         assert sums[k] == (total, nth)
     assert global_running(rows.limit(0), [F.asc("k")], s=F.col("v")).count() == 0
+
+
+def test_contributions_are_spread_and_their_tables_made_once(rows, spark, monkeypatch):
+    """Rows come in few files, since they have few bytes; the work on them is for all tasks, and tables are not made by each."""
+    model = fit_boosted(rows.coalesce(1), FEATURES, F.col("size"), "squared", TreeSettings(rounds=3, depth=4))[0]
+    made, groups_of = [], contributions.groups_of
+    monkeypatch.setattr(contributions, "groups_of", lambda trees, t: made.append(t) or groups_of(trees, t))
+    told = contributions.add_contributions(rows.coalesce(1), model)
+    parts = told.select(F.spark_partition_id().alias("p"), "contributions").filter("contributions is not null")
+    assert parts.select("p").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions")) and made == [0, 1, 2]
