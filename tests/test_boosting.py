@@ -1,5 +1,6 @@
 """Boosted trees: both ways of adding up, any partitioning, objectives, draws, and Shapley values by brute force."""
 
+import tracemalloc
 from dataclasses import replace
 from itertools import combinations
 from math import factorial
@@ -8,9 +9,10 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from gustwatch.operators import boosting, contributions
-from gustwatch.operators.boosting import BINS, Boosted, Objective, Trees, TreeSettings, fit_boosted, margins
+from gustwatch.operators.boosting import BINS, Block, Boosted, Objective, Trees, TreeSettings, fit_boosted, grow_in_block, margins
 from gustwatch.operators.ranks import global_ranks, global_running
 from gustwatch.settings import LIMITS
 
@@ -165,3 +167,26 @@ def test_contributions_are_spread_and_their_tables_made_once(rows, spark, monkey
     told = contributions.add_contributions(rows.coalesce(1), model)
     parts = told.select(F.spark_partition_id().alias("p"), "contributions").filter("contributions is not null")
     assert parts.select("p").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions")) and made == [0, 1, 2]
+
+
+def test_levels_are_no_plans_of_their_own(rows, monkeypatch):
+    """The driver keeps a description of each plan, so their number must not follow the rounds and levels."""
+    collected, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: collected.append(1) or collect(self))
+    several = replace(LIMITS, block_bytes=90 * (len(FEATURES) + 32))
+    fit_boosted(rows, FEATURES, F.col("yes"), "logistic", replace(SMALL, rounds=1), limits=several)
+    first = len(collected)
+    fit_boosted(rows, FEATURES, F.col("yes"), "logistic", replace(SMALL, rounds=3), limits=several)
+    assert len(collected) == 2 * first
+
+
+def test_one_task_needs_no_number_per_row_and_feature():
+    n, features = 20_000, 40
+    draw = np.random.default_rng(3)
+    bins = draw.integers(0, BINS, (n, features)).astype(np.uint8)
+    block = Block(bins, (bins[:, 0] > 99).astype(float), np.ones(n), draw.integers(0, 1 << 60, n), np.ones(n, np.int64), None)
+    tracemalloc.start()
+    grow_in_block(block, 0, 0.0, Objective("logistic"), TreeSettings(rounds=2, depth=4))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * n * features
