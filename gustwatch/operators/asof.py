@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustwatch.operators.ordered import Ordered
-from gustwatch.session import fits
+from gustwatch.session import fits, sized
 from gustwatch.settings import LIMITS, Limits
 
 NEXT = "_next"
@@ -25,7 +25,8 @@ def next_event(
     ``asset_id``, ``event_id`` and ``event_time``.
     """
     starts = events.select("asset_id", F.col(event_time).alias("time"), "event_id").dropna()
-    starts = starts.groupBy("asset_id", "time").agg(F.min("event_id").alias("event_id"))
+    # Counted first and then joined; what they are derived from may be a join of all rows.
+    starts = sized(starts.groupBy("asset_id", "time").agg(F.min("event_id").alias("event_id")))
     if fits(starts, limits):
         return _by_validity(rows, starts, time)
     return _by_running_minimum(rows, starts, time, limits)

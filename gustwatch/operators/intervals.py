@@ -160,7 +160,7 @@ def add_window_flag(rows: DataFrame, events: DataFrame, name: str, limits: Limit
     The windows are united first, so a row meets at most one of them and no
     duplicates have to be removed afterwards.
     """
-    windows = merged_windows(events, limits)
+    windows = sized(merged_windows(events, limits))
     if fits(windows, limits):
         ranged = windows.toDF("_asset", "_first", "_last")
         inside = (F.col("asset_id") == F.col("_asset")) & F.col("id").between(F.col("_first"), F.col("_last"))

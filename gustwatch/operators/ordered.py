@@ -34,7 +34,8 @@ RUN = "_run"
 _COPY = "_copied"
 
 _COMBINE = {
-    "sum": lambda carry, local: F.coalesce(carry, F.lit(0)) + local,
+    # Null only as long as no value was seen in any run.
+    "sum": lambda carry, local: F.coalesce(carry + local, carry, local),
     "max": F.greatest,
     "min": F.least,
 }

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustwatch.functions.expressions import epoch_seconds
 from gustwatch.operators.ordered import Ordered
 from gustwatch.operators.rolling import ORDER
+from gustwatch.session import sized
 from gustwatch.settings import LIMITS, STATUS_RANGES, Limits
 
 _SEC, _DOWN, _DERATED, _CHANGED = "_sec", "_down", "_derated", "_changed"
@@ -61,24 +62,59 @@ def _known():
     return F.col("status_type_id").isNotNull().cast("int")
 
 
+def _measures():
+    return {"count": _known(), "down": F.col(_DOWN), "derated": F.col(_DERATED), "changed": F.col(_CHANGED)}
+
+
 def _range_sums(rows: Ordered, limits: Limits) -> DataFrame:
-    """Range sums as differences of running totals: linear in the rows, however many a range holds.
+    """Range sums as differences of running totals: linear in the rows, however many a range holds."""
+    return _sums_of_runs(rows, limits) if rows.split else _sums_in_place(rows)
+
+
+def _sums_in_place(rows: Ordered) -> DataFrame:
+    """The total up to a row's second, less the total just before the range.
+
+    Both frames begin with the asset's first row and only grow, so each row is
+    added once per frame. Rows stay where the windows before this one left
+    them: nothing is moved, joined or derived twice.
+    """
+
+    def up_to(end: int):
+        return Window.partitionBy(*rows.groups).orderBy(_SEC).rangeBetween(Window.unboundedPreceding, end)
+
+    measures = _measures()
+    totals = [F.sum(v).over(up_to(Window.currentRow)).alias(f"_t_{n}") for n, v in measures.items()]
+    before = [
+        F.coalesce(F.sum(v).over(up_to(-s - 1)), F.lit(0)).alias(f"_b_{n}_{r}") for n, v in measures.items() for r, s in STATUS_RANGES.items()
+    ]
+
+    def total(name):
+        return lambda r: F.col(f"_t_{name}") - F.col(f"_b_{name}_{r}")
+
+    known = rows.df.filter(F.col("asset_id").isNotNull() & F.col(_SEC).isNotNull())
+    return known.select("*", *totals, *before).select(
+        *rows.df.columns, *_history_columns(total("down"), total("derated"), total("changed"), total("count"))
+    )
+
+
+def _sums_of_runs(rows: Ordered, limits: Limits) -> DataFrame:
+    """The same where a key is too large for one task.
 
     The total just before a range is looked up as the greatest running total
     at an earlier second: totals of 0/1 flags never fall, so a running maximum
-    over points and lookups does it. Where a key was too large for one task,
-    both passes are cut into runs again.
+    over points and lookups does it. Both passes are cut into runs again.
     """
 
     def ordered(df: DataFrame, order: Sequence[str]) -> Ordered:
-        return Ordered.of(df, ["asset_id"], order, limits) if rows.split else Ordered(df, ["asset_id"], order, split=False)
+        return Ordered.of(df, ["asset_id"], order, limits)
 
-    measures = {"count": _known(), "down": F.col(_DOWN), "derated": F.col(_DERATED), "changed": F.col(_CHANGED)}
+    measures = _measures()
     per_second = rows.df.groupBy("asset_id", _SEC).agg(*[F.sum(v).alias(f"s_{n}") for n, v in measures.items()])
     totals = ordered(per_second, [_SEC]).running(
         **{f"t_{n}": ("sum", F.col(f"s_{n}")) for n in measures}
     )
-    points = totals.result().select("asset_id", _SEC, *[f"t_{n}" for n in measures])
+    # Read three times.
+    points = sized(totals.result().select("asset_id", _SEC, *[f"t_{n}" for n in measures]))
     lookups = points.select(
         "asset_id",
         F.col(_SEC).alias("_of"),

@@ -86,6 +86,56 @@ def test_status_history(rows, cut):
     same(add_status_history(rows, limits=cut), add_status_history(rows))
 
 
+def test_status_history_moves_rows_once(rows):
+    plan = add_status_history(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_status_history_without_time(rows, cut):
+    # Some rows have no time, some share a second, some differ by exactly a range.
+    hour = F.expr("timestampadd(HOUR, 24 * (id % 40), timestamp'2024-01-01 00:00:00')")
+    some = rows.withColumn("time_stamp", F.when(F.col("id") % 9 > 0, hour))
+    some = some.withColumn("status_type_id", F.when(F.col("id") % 7 > 0, F.col("status_type_id")))
+    history = add_status_history(some)
+    same(add_status_history(some, limits=cut), history)
+    per_day = some.filter("time_stamp is not null").alias("a").join(
+        some.alias("b"),
+        F.expr("a.asset_id = b.asset_id and b.time_stamp between a.time_stamp - interval 24 hours and a.time_stamp"),
+    )
+    share = F.try_divide(F.count_if(F.col("b.status_type_id") == 4), F.count("b.status_type_id")).alias("downtime_frac_24h")
+    same(history.select("id", "downtime_frac_24h"), per_day.groupBy("a.id").agg(share))
+
+
+def test_next_event_derives_events_once(spark, rows, windows):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    starts = windows.select("asset_id", "event_id", "event_start")
+    watched = starts.mapInPandas(count, starts.schema)
+    same(next_event(rows, watched, limits=Limits(broadcast_rows=0)), next_event(rows, windows))
+    # ``same`` reads the result once.
+    assert seen.value == windows.count()
+
+
+def test_window_flag_derives_windows_once(spark, rows, windows):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    ranges = windows.select("asset_id", "event_start_id", "event_end_id")
+    watched = ranges.mapInPandas(count, ranges.schema)
+    same(intervals.add_window_flag(rows, watched, "inside", Limits(broadcast_rows=0)), intervals.add_window_flag(rows, windows, "inside"))
+    # Counted per key, then united.
+    assert seen.value <= 2 * windows.count()
+
+
 def test_next_event(rows, windows, cut):
     same(next_event(rows, windows, limits=cut), next_event(rows, windows))
 
