@@ -176,8 +176,8 @@ def score_forest(
     """``df`` with column ``if_raw_score``.
 
     Few small models go to every executor and rows stay in place. Otherwise
-    rows and models are grouped by (asset, chunk), with as many chunks as keep
-    each group below ``Limits.python_rows``.
+    rows and models meet in groups: assets of up to ``Limits.python_rows`` rows
+    share one, others are cut into chunks of about as many rows.
     """
     rows = df.withColumn("_x", _features(df, features))
     schema = T.StructType([*df.schema.fields, T.StructField("if_raw_score", T.DoubleType())])
@@ -201,21 +201,30 @@ def score_forest(
         return rows.mapInPandas(score_batches, schema)
 
     needed = F.ceil(F.count(F.lit(1)) / F.lit(limits.python_rows)).cast("int")
-    chunks = sized(df.groupBy("asset_id").agg(needed.alias("_chunks")))
-    chunk = F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("int")
-    placed = rows.join(chunks, "asset_id").select(*names, "_x", chunk.alias("_chunk"))
-    copies = F.explode(F.expr("sequence(0, _chunks - 1)")).alias("_chunk")
-    copied = models.join(chunks, "asset_id").select(*models.columns, copies)
+    chunks = sized(df.groupBy("asset_id").agg(F.count(F.lit(1)).alias("_rows"), needed.alias("_chunks")).withColumnRenamed("asset_id", "_asset"))
+    total = chunks.agg(F.sum("_rows")).first()[0] or 0
+    # Assets of one chunk share groups, as many as keep rows and nodes of each within the bounds.
+    shared = max(ceil(total / max(1, limits.python_rows)), ceil(size / BROADCAST_NODES), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    alone = F.col("_chunks") == 1
+    group = F.when(alone, F.pmod(F.xxhash64("_asset"), F.lit(shared))).otherwise(F.xxhash64("_asset")).alias("_group")
+    chunk = F.when(alone, F.lit(-1)).otherwise(F.pmod(F.xxhash64("id"), F.col("_chunks")).cast("int")).alias("_chunk")
+    same = F.col("asset_id").eqNullSafe(F.col("_asset"))
+    placed = rows.join(chunks, same).select(*names, "_x", group, chunk)
+    # Other names than those of the rows, which the models may have been made from.
+    model_names = models.columns
+    copies = F.explode(F.when(alone, F.array(F.lit(-1))).otherwise(F.expr("sequence(0, _chunks - 1)"))).alias("_model_chunk")
+    copied = models.join(chunks, same).select(*[F.col(c).alias(f"_model_{c}") for c in model_names], group.alias("_model_group"), copies)
 
     def score_group(key, group: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
         if group.empty:
             return pd.DataFrame({f.name: [] for f in schema.fields})
         if model.empty:
             return group[names].assign(if_raw_score=np.nan)
-        return scored(FlatForest(model, sample), group)
+        return scored(FlatForest(model.rename(columns={f"_model_{c}": c for c in model_names}), sample), group)
 
-    by = ["asset_id", "_chunk"]
-    return spread(placed, *by).groupBy(*by).cogroup(spread(copied, *by).groupBy(*by)).applyInPandas(score_group, schema)
+    by, model_by = ["_group", "_chunk"], ["_model_group", "_model_chunk"]
+    given = spread(copied, *model_by).groupBy(*model_by)
+    return spread(placed, *by).groupBy(*by).cogroup(given).applyInPandas(score_group, schema)
 
 
 def fit_and_score(df: DataFrame, features: Sequence[str], fit: str, trees: int = TREES, sample: int = SAMPLE, seed: int = 42) -> DataFrame:

@@ -344,6 +344,22 @@ def test_forest_is_the_same_on_any_partitioning_and_by_groups(spark):
     assert len(a) == 300 and 0 < sum(r[1] for r in a) <= 18
 
 
+def test_models_made_from_the_rows_meet_them_in_groups(spark, monkeypatch):
+    """Models that share columns with the rows, small and cut assets, one without a model, rows without an asset or id."""
+    made = telemetry(spark, [(i % 7 if i % 11 else None, i, i if i % 13 else None, 0, float(i % 17)) for i in range(200)])
+    tree = {"feature": [0, 0, 0], "threshold": [8.0, float("inf"), float("inf")], "left": [1, 1, 2], "right": [2, 1, 2], "path": [0.0, 1.0, 2.0]}
+    given = made.select("asset_id").distinct().filter("asset_id is null or asset_id <> 4").select(
+        "asset_id", F.lit(9).cast("bigint").alias("fit_rows"), F.array(F.lit(0)).alias("roots"), *[F.lit(v).alias(c) for c, v in tree.items()]
+    )
+    shown = ["asset_id", "time_stamp", "id", "s", "if_raw_score"]
+    want = sorted(map(str, forest.score_forest(made, given, ["s"]).select(*shown).collect()))
+    monkeypatch.setattr(forest, "BROADCAST_NODES", 4)
+    for limits in (Limits(), Limits(python_rows=25)):
+        found = forest.score_forest(made, given, ["s"], limits=limits)
+        assert sorted(map(str, found.select(*shown).collect())) == want
+    assert len(want) == 200 and sum("if_raw_score=None" in r for r in want) == sum(i % 7 == 4 and i % 11 > 0 for i in range(200))
+
+
 def test_small_assets_are_fitted_and_scored_in_one_pass(spark, monkeypatch):
     """As by written models, without writing any, whatever batches assets fall into; rows without an asset stay."""
     rng = np.random.default_rng(5)
