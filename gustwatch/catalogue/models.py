@@ -98,9 +98,10 @@ def iforest_offset(spark, sf_dir):
     return chosen.select("asset_id", "contamination", rounded("offset").alias("offset"), rounded("mean_score").alias("mean_score"))
 
 
-def _folded(spark, sf_dir):
+def _folded(spark, sf_dir, featured=None):
     """Labelled rows with their folds, written once since several models read them."""
-    labelled = intervals.window_labels(_featured(spark, sf_dir), event_info(spark, sf_dir))
+    featured = _featured(spark, sf_dir) if featured is None else featured
+    labelled = intervals.window_labels(featured, event_info(spark, sf_dir))
     return materialize(supervised.add_time_folds(labelled))
 
 
@@ -110,15 +111,21 @@ def gbt_cross_validation(spark, sf_dir):
     return supervised.cross_validate(_folded(spark, sf_dir), _FEATURES)
 
 
-@query("gbt_event_prob")
-def gbt_event_prob(spark, sf_dir):
-    """Anomaly probability and flag of every row, the threshold tuned on the latest labelled rows."""
-    folded = _folded(spark, sf_dir)
+def _event_scored(spark, sf_dir):
+    """Labelled rows with their folds, and every row with its anomaly probability and flag."""
+    featured = materialize(_featured(spark, sf_dir))
+    folded = _folded(spark, sf_dir, featured)
     model = supervised.fit_event_model(folded.filter("not holdout"), _FEATURES, weight=supervised.positive_weight(folded))
     threshold = supervised.tuned_threshold(supervised.add_probability(folded, model, _FEATURES))
-    scored = supervised.add_probability(_featured(spark, sf_dir), model, _FEATURES)
+    scored = supervised.add_probability(featured, model, _FEATURES)
     flag = above("xgb_anomaly_prob", threshold).cast("int")
-    return scored.select("asset_id", "time_stamp", "id", "xgb_anomaly_prob", flag.alias("xgb_anomaly_flag"))
+    return folded, scored.select("asset_id", "time_stamp", "id", "xgb_anomaly_prob", flag.alias("xgb_anomaly_flag"))
+
+
+@query("gbt_event_prob")
+def gbt_event_prob(spark, sf_dir):
+    """Anomaly probability and flag of every row, the threshold tuned on the latest labelled rows."""
+    return _event_scored(spark, sf_dir)[1]
 
 
 @query("fault_classifier")
@@ -157,12 +164,17 @@ def loeo_rmse(spark, sf_dir):
     return supervised.leave_event_out(learned, _FEATURES, TARGET, folds=LOEO_FOLDS)
 
 
+def _horizon_scored(spark, sf_dir):
+    """The rows that a horizon model learned from, and every row with predicted hours, tier and urgency."""
+    rows, learned = _horizon_rows(spark, sf_dir)
+    model = supervised.fit_horizon_model(learned, _FEATURES, TARGET)
+    return learned, supervised.horizon_scores(rows, model, _FEATURES, ["asset_id", "time_stamp", "id"])
+
+
 @query("horizon_scores")
 def horizon_scores(spark, sf_dir):
     """Predicted hours, tier and urgency of every row."""
-    rows, learned = _horizon_rows(spark, sf_dir)
-    model = supervised.fit_horizon_model(learned, _FEATURES, TARGET)
-    return supervised.horizon_scores(rows, model, _FEATURES, ["asset_id", "time_stamp", "id"])
+    return _horizon_scored(spark, sf_dir)[1]
 
 
 @query("feature_importance")

@@ -1,9 +1,12 @@
 """Boosted trees: both ways of adding up, any partitioning, objectives, draws, and Shapley values by brute force."""
 
+import os
+import shutil
 import tracemalloc
 from dataclasses import replace
 from itertools import combinations
 from math import factorial
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -190,3 +193,64 @@ def test_one_task_needs_no_number_per_row_and_feature():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 8 * n * features
+
+
+def test_levels_sum_up_one_of_two_siblings_and_rows_once_a_round(rows, monkeypatch):
+    """Rows are added up for the root and for the lighter child of each split, not for every node of a level."""
+    asked, by_level = [], boosting._sums
+
+    def sums(now, last, wanted, number, depth, *rest):
+        asked.append((depth, sum(int((w >= 0).sum()) for w in wanted.values())))
+        return by_level(now, last, wanted, number, depth, *rest)
+
+    monkeypatch.setattr(boosting, "_sums", sums)
+    several = replace(LIMITS, block_bytes=90 * (len(FEATURES) + 32))
+    model = fit_boosted(rows, FEATURES, F.col("yes"), "logistic", replace(SMALL, rounds=1), limits=several)[0]
+    split = model.trees.feature[0] >= 0
+    assert asked == [(d, 1 if d == 0 else int(split[2 ** (d - 1) - 1 : 2**d - 1].sum())) for d in range(SMALL.depth)]
+
+
+def test_blocks_that_are_lost_are_made_again(rows, spark, monkeypatch):
+    """Blocks lie in files of the executors; without them trees are the same. Nothing is left of them afterwards."""
+    several = replace(LIMITS, block_bytes=90 * (len(FEATURES) + 32))
+    want = fit_boosted(rows, FEATURES, F.col("kind"), "softmax", SMALL, classes=3, limits=several)
+    local = spark.sparkContext.parallelize([0], 1).map(lambda _: os.environ["SPARK_LOCAL_DIRS"]).first().split(",")
+    folders = lambda: [f for d in local for f in Path(d).glob("gbt-*")]
+    by_level, lost = boosting._sums, []
+
+    def sums(now, last, wanted, number, depth, *rest):
+        if (number, depth) in ((0, 1), (2, 0), (2, 2)):
+            lost.append([shutil.rmtree(f) for f in folders()])
+        return by_level(now, last, wanted, number, depth, *rest)
+
+    monkeypatch.setattr(boosting, "_sums", sums)
+    assert same(fit_boosted(rows, FEATURES, F.col("kind"), "softmax", SMALL, classes=3, limits=several), want)
+    assert len(lost) == 3 and all(lost) and not folders()
+
+
+def test_sums_too_large_for_the_driver_are_added_up_before(rows, monkeypatch):
+    several = replace(LIMITS, block_bytes=90 * (len(FEATURES) + 32))
+    want = fit_boosted(rows, FEATURES, F.col("size"), "squared", SMALL, limits=several)
+    monkeypatch.setattr(boosting, "SENT_BYTES", 0)
+    assert same(fit_boosted(rows, FEATURES, F.col("size"), "squared", SMALL, limits=several), want)
+
+
+@pytest.mark.parametrize("depth", [1, 5, 9])
+def test_places_are_those_of_a_walk(depth, monkeypatch):
+    draw = np.random.default_rng(depth)
+    trees = Trees.empty(2, depth)
+    inner = 2**depth - 1
+    trees.feature[:, :inner] = draw.integers(-1, 4, (2, inner))
+    trees.cut[:], trees.value[:] = draw.integers(0, BINS - 1, trees.cut.shape), draw.normal(size=trees.value.shape)
+    bins = draw.integers(0, BINS, (300, 4)).astype(np.uint8)
+
+    def walked(t, row):
+        node = 0
+        while trees.feature[t, node] >= 0:
+            node = 2 * node + 1 + int(row[trees.feature[t, node]] > trees.cut[t, node])
+        return trees.value[t, node]
+
+    want = [sum(walked(t, row) for t in range(2)) for row in bins]
+    assert trees.margins(bins)[0].tolist() == want
+    monkeypatch.setattr(boosting, "COMPARED", 2)
+    assert trees.margins(bins)[0].tolist() == want
