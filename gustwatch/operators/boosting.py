@@ -31,7 +31,7 @@ from uuid import uuid4
 import numpy as np
 import pandas as pd
 from pyspark import RDD, StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,7 +53,7 @@ SLICE = 32_768
 #: Nodes of a level whose outcomes are all compared and then chosen from, instead of being looked up row by row.
 COMPARED = 64
 #: Bytes of sums that tasks may send to the driver as they are; above it executors add them up first.
-SENT_BYTES = 32_000_000
+SENT_BYTES = 20_000_000
 #: Gradients are multiples of one over this, relative to the largest possible one.
 STEPS = 1 << 22
 #: Models that one fit can train side by side, a bit each.
@@ -448,28 +448,17 @@ def grow_in_block(block: Block, model: int, base: float, objective: Objective, s
     return trees
 
 
-_FIELDS = ("feature", "cut", "value", "gain", "cover")
-_GROWN = T.StructType([T.StructField("model", T.LongType())] + [T.StructField(c, T.BinaryType()) for c in _FIELDS])
-
-
 def _grown_in_tasks(blocks: DataFrame, bases: list[float], objective: Objective, settings: TreeSettings) -> list[Trees]:
     models = len(bases)
 
-    def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                m = row["model"]
-                trees = grow_in_block(Block.of(row, models, objective.classes), m, bases[m], objective, settings)
-                yield pd.DataFrame([{"model": m, **{c: getattr(trees, c).tobytes() for c in _FIELDS}}])
+    def grow(row: Row) -> tuple[int, Trees]:
+        m = row["model"]
+        return m, grow_in_block(Block.of(row.asDict(), models, objective.classes), m, bases[m], objective, settings)
 
     each = blocks.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(models - 1).cast("long"))).alias("model"))
-    told = each.repartitionByRange(models, "model").mapInPandas(grow, _GROWN).collect()
-    like = Trees.empty(settings.rounds * objective.classes, settings.depth)
-    shape = like.feature.shape
-    return [
-        Trees(*[np.frombuffer(r[c], getattr(like, c).dtype).reshape(shape) for c in _FIELDS])
-        for r in sorted(told, key=lambda r: r["model"])
-    ]
+    # A row is a whole block; as plain rows they come one by one, without a setting of the session.
+    told = each.repartitionByRange(models, "model").rdd.map(grow).collect()
+    return [trees for _, trees in sorted(told, key=lambda x: x[0])]
 
 
 # -- many blocks: a job per level -------------------------------------------
@@ -756,16 +745,8 @@ def fit_boosted(
     # Of several blocks each task gets some.
     each = block_rows if total <= block_rows else min(block_rows, max(4096, total // (4 * spark.sparkContext.defaultParallelism)))
     packed = (used.coalesce(1) if total <= block_rows else used).mapInPandas(_packed(bounds, each), _BLOCK)
-    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(conf)
-    blocks = materialize(packed)
-    try:
-        # A row is a whole block.
-        spark.conf.set(conf, "1")
-        grow = _grown_in_tasks if total <= block_rows else _grown_by_jobs
-        grown = grow(blocks, bases, objective, settings)
-    finally:
-        spark.conf.set(conf, before)
+    grow = _grown_in_tasks if total <= block_rows else _grown_by_jobs
+    grown = grow(materialize(packed), bases, objective, settings)
     return [Boosted(tuple(features), bounds, objective, base, trees) for base, trees in zip(bases, grown, strict=True)]
 
 

@@ -12,7 +12,7 @@ from gustwatch.operators import autoencoder, contributions, evaluate, forest, in
 from gustwatch.operators.boosting import TreeSettings
 from gustwatch.operators.evaluate import rmse_summary
 from gustwatch.operators.neural_sequence import Training
-from gustwatch.session import materialize
+from gustwatch.session import beside, materialize, ship_package
 from gustwatch.settings import KEY, LIMITS, META_COLUMNS, Limits
 from gustwatch.sources.published import publish
 from gustwatch.sources.tables import metric_rows, run_rows
@@ -101,9 +101,11 @@ def build_horizon_scores(
     """Hours to the next operator warning for all rows, from usable events; diagnostics: errors of events left out, contributions."""
     quality.require_columns(rows, [*META_COLUMNS, *MASKS, target, "next_anomaly_event_id", labels.USABLE, *features], "feature table")
     learned = materialize(labels.supervised_rows(rows, target, normal_status))
-    errors = materialize(supervised.leave_event_out(learned, features, target, settings=trees, folds=folds))
-    model = supervised.fit_horizon_model(learned, features, target, trees)
-    importance = contributions.mean_contributions(learned, model)
+    ship_package(rows.sparkSession)
+    with beside(lambda: materialize(supervised.leave_event_out(learned, features, target, settings=trees, folds=folds))) as errors:
+        model = supervised.fit_horizon_model(learned, features, target, trees)
+        importance = contributions.mean_contributions(learned, model)
+        errors = errors()
     kept = [*META_COLUMNS, "next_anomaly_event_id", *MASKS]
     scored = supervised.horizon_scores(rows, model, features, kept)
     summary = rmse_summary(errors).first().asDict()
